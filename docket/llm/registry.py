@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, sharding, urlfilter
+from . import chat, decontaminate, langid, mixing, sharding, simhash, urlfilter
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_simhash": simhash.op2_simhash,
     "op6_url_filters": urlfilter.op6_url_filters,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
