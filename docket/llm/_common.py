@@ -15,16 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a folder of our own is used.
+    Only where the session has none (tests on one machine) a folder of our own is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docket-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there: the lineage ends, and lost executors lose nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
