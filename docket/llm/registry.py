@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, mixing, sharding, simhash, urlfilter
+from . import ann, chat, decontaminate, langid, mixing, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_simhash": simhash.op2_simhash,
+    "op3_ann": ann.op3_ann,
     "op6_url_filters": urlfilter.op6_url_filters,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
