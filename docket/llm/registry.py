@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, mixing, sharding, simhash, substring, urlfilter
+from . import ann, chat, decontaminate, langid, mixing, sharding, simhash, substring, suffix, urlfilter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_simhash": simhash.op2_simhash,
     "op3_ann": ann.op3_ann,
     "op4_substring": substring.op4_substring,
+    "op5_suffix_array": suffix.op5_suffix_array,
     "op6_url_filters": urlfilter.op6_url_filters,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
