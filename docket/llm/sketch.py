@@ -63,8 +63,8 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def merged_sketch(docs: DataFrame, hashes, log_width: int, heavy: int | None = None, least: int = 0) -> tuple[dict[tuple[int, int], bytes], dict[int, int]]:
-    """Bits of the counters that reach two, by (row, slice); and hashes that batches have `heavy` or more times, over `least` in sum.
+def merged_sketch(docs: DataFrame, hashes, log_width: int, heavy: int | None = None, least: int = 0) -> tuple[list[np.ndarray], dict[int, int]]:
+    """The bits of the counters that reach two, for each row; and hashes that batches have `heavy` or more times, over `least` in sum.
 
     hashes: from Arrow batches of docs to (h1, h2) of each batch, two independent hashes of the same things.
     """
@@ -108,20 +108,15 @@ def merged_sketch(docs: DataFrame, hashes, log_width: int, heavy: int | None = N
     parts = docs.mapInArrow(sketch, "row int, slice int, kind int, data binary")
     found = parts.groupBy("row", "slice").applyInArrow(merge, "row int, slice int, bits binary").collect()
     most: dict[int, int] = {}
+    sketch_ = [np.zeros(1 << log_width - 3, np.uint8) for _ in range(DEPTH)]
     for r in found:
         if r["row"] < 0:
             h, n = np.frombuffer(r["bits"], np.uint64).reshape(2, -1)
             most |= dict(zip(h.tolist(), n.astype(int).tolist(), strict=True))
-    return {(r["row"], r["slice"]): bytes(r["bits"]) for r in found if r["row"] >= 0}, most
-
-
-def unpack_sketch(parts: dict[tuple[int, int], bytes], log_width: int) -> list[np.ndarray]:
-    """The bits of each row, in one piece."""
-    log_slice, out = min(LOG_SLICE, log_width), [np.zeros(1 << log_width - 3, np.uint8) for _ in range(DEPTH)]
-    for (row, s), data in parts.items():
-        at = s << log_slice - 3
-        out[row][at : at + len(data)] = np.frombuffer(data, np.uint8)
-    return out
+        else:
+            at = r["slice"] << log_slice - 3
+            sketch_[r["row"]][at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return sketch_, most
 
 
 def in_sketch(sketch: list[np.ndarray], h1: np.ndarray, h2: np.ndarray, log_width: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table, width
-from .sketch import in_sketch, log_width_for, merged_sketch, mix64, rolled, unpack_sketch
+from .sketch import in_sketch, log_width_for, merged_sketch, mix64, rolled
 
 LENGTH = 400
 GRAM = 32
@@ -168,7 +168,7 @@ def _ship(shared, log_width: int):
     """Blocks of anchors that may repeat (kind 1); equal blocks of a batch are marked here (kind 0) and go once."""
 
     def run(batches):
-        sketch, hot = unpack_sketch(shared.value[0], log_width), shared.value[1]
+        sketch, hot = shared.value
         for held in _batches(batches):
             whole, sizes, (start, count, piece, anchor) = _found(held)
             if not len(start):
