@@ -46,16 +46,15 @@ def _letters() -> np.ndarray:
 
 def _grams(block: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Where each piece starts, and for each n the bucket at every place with a mask of places that have a subword."""
-    text = "".join(f"{t} " for t in block).lower() if block else ""
-    sizes = [len(t.lower()) + 1 for t in block]
-    cps = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), "<u4")
+    block = [f" {t.lower()}" for t in block]
+    sizes = np.array([len(t) for t in block])
+    cps = np.frombuffer(("".join(block) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     letter = _letters()[cps]
-    ends = np.cumsum(sizes)
+    starts = np.cumsum(sizes) - sizes
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    keep[0] = True
-    keep[ends] = True
-    starts = np.concatenate(([0], np.cumsum(keep)[ends][:-1]))
+    keep[starts] = True  # each piece begins with a boundary of its own
+    starts = (np.cumsum(keep) - 1)[starts]
     cps, letter = np.where(letter, cps, 32)[keep].astype(np.uint32), letter[keep]
     out = []
     for n in NGRAMS:
