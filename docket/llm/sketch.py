@@ -30,14 +30,15 @@ def rolled(w: np.ndarray, n: int, r: int) -> np.ndarray:
     if len(w) < n:
         return w[:0]
     out, done, run, size = None, 0, w, 1
-    while done < n:
+    while True:
         if n & size:
             m = len(w) - done - size + 1
             out = run[:m] if out is None else out[:m] + np.uint64(pow(r, done, 1 << 64)) * run[done : done + m]
             done += size
+            if done == n:
+                return out
         run = run[: len(run) - size] + np.uint64(pow(r, size, 1 << 64)) * run[size:]
         size *= 2
-    return out
 
 
 def log_width_for(expected: int) -> int:
