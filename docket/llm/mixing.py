@@ -21,7 +21,7 @@ BUDGET = 1.5
 COPIES = 2
 SEED = 9173
 #: Documents a strip of a source should hold.
-ROWS = 50_000
+ROWS = 2_000
 
 
 def words(text):
@@ -57,7 +57,7 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", key: tuple[st
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("source_size", "target", "copies_taken")]
-    df = df.select(*kept, F.xxhash64(*[F.col(c) for c in key], F.lit(seed)).alias("_r"))
+    df = cut(df.select(*kept, F.xxhash64(*[F.col(c) for c in key], F.lit(seed)).alias("_r")))  # sizes are counted from texts once
     found = df.groupBy(source).agg(F.sum(size).alias("n"), F.count("*").alias("rows")).collect()  # one row a source
     found.sort(key=lambda r: (r[source] is None, (r[source] or "").encode()))
     ws = [weights[i % len(weights)] for i in range(len(found))]
@@ -81,7 +81,7 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", key: tuple[st
     passes = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
     times = queued.where(F.col(size) > 0).select(F.col(size).alias("n"), "_w", "source_size", "_sent", "_r", passes.alias("k"))
     times = times.select("n", ((F.col("_sent") + F.col("k") * F.col("source_size")) / F.col("_w")).alias("finish"), F.col("_r").alias("tie"))
-    parts = max(width(spark), -(-sum(r["rows"] for r in found) * copies // (4 * rows)))
+    parts = max(width(spark), -(-sum(r["rows"] for r in found) * copies // 200_000))
     line = cut(times.repartitionByRange(parts, "finish", "tie").select("*", F.spark_partition_id().alias("part")))
     at, last, most = 0, None, budget * total
     for part, n in sorted((r["part"], r["n"]) for r in line.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # one row a partition
