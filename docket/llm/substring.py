@@ -1,6 +1,6 @@
 """Substring dedup over word windows, behind a count-min prefilter.
 
-First pass: every batch of documents makes a sparse count-min sketch of its
+First pass (see sketch): every batch of documents makes a sparse count-min sketch of its
 window hashes.  Sketches are merged slice by slice; merged counts are never below the
 true ones, and all that is kept of them is a bit for "twice or more".  Second pass:
 windows whose estimate is one are unique and go no further; the others are shipped,
@@ -20,40 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .sketch import in_sketch, log_width_for, merged_sketch, mix64, pack, rolled, unpack
 
 WINDOW = 20
-DEPTH = 2
-#: Counters of a sketch row, as a power of two: twice the windows expected, at most 2**28 (the merged bits are
-#: broadcast: 64 MB then). Beyond about 10**8 windows more of them are estimated repeated and go to
-#: the exact grouping; none is ever lost.
-MAX_LOG_WIDTH = 28
-#: Counters that one task merges.
-LOG_SLICE = 24
 #: Words of a batch; windows of a grouping task.
-BATCH_WORDS, SHARD_WINDOWS = 1_000_000, 4_000_000
+BATCH_WORDS, SHARD_WINDOWS = 500_000, 2_000_000
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _NO_ID = -(1 << 63)
 
 
-def mix64(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def _rolled(w: np.ndarray, n: int, r: int) -> np.ndarray:
-    """Polynomial hash of every n consecutive values: runs of 1, 2, 4, ... put together as n's binary digits ask."""
-    out, done, run, size = None, 0, w, 1
-    while done < n:
-        if n & size:
-            m = len(w) - done - size + 1
-            out = run[:m] if out is None else out[:m] + np.uint64(pow(r, done, 1 << 64)) * run[done : done + m]
-            done += size
-        run = run[: len(run) - size] + np.uint64(pow(r, size, 1 << 64)) * run[size:]
-        size *= 2
-    return out
-
-
 def batches_of(rows, limit: int = BATCH_WORDS):
     """(doc ids, text keys, word counts, words) of consecutive documents with about `limit` words."""
     ids, keys, sizes, words = [], [], [], []
@@ -78,86 +53,30 @@ def windows(sizes: np.ndarray, words: list[bytes], n: int = WINDOW) -> tuple[np.
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
     at = np.nonzero(left >= n)[0]
-    h1 = mix64(_rolled(w, n, _R1))[at]
-    h2 = mix64(_rolled(mix64(w ^ np.uint64(_R2)), n, _R2))[at]
+    h1 = mix64(rolled(w, n, _R1))[at]
+    h2 = mix64(rolled(mix64(w ^ np.uint64(_R2)), n, _R2))[at]
     return at, h1, h2
 
 
-def counters(h1: np.ndarray, h2: np.ndarray, log_width: int):
-    """The counter of each window in each sketch row."""
-    yield h1 >> np.uint64(64 - log_width)
-    yield h2 >> np.uint64(64 - log_width)
-
-
-def pack(sorted_: np.ndarray) -> bytes:
-    """Ascending uint32 numbers as compressed planes of their differences' bytes."""
-    steps = np.diff(sorted_.astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
-    return len(steps).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
-
-
 def _pairs(batches):
     for b in batches:
         for doc_id, text in zip(b.column(0), b.column(1), strict=True):
             yield doc_id.as_py(), text.as_py()
 
 
-def merged_sketch(docs: DataFrame, log_width: int) -> dict[tuple[int, int], bytes]:
-    """(sketch row, slice) -> bits of the counters that reach two. docs: doc_id, text."""
-    log_slice = min(LOG_SLICE, log_width)
-
-    def sketch(batches):
-        for _, _, sizes, words in batches_of(_pairs(batches)):
-            _, h1, h2 = windows(sizes, words)
-            rows = []
-            for row, c in enumerate(counters(h1, h2, log_width)):
-                c = np.sort(c)
-                new = np.concatenate(([True], c[1:] != c[:-1]))
-                again = np.unique(c[~new])
-                for kind, found in ((0, c[new]), (1, again)):
-                    ends = np.searchsorted(found, (np.arange(1, (1 << log_width - log_slice) + 1, dtype=np.uint64) << np.uint64(log_slice)).astype(np.uint64))
-                    for s, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                        if b > a:
-                            rows.append((row, s, kind, pack(found[a:b] & np.uint64((1 << log_slice) - 1))))
-            if rows:
-                r, s, k, data = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(s, pa.int32()), pa.array(k, pa.int32()), pa.array(data, pa.binary())], ["row", "slice", "kind", "data"])
-
-    def merge(parts: pa.Table) -> pa.Table:
-        count = np.zeros(1 << log_slice, np.uint8)
-        for kind, data in zip(parts.column("kind").to_pylist(), parts.column("data"), strict=True):
-            at = unpack(data.as_py())  # without repeats, so plain indexing adds one each
-            count[at] = 2 if kind else np.minimum(count[at] + 1, 2)
-        return pa.table({"row": parts.column("row").slice(0, 1), "slice": parts.column("slice").slice(0, 1), "bits": pa.array([np.packbits(count > 1).tobytes()], pa.binary())})
-
-    parts = docs.mapInArrow(sketch, "row int, slice int, kind int, data binary")
-    return {(r["row"], r["slice"]): r["bits"] for r in parts.groupBy("row", "slice").applyInArrow(merge, "row int, slice int, bits binary").collect()}
+def _hashes(batches):
+    for _, _, sizes, words in batches_of(_pairs(batches)):
+        yield windows(sizes, words)[1:]
 
 
 def _ship(shared, log_width: int, shards: int):
     """Second pass over documents: candidate windows by shard, one for each digest and batch; the rest are marked here."""
-    log_slice = min(LOG_SLICE, log_width)
 
     def run(batches):
-        full = 1 << log_width
-        sketch = []
-        for row in range(DEPTH):
-            bits = np.zeros(full // 8 or 1, np.uint8)
-            for (r, s), data in shared.value.items():
-                if r == row:
-                    part = np.frombuffer(data, np.uint8)
-                    bits[s << log_slice - 3 : (s << log_slice - 3) + len(part)] = part
-            sketch.append(bits)
+        sketch = shared.value
         for ids, keys, sizes, words in batches_of(_pairs(batches)):
             at, h1, h2 = windows(sizes, words)
-            open_ = np.ones(len(at), bool)
-            for bits, c in zip(sketch, counters(h1, h2, log_width), strict=True):
-                open_ &= (bits[(c >> np.uint64(3)).astype(np.int64)] >> (7 - (c & np.uint64(7))).astype(np.uint8)) & 1 > 0
+            open_ = in_sketch(sketch, h1, h2, log_width)
             at, h1, h2 = at[open_], h1[open_], (h2[open_] >> np.uint64(32)).astype(np.uint32)
             if not len(at):
                 continue
@@ -174,10 +93,12 @@ def _ship(shared, log_width: int, shards: int):
             ends = np.searchsorted(shard, np.arange(1, shards + 1))
             for s, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
                 pick = np.arange(a, b)[~later[a:b]]
+                pick = pick[np.argsort(at[pick])]  # places pack best in order
                 if len(pick):
-                    rows.append((0, s, h1[pick].tobytes(), h2[pick].tobytes(), *_where(at[pick], ids, keys, starts)))
-            if later.any():
-                rows.append((1, batch % shards, b"", b"", *_where(np.sort(at[later]), ids, keys, starts)))
+                    docs = np.unique(doc[pick])
+                    rows.append((0, s, h1[pick].tobytes(), h2[pick].tobytes(), pack(at[pick]), squeeze(ids[docs]), b"", pack(starts[docs])))
+            # The batch's documents travel once, with what is marked already.
+            rows.append((1, batch % shards, b"", b"", pack(np.sort(at[later])), squeeze(ids), keys.tobytes(), pack(starts)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([batch] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
@@ -187,10 +108,15 @@ def _ship(shared, log_width: int, shards: int):
     return run
 
 
-def _where(at: np.ndarray, ids: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """Places, and the documents that they lie in."""
-    docs = np.unique(np.searchsorted(starts, at, "right") - 1)
-    return at.astype(np.uint32).tobytes(), ids[docs].tobytes(), keys[docs].tobytes(), starts[docs].astype(np.uint32).tobytes()
+def squeeze(ids: np.ndarray) -> bytes:
+    """64-bit numbers as compressed planes of bytes."""
+    return len(ids).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(ids.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel().astype(np.int64)
 
 
 def _first_ones(part: pa.Table) -> pa.Table:
@@ -203,9 +129,9 @@ def _first_ones(part: pa.Table) -> pa.Table:
         h2 = np.concatenate([np.frombuffer(r["h2"], np.uint32) for r in grouped])
         doc, pos = [], []
         for r in grouped:
-            at, starts = np.frombuffer(r["at"], np.uint32), np.frombuffer(r["starts"], np.uint32)
+            at, starts = unpack(r["at"]), unpack(r["starts"])
             d = np.searchsorted(starts, at, "right") - 1
-            doc.append(np.frombuffer(r["ids"], np.int64)[d])
+            doc.append(unsqueeze(r["ids"])[d])
             pos.append(at - starts[d])
         sizes = [len(x) for x in doc]
         doc, pos = np.concatenate(doc), np.concatenate(pos)
@@ -217,20 +143,20 @@ def _first_ones(part: pa.Table) -> pa.Table:
         later[order] = same & ~((d == d[first]) & (p == p[first]))
         for r, mark in zip(grouped, np.split(later, np.cumsum(sizes)[:-1]), strict=True):
             if mark.any():
-                out.append((r["batch"], np.frombuffer(r["at"], np.uint32)[mark].tobytes(), r["ids"], r["keys"], r["starts"]))
+                out.append((r["batch"], pack(unpack(r["at"])[mark]), b"", b"", b""))
     cols = list(zip(*out, strict=True)) or [()] * 5
     return pa.table({"batch": pa.array(cols[0], pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(("at", "ids", "keys", "starts"), cols[1:], strict=True)}})
 
 
 def _runs(part: pa.Table) -> pa.Table:
     """A batch's marked places as word runs of its documents."""
-    found = [[], [], []]
-    for r in part.to_pylist():
-        at, starts = np.frombuffer(r["at"], np.uint32).astype(np.int64), np.frombuffer(r["starts"], np.uint32).astype(np.int64)
-        d = np.searchsorted(starts, at, "right") - 1
-        for to, x in zip(found, (np.frombuffer(r["ids"], np.int64)[d], np.frombuffer(r["keys"], np.int64)[d], at - starts[d]), strict=True):
-            to.append(x)
-    ids, keys, pos = map(np.concatenate, found)
+    rows = part.to_pylist()
+    own = next(r for r in rows if r["keys"])  # of two equal batches either will do
+    at, starts = np.unique(np.concatenate([unpack(r["at"]) for r in rows])), unpack(own["starts"])
+    if not len(at):
+        return pa.table({n: pa.array([], t) for n, t in (("id", pa.int64()), ("key", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())))})
+    d = np.searchsorted(starts, at, "right") - 1
+    ids, keys, pos = unsqueeze(own["ids"])[d], np.frombuffer(own["keys"], np.int64)[d], at - starts[d]
     order = np.lexsort((pos, keys, ids))
     ids, keys, pos = ids[order], keys[order], pos[order]
     new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))
@@ -248,13 +174,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     guess = max(1, chars // 6)
-    log_width = min(MAX_LOG_WIDTH, max(12, int(2 * guess - 1).bit_length()))
+    log_width = log_width_for(guess)
     shards = int(max(1, -(-guess // SHARD_WINDOWS)))
-    shared = spark.sparkContext.broadcast(merged_sketch(docs, log_width))
+    shared = spark.sparkContext.broadcast(merged_sketch(docs, _hashes, log_width)[0])
     schema = "batch long, kind int, shard int, h1 binary, h2 binary, at binary, ids binary, keys binary, starts binary"
     shipped = docs.mapInArrow(_ship(shared, log_width, shards), schema)
     marked = shipped.groupBy("shard").applyInArrow(_first_ones, "batch long, at binary, ids binary, keys binary, starts binary")
-    return marked.groupBy("batch").applyInArrow(_runs, "id long, key long, a array<int>, b array<int>")
+    runs = marked.groupBy("batch").applyInArrow(_runs, "id long, key long, a array<int>, b array<int>")
+    return runs.groupBy("id", "key").agg(F.max(F.struct("a", "b")).alias("r")).select("id", "key", "r.a", "r.b")  # a row repeated in two batches has equal runs
 
 
 def dedup(docs: DataFrame) -> DataFrame:
