@@ -182,6 +182,7 @@ def group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     first = named.groupBy("v").agg(F.min("least").alias("first")).withColumnRenamed("v", "root")
     of = named.join(first, named["v"] == first["root"]).select(F.col("u").alias("node"), "first")
     names = nodes.join(of, nodes["fp"] == of["node"], "left").select(F.col("fp").alias("f"), F.coalesce("first", "least").alias("component_id"))
+    names = cut(names)  # both sides of the join are then dealt anew, so a hot fingerprint's rows can be split
     return prints.join(names, prints["fp"] == names["f"]).select("doc_id", "fp", "component_id")
 
 
