@@ -95,7 +95,7 @@ def test_greedy_consensus(spark):
     assert (got["rep"], round(got["score"], 6), got["n"], got["rank"]) == ("Ixodane Luzarn", 1.4, 2, 2)
 
 
-@pytest.mark.parametrize("field,value,want,how", [("fee_status", "unpa1d", "unpaid", "similar"), ("visa_class", "XW-9", "XW-9", "kept"), ("species_code", "ORION", "ORION_GRAYS", "contained"), ("home_world", "Qo'noS Prime", "Qo'noS Prime", "kept"), ("species_code", "KLINGON_WARRIOR", "KLINGON_WARRIOR", "kept"), ("visa_class", "dip 1", "DIP-1", "exact"), ("home_world", "unknown", "unknown", "none")])
+@pytest.mark.parametrize("field,value,want,how", [("fee_status", "unpa1d", "unpaid", "exact"), ("fee_status", "unqaid", "unpaid", "similar"), ("visa_class", "XW-9", "XW-9", "kept"), ("species_code", "ORION", "ORION_GRAYS", "contained"), ("home_world", "Qo'noS Prime", "Qo'noS Prime", "kept"), ("species_code", "KLINGON_WARRIOR", "KLINGON_WARRIOR", "kept"), ("visa_class", "dip 1", "DIP-1", "exact"), ("home_world", "unknown", "unknown", "none")])
 def test_snap(spark, field, value, want, how):
     got = one(spark, vocab.match_detail(F.col("v"), field), v=value)
     assert (got["value"], got["how"]) == (want, how)
