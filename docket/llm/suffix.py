@@ -230,12 +230,28 @@ def repeated_starts(blocks: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, n
 
 
 def _mark(out: _Out, rows: list[tuple], split: bool) -> None:
-    """One suffix array over rows (anchor, id, key, a, n, whole, block)."""
+    """One suffix array over rows (anchor, id, key, a, n, whole, block).
+
+    An anchor whose blocks here are all equal has nothing to compare: equal strings
+    have their anchor at equal distances, so a block never repeats a string within itself.
+    """
     distinct: dict[tuple[int, bytes], list] = {}
+    several: dict[int, int] = {}
     for r in rows:
-        distinct.setdefault((r[0], r[6]), []).append(r)
-    kinds = list(distinct.items())
-    blocks = [(b, rs[0][4], sum(1 + r[5] for r in rs)) for (_, b), rs in kinds]
+        own = distinct.setdefault((r[0], r[6]), [])
+        several[r[0]] = several.get(r[0], 0) + (not own)
+        own.append(r)
+    kinds = []
+    for (anchor, block), rs in distinct.items():
+        if split or several[anchor] > 1:
+            kinds.append((block, rs))
+        elif len(rs) > 1 or rs[0][5]:
+            for r in rs:
+                if not r[5]:
+                    out.add(0, r[1], r[2], r[3], r[4], None, None)
+    if not kinds:
+        return
+    blocks = [(b, rs[0][4], sum(1 + r[5] for r in rs)) for b, rs in kinds]
     starts, twice, group = repeated_starts(blocks)
     cut = np.cumsum([n for _, n, _ in blocks])[:-1]
     for (_, rs), marks in zip(kinds, np.split(twice, cut), strict=True):
@@ -250,7 +266,7 @@ def _mark(out: _Out, rows: list[tuple], split: bool) -> None:
         which = np.searchsorted(np.append(cut, len(group)), first, "right")
         base = np.concatenate(([0], cut))
         for f, w in zip(first.tolist(), which.tolist(), strict=True):
-            (_, block), rs = kinds[w]
+            block, rs = kinds[w]
             at = f - int(base[w])
             d = hashlib.blake2b(block[at : at + LENGTH], digest_size=16).digest()
             out.add(2, rs[0][1], rs[0][2], rs[0][3] + at, 0 if twice[f] else 1, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
@@ -276,6 +292,10 @@ def _shards(shared):
             if split and mine:
                 _mark(out, mine, True)
             elif mine:
+                if len(known) == 1:
+                    _mark(out, mine, False)
+                    mine = []
+                    return
                 if pool and (pooled + size > SHARD or len(pool) > 100_000):
                     _mark(out, pool, False)
                     pool, pooled = [], 0
