@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import PAGE_RANK, RAW_STRINGS, REVOKED_SPONSORS, VOCABULARY
+from ..constants import DECISIONS, PAGE_RANK, RAW_STRINGS, REASONS, REVOKED_SPONSORS, VOCABULARY
+from ..functions.fuzzy import note_signals
 from ..functions.text import amount_of, squash
 from .flags import flag_bits
 
@@ -147,6 +148,24 @@ def cross_source(readings: DataFrame, key: str = KEY) -> DataFrame:
     return n.groupBy(key, "field").agg(F.sum("n").alias("votes"), F.count("*").alias("distinct_values"), (F.max("n") / F.sum("n")).alias("top_share"), ((F.count("*") >= 2) & (F.sum("n") >= 2)).cast("int").alias("conflict"))
 
 
+def notes(lines: DataFrame, key: str = KEY) -> DataFrame:
+    """Score and decision of adjudicators' notes, and a bit for each reason; lines go in page order and may wrap."""
+    sq = squash(F.col("t"))
+    own = lines.where(F.length(sq) >= 3).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pg_pos", "ln_pos", sq.alias("sq")))), lambda x: x["sq"]).alias("xs"))
+    able = own.where(F.exists("xs", lambda x: (F.length(x) >= 5)))
+    told = able.select(key, note_signals(F.col("xs")).alias("n"))
+    return told.select(
+        key, F.col("n.score").alias("note_score"), *[_bit(F.col("n.decision") == d).alias(f"note_{d.lower()}") for d in DECISIONS], F.size("n.reasons").cast("double").alias("note_reasons"),
+        *[_bit(F.array_contains("n.reasons", r)).alias(f"note_reason_{r}") for r in REASONS],
+    )
+
+
+def slip(evidence: Column) -> dict[str, Column]:
+    """How far a slip's flags can be relied on."""
+    anchor, resolved, n = evidence["slip_anchor"], evidence["slip_resolved"], F.size(evidence["slip_flags"])
+    return {"slip_anchor": _bit(anchor), "slip_resolved": _bit(anchor & resolved), "slip_unresolved": _bit(anchor & ~resolved), "slip_clean": _bit(anchor & resolved & (n == 0)), "slip_n": F.coalesce(n, F.lit(0)).cast("double"), "slip_note_n": F.coalesce(F.size(evidence["note_flags"]), F.lit(0)).cast("double"), "slip_name_conflict": _bit(evidence["name_conflict"])}
+
+
 def one_hots(columns: dict[str, list[str]] | None = None) -> dict[str, Column]:
     """A bit for each closed value."""
     columns = {k: VOCABULARY[k] for k in ("visa_class", "fee_status")} if columns is None else columns
@@ -164,6 +183,6 @@ def design(lines: DataFrame, types: DataFrame, fields: DataFrame, text: str = "v
     more = {**policy(t), **dates(t, F.col("arrival_date")), **fee_arithmetic(t), **biometric(t), **sponsor_letter(t)}
     out = fields.select(KEY, text, "arrival_date", "fee_status", "visa_class", "sponsor_id", "applicant_name", "risk_flags", *[c.alias(n) for n, c in flat.items()])
     out = out.select(KEY, *flat, *[c.alias(n) for n, c in more.items()])
-    for family in (shape(lines), page_profile(lines, types), stamps(lines), damage(lines, types)):
+    for family in (shape(lines), page_profile(lines, types), stamps(lines), damage(lines, types), notes(lines)):
         out = out.join(family, KEY, "left")
     return out.na.fill(0.0)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLUSTER_RATIO, CONTENT_FIELDS, OUTPUT_ORDER, PLACEHOLDER, RESPACED_FIELDS
-from ..functions.text import clean, fee_from_receipt, is_redacted, norm_date, norm_fee_exact, norm_sponsor, norm_visa, squash
+from ..functions.fuzzy import norm_fee
+from ..functions.text import clean, fee_from_receipt, is_redacted, norm_date, norm_sponsor, norm_visa, squash
 from ..operators import candidates, consensus, decide, features, flags, layout, respace, trust, vocab
 
 PAGE = ["case_id", "pg_pos"]
-NORMALIZERS = {"arrival_date": norm_date, "fee_status": norm_fee_exact, "visa_class": norm_visa, "sponsor_id": norm_sponsor}
+NORMALIZERS = {"arrival_date": norm_date, "fee_status": norm_fee, "visa_class": norm_visa, "sponsor_id": norm_sponsor}
 
 
 def relations(records: DataFrame) -> dict[str, DataFrame]:

@@ -77,6 +77,20 @@ def test_windows_and_labels():
     assert fuzzy.flags_in("", 0.62) == [] and fuzzy.flags_in("cboanvedflgecnom", 0.70) == []
 
 
+def test_notes(spark):
+    score_, decision, reasons = fuzzy.notes_of(["manualadjudicatornote", "findingdenied", "reasonmandatoryfeeunpaid"])
+    assert (score_, decision) == (1.0, "DENIED") and "fee_unpaid" in reasons
+    assert fuzzy.notes_of(["find1ng", "approved"])[1] == "APPROVED" and fuzzy.notes_of(["nothinghere"]) == (0.0, None, [])
+    lines = spark.createDataFrame([("c", 0, 0, "Finding: NEEDS REVIEW"), ("c", 0, 1, "Reason: Revoked sponsor"), ("d", 0, 0, "x")], "case_id string, pg_pos int, ln_pos int, t string")
+    got = {r["case_id"]: r for r in features.notes(lines).collect()}
+    assert got["c"]["note_needs_review"] == 1.0 and got["c"]["note_reason_revoked_spn"] == 1.0 and got["c"]["note_denied"] == 0.0
+
+
+@pytest.mark.parametrize("value,want", [("Fee: unpald", "unpaid"), ("wa1ved", "waived"), ("zzz", None), ("", None)])
+def test_fee_by_nearness(spark, value, want):
+    assert one(spark, fuzzy.norm_fee(F.col("v")), v=value) == want
+
+
 def test_corrections():
     assert candidates.correction_of("Manualcorrection:sponsorisSPN-4705.") == ("sponsor_id", "SPN-4705")
     assert candidates.correction_of("Manual correction: fee status is paid.") == ("fee_status", "paid")
