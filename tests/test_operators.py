@@ -69,6 +69,20 @@ def test_ratio_is_not_symmetric(spark):
     assert all(r["r"] == SequenceMatcher(None, r["a"], r["b"]).ratio() <= r["m"] + 1e-12 for r in rows)
 
 
+@pytest.mark.parametrize("pattern_first", [True, False])
+def test_window_is_the_first_best_of_all(pattern_first):
+    rng = random.Random(9)
+    for _ in range(150):
+        pattern, text = ("".join(rng.choice("abcd") for _ in range(n)) for n in (rng.randrange(1, 9), rng.randrange(0, 25)))
+        least, most, best = max(3, int(0.55 * len(pattern))), int(1.5 * len(pattern)), (0.0, 0, 0)
+        spans = [(0, len(text))] if len(text) < least else [(i, i + n) for n in range(least, min(most, len(text)) + 1) for i in range(len(text) - n + 1)]
+        for i, j in spans if text else ():
+            r = fuzzy.matched(pattern, text[i:j]) if pattern_first else fuzzy.matched(text[i:j], pattern)
+            if r > best[0]:
+                best = (r, i, j)
+        assert fuzzy.window(pattern, text, 0.55, 1.5, pattern_first) == best
+
+
 def test_windows_and_labels():
     assert fuzzy.window("none", "xxnonexx", 0.55, 1.5, True)[0] == 1.0
     assert fuzzy.label_of("feestatus")[0] == "fee_status" and fuzzy.label_of("caseid")[0] is None
