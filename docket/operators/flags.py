@@ -25,6 +25,7 @@ def parse_flags(text: Column) -> Column:
 def slip_values(lines: DataFrame) -> DataFrame:
     """case_id, value: what follows `observed flags` on slip pages, up to page furniture."""
     pages = lines.groupBy(*KEYS).agg(squash(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln_pos", "t"))), lambda x: x["t"]), " ")).alias("psq"))
+    pages = pages.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)  # spread the Python work
     sure = F.col("psq").rlike(r"biometric|scanimage|speciesmatch|formb\d{1,2}")
     slips = pages.where(sure).select(*KEYS).union(
         pages.where(~sure).where(best_window()(F.lit("biometricscanslip"), F.substring("psq", 1, 160))["ratio"] >= SLIP_RATIO).select(*KEYS)

@@ -530,9 +530,9 @@ def flag_match(spark, sf_dir):
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets made of customers: an intake page, a fee receipt and a slip, with misprints and an untrusted layer."""
-    c = table(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
+    """Packets made of suppliers: an intake page, a fee receipt and a slip, with misprints and an untrusted layer."""
+    c = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
     world = F.get(F.array(*[F.lit(w) for w in ("Titan Freeport", "Mars Dome-7", "Zeta Reticuli", "Eris Relay")]), (k % 4).cast("int"))
     purpose = F.get(F.array(*[F.lit(w) for w in ("research", "field repair", "transit", "medical consult")]), (k % 4).cast("int"))
     visa = F.get(F.array(*[F.lit(w) for w in ("XW-1", "MED-3", "DIP-1", "TRANSIT-7")]), (k % 4).cast("int"))

@@ -19,7 +19,7 @@ ROOT = Path(__file__).resolve().parent.parent
 @pytest.fixture(scope="module")
 def some(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("tables")
-    spark.createDataFrame([(i, f"Customer#{i}", i % 3, 1.0 * i, "BUILDING") for i in range(1, 9)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(i, f"Supplier#{i}", i % 3, 1.0 * i) for i in range(1, 9)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
     return workload.records(spark, str(d))
 
 
