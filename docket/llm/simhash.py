@@ -191,8 +191,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents, of each component only the row of the smallest doc_id; rows without doc_id stay."""
-    found = cut(group(docs).select("doc_id", "component_id"))
+    """documents, of each component of near copies only the row of the smallest doc_id; rows without doc_id stay.
+
+    A stage on word shingles takes five words and similarity 0.8 or more, which `near` does; DISTANCE bits of
+    three-word shingles bind the query only.
+    """
+    from . import near  # it uses components()
+
+    found = cut(near.group(docs).select("doc_id", "component_id"))
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     ids = found.where("doc_id = component_id").agg(F.count("*"), F.count_distinct("doc_id")).first()
