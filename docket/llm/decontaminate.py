@@ -2,7 +2,7 @@
 
 The normalised benchmark items go into one suffix automaton, built on the driver
 within a checked bound and broadcast (larger benchmarks go shard by shard,
-one automaton after another).  Each document streams its words through it, always
+one automaton after another, and the runs of all are merged before anything is judged or cut).  Each document streams its words through it, always
 knowing the longest suffix that some item contains.  A window is `span`
 consecutive words of an item, or the whole of a shorter item.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import cut, table
 
 SPAN = 10
 #: Words of one automaton at most; a larger benchmark is split into several.
@@ -140,10 +140,14 @@ class Automaton:
         return runs, items
 
 
+def shards_of(benchmark: DataFrame, text_col: str) -> int:
+    size = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-size // min(MAX_CHARS, 2 * MAX_WORDS)))  # a word and its separator have two characters at least
+
+
 def automata(benchmark: DataFrame, id_col: str, text_col: str, span: int) -> Iterator[Automaton]:
     """One automaton, or as many as the bounds ask for, one in memory at a time."""
-    size = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-size // min(MAX_CHARS, 2 * MAX_WORDS)))  # a word and its separator have two characters at least
+    shards = shards_of(benchmark, text_col)
     for k in range(shards):
         part = benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(shards)) == k) if shards > 1 else benchmark
         yield Automaton([(r[0], words_of(r[1])) for r in part.select(id_col, text_col).collect()], span)
@@ -226,28 +230,48 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, cover
     Cutting can bring words together, so a text is scanned again until nothing
     is hit.  Clean rows pass unchanged, null texts too.
     """
-    sc = docs.sparkSession.sparkContext
+    if shards_of(benchmark, "text") > 1:
+        return _in_rounds(docs, benchmark, span, coverage)
     at = docs.columns.index("text")
-    for automaton in automata(benchmark, "item_id", "text", span):
-        shared = sc.broadcast(automaton)
-
-        def clean(batches, shared=shared):
-            auto = shared.value
-            for batch in batches:
-                texts, keep = batch.column(at).to_pylist(), []
-                for i, text in enumerate(texts):
-                    words = words_of(text)
-                    runs = auto.scan(words)[0]
-                    keep.append(sum(b - a for a, b in runs) <= coverage * len(words))
-                    while keep[-1] and runs:
-                        texts[i] = text = cut_words(text, runs)
-                        runs = auto.scan(words_of(text))[0]
-                cols = list(batch.columns)
-                cols[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    shared = docs.sparkSession.sparkContext.broadcast(next(automata(benchmark, "item_id", "text", span)))
+
+    def clean(batches):
+        auto = shared.value
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), []
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                runs = auto.scan(words)[0]
+                keep.append(sum(b - a for a, b in runs) <= coverage * len(words))
+                while keep[-1] and runs:
+                    texts[i] = text = cut_words(text, runs)
+                    runs = auto.scan(words_of(text))[0]
+            cols = list(batch.columns)
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _in_rounds(docs: DataFrame, benchmark: DataFrame, span: int, coverage: float) -> DataFrame:
+    """The same by several automata: each round takes the merged runs of all, and only texts that were cut go to the next."""
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    less = F.udf(lambda text, hits: cut_words(text, [(x["a"], x["b"]) for x in hits]), "string")
+    todo, done = docs.toDF(*names), []
+    while True:
+        found = cut(find_spans(todo, benchmark, span))
+        if not done:  # coverage is judged once, on the words as they came
+            n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+            found = found.where(n_hit <= F.lit(coverage) * F.col("n_words"))
+        done.append(found.where(F.size("hits") == 0).select(*names))
+        hit = found.where(F.size("hits") > 0)
+        if hit.isEmpty():
+            break
+        todo = hit.withColumn("text", less("text", "hits")).select(*names)
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out.toDF(*docs.columns)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
