@@ -209,8 +209,7 @@ FROM (SELECT doc_id, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS s, regexp
 def fee_and_visa(spark, sf_dir):
     k = F.col("doc_id") % 6
     head = F.when(k == 0, "Un-paid ").when(k == 1, "fee waived, xw 1").when(k == 2, "PAID DIP-1").when(k == 3, "no match med3").when(k == 4, "pd").otherwise("")
-    start = F.substring("text", 1, 20)
-    rows = table(spark, sf_dir, "documents").where(start.rlike(r"^[\x20-\x7E\n]*$")).select("doc_id", F.concat(head, start).alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("t"))
     return rows.select("doc_id", tx.norm_fee_exact(F.col("t")).alias("fee"), tx.norm_visa(F.col("t")).alias("visa"))
 
 
