@@ -15,8 +15,8 @@ from ..functions.text import eval_key, unspaced
 
 def printed(key: str, tokens: list[str]) -> list[list[str]]:
     """Runs of tokens that spell key: its places in the joined page that begin and end where tokens do."""
-    blob = "".join(tokens).lower()
-    ends = {n: i for i, n in enumerate(accumulate((len(t) for t in tokens), initial=0))}
+    blob, key = "".join(tokens).lower().replace("ς", "σ"), key.replace("ς", "σ")  # a sigma's form follows its place in a word
+    ends = {n: i for i, n in enumerate(accumulate((len(t.lower()) for t in tokens), initial=0))}  # lower() can lengthen
     out, at = [], blob.find(key)
     while at >= 0:
         if at in ends and at + len(key) in ends:

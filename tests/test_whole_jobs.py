@@ -26,3 +26,16 @@ def test_fee_and_visa(spark, tables):
     sf = tables(documents=([(5, LATE + "then un-paid, class med 3"), (11, "é"), (17, None), (2, None)], DOC))
     got = {r["doc_id"]: (r["fee"], r["visa"]) for r in workload.fee_and_visa(spark, sf).collect()}
     assert got == {5: ("unpaid", "MED-3"), 11: (None, None), 17: (None, None), 2: ("paid", "DIP-1")}
+
+
+def test_respace_ngrams(spark, tables):
+    sf = tables(documents=([(1, "one twox three four five six " + "İpsum é " * 60 + "two xthree"), (2, "é alpha beta c d e")], DOC))
+    got = {r["doc_id"]: (r["squeezed"], r["repaired"]) for r in workload.respace_ngrams(spark, sf).collect()}
+    assert got == {1: ("twoxthree", "twox three"), 2: ("alphabeta", "alpha beta")}
+    sf2 = f"{sf}/late"
+    text = "aa bigcat dogs four five six " + "İpsum é " * 60 + "big cat dogs"
+    spark.createDataFrame([(1, text)], DOC).write.parquet(f"{sf2}/documents.parquet")
+    from docket.operators.respace import respaced
+
+    assert respaced("bigcatdogs", text) == "big cat dogs"  # the better run stands last
+    assert workload.respace_ngrams(spark, sf2).count() == 0  # three words
