@@ -220,7 +220,7 @@ FROM (SELECT doc_id, regexp_replace(CASE doc_id % 7 WHEN 0 THEN 'name redacted'
 """)
 def redaction_filter(spark, sf_dir):
     k = F.col("doc_id") % 7
-    t = F.when(k == 0, "name redacted").when(k == 1, "(white out)").when(k == 2, "Data  Lost").when(k == 3, "").otherwise(F.substring(F.col("text"), F.lit(1), (1 + F.col("doc_id") % 9).cast("int")))
+    t = F.when(k == 0, "name redacted").when(k == 1, "(white out)").when(k == 2, "Data  Lost").when(k == 3, "").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", tx.is_redacted(t).alias("redacted"))
 
 
@@ -359,9 +359,9 @@ FROM (SELECT doc_id, substr(text, 1, 12) AS v FROM documents) d LEFT JOIN (SELEC
 """)
 def hidden_agreement(spark, sf_dir):
     """Verdict of two readings of a text; near and disagree are one here, as their border is a ratio SQL does not have."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("v"))
-    twin = d.where(F.col("v").rlike("^[A-Za-z ,.]*$")).select(F.col("doc_id").alias("i"), F.upper("v").alias("u"))
-    b = table(spark, sf_dir, "benchmark").join(twin, F.col("item_id") == F.col("i"), "left").select("item_id", F.when(F.col("item_id") % 2 == 0, F.substring("text", 1, 12)).otherwise(F.col("u")).alias("h"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("v"))
+    twin = d.select(F.col("doc_id").alias("i"), F.upper("v").alias("u"))
+    b = table(spark, sf_dir, "benchmark").join(twin, F.col("item_id") == F.col("i"), "left").select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.col("u")).alias("h"))
     out = d.join(b, F.col("doc_id") == F.col("item_id"), "left")
     verdict = F.when(F.col("h").isNull(), "no_hidden").when(F.col("v").isNull() | (F.col("v") == ""), "no_visible").when(F.lower("v") == F.lower("h"), "agree").otherwise("other")
     return out.select("doc_id", verdict.alias("verdict"))

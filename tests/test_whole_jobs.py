@@ -39,3 +39,13 @@ def test_respace_ngrams(spark, tables):
 
     assert respaced("bigcatdogs", text) == "big cat dogs"  # the better run stands last
     assert workload.respace_ngrams(spark, sf2).count() == 0  # three words
+
+
+def test_hidden_agreement_and_redaction_filter(spark, tables):
+    same = "twelve lettr"
+    docs = [(1, "1é " + same), (2, same + " one"), (4, same + " two"), (3, None), (6, "x[")]
+    sf = tables(documents=(docs, DOC), benchmark=([(1, "q"), (2, same + " other"), (4, same.upper() + " TWO"), (3, "q")], "item_id long, text string"))
+    assert {r["doc_id"]: r["verdict"] for r in workload.hidden_agreement(spark, sf).collect()} == {1: "agree", 2: "other", 4: "agree", 3: "no_hidden", 6: "no_hidden"}
+    sf2 = f"{sf}/redacted"
+    spark.createDataFrame([(4, "long text with a [gap]"), (5, "a good long text"), (6, "- - lettered"), (11, "Name torn"), (12, None)], DOC).write.parquet(f"{sf2}/documents.parquet")
+    assert {r["doc_id"]: r["redacted"] for r in workload.redaction_filter(spark, sf2).collect()} == {4: True, 5: False, 6: False, 11: True}
