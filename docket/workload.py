@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .constants import FLAGS
 from .functions import text as tx
 from .operators import consensus, decide, features, flags, layout, respace, score, vocab
-from .sources.sinks import document
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -499,8 +498,8 @@ def fuzzy_ratio_topk(spark, sf_dir):
     from .functions.fuzzy import bound, ratio
 
     part = table(spark, sf_dir, "part")
-    types = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").limit(200).collect()]  # a closed set of type names
-    names = part.select(tx.squash(F.col("p_name")).alias("a")).distinct().withColumn("b", F.explode(F.array(*[F.lit(t.lower()) for t in types])))
+    types = part.select(F.lower("p_type").alias("b")).where("b is not null").distinct()
+    names = part.select(tx.squash(F.col("p_name")).alias("a")).distinct().crossJoin(types)
     near = names.where(bound(F.col("a"), F.col("b")) >= 0.3).withColumn("r", ratio(F.col("a"), F.col("b")))
     return near.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("r"), "b"))).where("rank <= 3")
 
@@ -592,9 +591,9 @@ def quality_model_oof(spark, sf_dir):
 
 @query()
 def predictions_document(spark, sf_dir):
-    """Decisions by nation as one JSON document."""
-    rows = nation_probabilities(spark, sf_dir).where("o_custkey <= 50").withColumn("d", decide.decide(F.col("p")))
-    return document(rows.select(F.col("o_custkey").cast("string").alias("case_id"), F.col("d.decision").alias("adjudication"), F.round("d.confidence", 4).alias("confidence")))
+    """Decisions by customer, each one JSON text with sorted keys."""
+    rows = nation_probabilities(spark, sf_dir).withColumn("d", decide.decide(F.col("p")))
+    return rows.select(F.to_json(F.struct(F.col("d.decision").alias("adjudication"), F.col("o_custkey").cast("string").alias("case_id"), F.round("d.confidence", 4).alias("confidence"))).alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,14 @@ def test_hidden_agreement_and_redaction_filter(spark, tables):
     sf2 = f"{sf}/redacted"
     spark.createDataFrame([(4, "long text with a [gap]"), (5, "a good long text"), (6, "- - lettered"), (11, "Name torn"), (12, None)], DOC).write.parquet(f"{sf2}/documents.parquet")
     assert {r["doc_id"]: r["redacted"] for r in workload.redaction_filter(spark, sf2).collect()} == {4: True, 5: False, 6: False, 11: True}
+
+
+def test_predictions_of_all_customers(spark, tables):
+    sf = tables(orders=([(i, i, "F") for i in range(1, 121)], "o_orderkey long, o_custkey long, o_orderstatus string"))
+    got = [json.loads(r["value"]) for r in workload.predictions_document(spark, sf).collect()]
+    assert sorted(int(r["case_id"]) for r in got) == list(range(1, 121)) and all(r["adjudication"] == "APPROVED" and list(r) == sorted(r) for r in got)
+
+
+def test_fuzzy_ratio_topk_has_all_types(spark, tables):
+    sf = tables(part=([(f"A{i:03}", "zebra") for i in range(230)] + [("ZEBRA", "zebra"), (None, "other")], "p_type string, p_name string"))
+    assert {(r["a"], r["b"]) for r in workload.fuzzy_ratio_topk(spark, sf).collect() if r["rank"] == 1} >= {("zebra", "zebra")}
