@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has none (tests on one machine) a folder of our own is used.
+    Only where the session has none and runs on one machine (tests) a folder of our own is used.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docket-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docket-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -40,3 +43,14 @@ def ascii_lower(col: Column) -> Column:
 def width(spark: SparkSession) -> int:
     """Partitions to deal rows to: what the session has for shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """Each name as it is or, where df has such a column (whatever its case), with underscores before it; one name gives a string."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else out

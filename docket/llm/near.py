@@ -1,11 +1,13 @@
 """Near copies by exact Jaccard similarity of five-word shingles.
 
-Texts of equal shingle sets are one node.  A node has BANDS keys, each of ROWS min-hashes, so that two
-sets of similarity s share a key with chance 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8, more above.  A radius
-of SimHash bits that reaches 0.8 (about 16 of 64) leaves pigeonring chains no segments to join on, hence keys
-of min-hashes.  Nodes that share a key are candidates; only an exact similarity of 4/5 or more links.
-Each node is compared with drawn ones of its buckets first, then with those of its buckets that are not yet
-linked to it, so dense buckets need no pair of all with all.
+Texts of equal shingle sets are one node.  SimHash fingerprints of the shingles come first: fingerprints that
+pigeonring chains link within a few bits give candidates.  Similar texts differ in up to some 16 of 64
+bits, which leaves chains no segments to join on, so keys of min-hashes find the rest: a node has
+BANDS keys, each of ROWS min-hashes, and two sets of similarity s share a key with chance
+1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8, more above.  Only an exact similarity of 4/5 or more links.
+Each node is compared with drawn ones of its buckets first; then, in buckets that are not one component yet,
+those outside the largest component are compared with all others, inside the tasks: what
+leaves a task are links between components, never pairs.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._common import cut, width
-from .simhash import components
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -33,23 +35,21 @@ FEW = 500_000
 FEW_A_NODE = 4
 #: A round that links less than one of so many pairs is the last.
 FRESH = 20
+#: Rows of a bucket that are compared as one block; a larger bucket has several blocks, each pair of blocks a cell of its own.
+BLOCK = 2_048
 
 _DRAW = np.random.default_rng(SEED)
 _MULT = _DRAW.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _DRAW.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 
 
+def _distinct(chunks: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(chunks), ">i8").astype(np.int64))
+
+
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of runs of A-Z-folded words; a shorter text is one run, no words have none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.int64)
-    whole = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k, digest = min(shingle, len(words)), xxhash.xxh64_digest
-    pairs = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    return np.unique(np.frombuffer(b"".join([digest(whole[a:b], SEED) for a, b in pairs]), ">i8").astype(np.int64))
+    return _distinct(list(simhash.digests(text, shingle)))
 
 
 def keys(found: np.ndarray) -> list[int]:
@@ -64,22 +64,24 @@ def keys(found: np.ndarray) -> list[int]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, th long (hash of the text), node long (hash of the shingle set), n int (its size), keys array<long>."""
+    """doc_id, th long (hash of the text), node long (hash of the shingle set), n int (its size), fp long (fingerprint), keys array<long>."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(2)]
+            chunks = [list(simhash.digests(t.as_py(), SHINGLE)) for t in batch.column(2)]
+            sets = [_distinct(c) for c in chunks]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1),
                     pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([simhash.majority(c) for c in chunks], pa.int64()),
                     pa.array([keys(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "th", "node", "n", "keys"],
+                ["doc_id", "th", "node", "n", "fp", "keys"],
             )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, node long, n int, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, node long, n int, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -109,56 +111,133 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(F.col("c") * LEAST[1] >= (F.col("na") + F.col("nb") - F.col("c")) * LEAST[0]).select("u", "v")
 
 
+def _near(a, b):
+    """Sizes that allow the similarity."""
+    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v): each node with the first of its fingerprint, and those first ones as fingerprints are linked."""
+    one = cut(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.where("n > 0").join(one.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).where("node != first").select(F.greatest("node", "first").alias("u"), F.least("node", "first").alias("v"))
+    stars = simhash.links(one.select("fp"))
+    a, b = (one.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(x)) for x in "ab")
+    linked = stars.join(a, F.col("u") == F.col("fp_a")).join(b, F.col("v") == F.col("fp_b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return same.union(linked).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (u, v) of similarity LEAST or more that connect all that share a key and are so similar.
 
-    In a round each node is compared with one drawn node of each of its buckets that is not linked to it yet.
-    Rounds go on while they link and more pairs are left than a few a node; then all that are left and can be
-    similar are compared.
+    The first round takes the pairs that fingerprints give.  In each other round a node is compared with one drawn node
+    of each of its buckets that is not linked to it yet.  Rounds go on while they link and more pairs are left
+    than a few a node; then buckets that are still several components are compared in blocks.
     """
-    near = lambda a, b: F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]  # sizes that allow the similarity
     key = W.partitionBy("key")
     rows = nodes.select("node", "n", F.explode("keys").alias("key")).withColumn("many", F.count("*").over(key))
     named = cut(rows.where("many > 1").select("key", "node", "n", F.col("node").alias("root")))
-    edges = tested = None
+    tested = cut(by_fingerprint(nodes))
+    edges = cut(confirmed(tested, docs, nodes))
+    named, fresh = _renamed(named, edges), True
     while True:
         told = _left(named)
-        if edges is not None and (told["pairs"] <= FEW_A_NODE * told["rows"] or not fresh):
+        if told["pairs"] <= FEW_A_NODE * told["rows"] or not fresh:
             break
-        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(0 if tested is None else told["pairs"])).alias("h"), "node", "n", "root")).over(key)
-        pairs = named.withColumn("d", drawn).where((F.col("root") != F.col("d.root")) & near(F.col("n"), F.col("d.n")))
+        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(told["pairs"])).alias("h"), "node", "n", "root")).over(key)
+        pairs = named.withColumn("d", drawn).where((F.col("root") != F.col("d.root")) & _near(F.col("n"), F.col("d.n")))
         pairs = pairs.select(F.greatest("node", "d.node").alias("u"), F.least("node", "d.node").alias("v")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
         found = cut(confirmed(pairs, docs, nodes))
         fresh = found.count() * FRESH >= pairs.count() > 0
-        tested = pairs if tested is None else tested.union(pairs)
-        edges = found if edges is None else edges.union(found)
-        of = components(edges).select(F.col("u").alias("m"), F.col("v").alias("r"))
-        named = named.join(of, F.col("node") == F.col("m"), "left").select("key", "node", "n", F.coalesce("r", "node").alias("root"))
-        named = named.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).where("lo != hi")
-        named = cut(named.select("key", "node", "n", "root"))
-    return edges.union(confirmed(_rest(docs, nodes, named, near).join(tested, ["u", "v"], "left_anti"), docs, nodes))
+        tested, edges = tested.union(pairs), edges.union(found)
+        named = _renamed(named, edges)
+    return edges.union(_rest(docs, nodes, named))
+
 
+def _renamed(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """named with each node's component as root, without buckets that are one component."""
+    key = W.partitionBy("key")
+    of = simhash.components(edges).select(F.col("u").alias("m"), F.col("v").alias("r"))
+    named = named.join(of, F.col("node") == F.col("m"), "left").select("key", "node", "n", F.coalesce("r", "node").alias("root"))
+    named = named.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).where("lo != hi")
+    return cut(named.select("key", "node", "n", "root"))
 
-def _rest(docs: DataFrame, nodes: DataFrame, named: DataFrame, near) -> DataFrame:
-    """Pairs (u, v) of named that are not linked yet and can be similar, by prefixes.
 
-    With any one order of shingles, similar sets have one in common among the first n - ceil(n * LEAST) + 1 of each;
-    with the rarest first, texts that only share most of a common passage seldom have.  Shingles of one node alone
-    are in no intersection, which bounds it.
+def _rest(docs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what is similar in buckets of several components.
+
+    Rows outside a bucket's largest component are its probes; every probe is compared with every row of another component.  Blocks
+    of rows by blocks of probes are cells; one cell is all of an ordinary bucket.
     """
-    left = cut(named.select("node", "n", "root").distinct())
-    each = cut(_sets(docs, nodes, left.select(F.col("node").alias("w"))).select("node", F.explode("set").alias("h")))
-    order = W.partitionBy("node").orderBy("df", "h")
-    ranked = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h").withColumns({"rank": F.row_number().over(order), "own": F.count_if(F.col("df") == 1).over(W.partitionBy("node"))})
-    n_least = F.ceil(F.col("n") * LEAST[0] / LEAST[1] - 1e-9)  # a place more where n * LEAST is whole by rounding only
-    rows = ranked.join(left.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).where(F.col("rank") <= F.col("n") - n_least + 1).select("h", "node", "n", "root", (F.col("n") - F.col("own")).alias("s"))
-    one = W.partitionBy("h")
-    rows = cut(rows.withColumns({"lo": F.min("root").over(one), "hi": F.max("root").over(one)}).where("lo != hi").select("h", "node", "n", "root", "s"))
-    other = rows.select(F.col("h").alias("h2"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("root").alias("r2"), F.col("s").alias("s2"))
-    enough = F.least("s", "s2") * (LEAST[0] + LEAST[1]) >= (F.col("n") + F.col("n2")) * LEAST[0]
-    found = rows.join(other, (F.col("h") == F.col("h2")) & (F.col("node") > F.col("v")) & (F.col("root") != F.col("r2")) & near(F.col("n"), F.col("n2")) & enough)
-    return found.select(F.col("node").alias("u"), "v").distinct()
+    if named.isEmpty():
+        return named.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    of = named.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy(F.col("key").alias("k"))
+    of = of.agg(F.sum("c").alias("rows"), F.max(F.struct("c", "root")).alias("main"))
+    of = of.select("k", F.col("main.root").alias("main"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("kh"), F.ceil((F.col("rows") - F.col("main.c")) / BLOCK).cast("int").alias("kp"))
+    rows = named.join(of, F.col("key") == F.col("k")).withColumns(
+        {"probe": F.col("root") != F.col("main"), "h": F.pmod(F.xxhash64("node"), "kh").cast("int"), "p": F.pmod(F.xxhash64("node", "key"), "kp").cast("int")}
+    )
+    cells = F.expr("transform(sequence(0, kp - 1), x -> named_struct('h', h, 'p', x))")
+    more = F.when(F.col("probe"), F.expr("transform(sequence(0, kh - 1), x -> named_struct('h', x, 'p', p))")).otherwise(F.expr("array()"))
+    rows = rows.select("key", "node", "root", "h", F.when(F.col("probe"), F.col("p")).otherwise(-1).alias("p"), F.explode(F.array_distinct(F.concat(cells, more))).alias("cell"))
+    sets = _sets(docs, nodes, named.select(F.col("node").alias("w")).distinct()).withColumnRenamed("node", "m")
+    rows = rows.join(sets, F.col("node") == F.col("m")).select("key", F.col("cell.h").alias("ch"), F.col("cell.p").alias("cp"), "h", "p", "node", "root", "set")
+    dealt = rows.repartition(width(docs.sparkSession), "key", "ch", "cp").sortWithinPartitions("key", "ch", "cp", "node")
+    return cut(dealt.mapInArrow(_cells, "u long, v long").distinct())
+
+
+def _cells(batches):
+    """Rows (key, ch, cp, h, p, node, root, set) sorted by cell: links between components of a cell."""
+    held, last = [], None
+
+    def settle():
+        edges = _linked(held)
+        held.clear()
+        if edges:
+            u, v = zip(*edges, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    for b in batches:
+        cells = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        sets = b.column(7)
+        for i, (cell, h, p, node, root) in enumerate(zip(cells, *(b.column(j).to_pylist() for j in range(3, 7)), strict=True)):
+            if cell != last:
+                yield from settle()
+                last = cell
+            held.append((h == cell[1], p == cell[2], node, root, sets[i].values.to_numpy()))
+    yield from settle()
+
+
+def _linked(rows: list[tuple]) -> list[tuple[int, int]]:
+    """(u, v), u the greater, for rows (home, probe, node, root, set): each probe with the similar homes of components that it is not linked to yet."""
+    homes = [r for r in rows if r[0]]
+    if len(rows) < 2 or not homes or not any(r[1] for r in rows):
+        return []
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    known = np.unique(np.concatenate([r[4] for r in rows]))
+    flag = np.zeros(len(known), np.int32)
+    at = np.searchsorted(known, np.concatenate([r[4] for r in homes]))
+    size = np.array([len(r[4]) for r in homes])
+    begin, out = np.cumsum(size) - size, []
+    for _, probe, node, root, own in rows:
+        if not probe:
+            continue
+        mine = np.searchsorted(known, own)
+        flag[mine] = 1
+        both = np.add.reduceat(flag[at], begin)
+        flag[mine] = 0
+        for j in np.nonzero(both * LEAST[1] >= (size + len(own) - both) * LEAST[0])[0].tolist():
+            a, b = top(root), top(homes[j][3])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((max(node, homes[j][2]), min(node, homes[j][2])))
+    return out
 
 
 def _left(named: DataFrame) -> dict:
@@ -168,12 +247,23 @@ def _left(named: DataFrame) -> dict:
     return {"rows": got["rows"] or 0, "pairs": (got["p"] or 0) // 2}
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """doc_id, th long, component_id: the smallest doc_id that links reach; texts without words are one node."""
+def group(docs: DataFrame, first: bool = False) -> DataFrame:
+    """doc_id, th long, component_id: the smallest doc_id that links reach; texts without words are one node.
+
+    first: instead of that, of_id, of_th and rows (how often it stands there) of each component's
+    first row, by doc_id (null last), then text hash.
+    """
     found = cut(prints(docs))
-    nodes = cut(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    stars = components(links(docs, nodes)).select(F.col("u").alias("m"), F.col("v").alias("root"))
-    named = cut(nodes.join(stars, F.col("node") == F.col("m"), "left").select(F.col("node").alias("f"), F.coalesce("root", "node").alias("root"), "least"))
-    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = cut(named.select("f", "root").join(first, "root").select("f", "component_id"))
+    nodes = found.groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")
+    )
+    nodes = cut(nodes)
+    stars = simhash.components(links(docs, nodes)).select(F.col("u").alias("m"), F.col("v").alias("root"))
+    named = cut(nodes.join(stars, F.col("node") == F.col("m"), "left").select(F.col("node").alias("f"), F.coalesce("root", "node").alias("root"), "least", "one"))
+    if first:
+        ones = named.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("of_id"), F.col("one.th").alias("of_th"))
+        twice = found.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).count().where("count > 1")
+        return cut(ones.join(twice, F.col("of_id").eqNullSafe(F.col("i")) & (F.col("of_th") == F.col("t")), "left").select("of_id", "of_th", F.coalesce("count", F.lit(1)).alias("rows")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = cut(named.select("f", "root").join(least, "root").select("f", "component_id"))
     return found.select("doc_id", "th", "node").join(names, F.col("node") == F.col("f")).select("doc_id", "th", "component_id")

@@ -12,13 +12,16 @@ pairs, and components are joined by alternating large and small stars.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut, table, width
+from ._common import cut, table, unused, width
 
 SHINGLE = 3
 DISTANCE = 3
@@ -39,21 +42,33 @@ def _bit_counts(digests: bytes) -> np.ndarray:
     return lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint of A-Z-folded words, repeats included; 0 without words."""
+def digests(text: str | None, shingle: int) -> Iterator[bytes]:
+    """Eight-byte XXH64 of each shingle of A-Z-folded words, some CHUNK at a time; a shorter text is one shingle, no words have none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
-    n = len(words) - k + 1
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_digest
+    n, digest = len(words) - k + 1, xxhash.xxh64_digest
     for at in range(0, n, CHUNK):
         pairs = zip(starts[at : min(n, at + CHUNK)].tolist(), ends[at + k - 1 : min(n, at + CHUNK) + k - 1].tolist(), strict=True)
-        counts += _bit_counts(b"".join([digest(whole[a:b], SEED) for a, b in pairs]))
-    return int(np.packbits(counts * 2 > n).view(">i8")[0])
+        yield b"".join([digest(whole[a:b], SEED) for a, b in pairs])
+
+
+def majority(chunks: Iterable[bytes]) -> int:
+    """Signed 64-bit fingerprint of digests, repeats included: bits set in over half of them; 0 without any."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for chunk in chunks:
+        n += len(chunk) // 8
+        counts += _bit_counts(chunk)
+    return int(np.packbits(counts * 2 > n).view(">i8")[0]) if n else 0
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint of A-Z-folded words, repeats included; 0 without words."""
+    return majority(digests(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -191,15 +206,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents, of each component of near copies only the row of the smallest doc_id; rows without doc_id stay.
+    """documents, one row of each group of near copies: that of the smallest doc_id, then of the least text hash; null ids come last.
 
-    A stage on word shingles takes five words and similarity 0.8 or more, which `near` does; DISTANCE bits of
-    three-word shingles bind the query only.
+    A stage on word shingles takes five words and similarity 0.8 or more: fingerprints of five-word shingles give
+    the first candidates, `near` finds those beyond DISTANCE bits, and only an exact similarity links.  A
+    row is a document by itself: other texts of a repeated or null doc_id are judged by themselves.  Repeated rows are
+    copies, and texts without words are copies of each other.  Other columns stay as they are, whatever
+    their names.  An empty table gives an empty result.
     """
-    from . import near  # it uses components()
-
-    found = cut(near.group(docs).select("doc_id", "component_id"))
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = found.where("doc_id = component_id").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return kept if ids[0] == ids[1] else kept.dropDuplicates(["doc_id"])
+    from . import near  # it uses links() and components()
+
+    keep = near.group(docs.select("doc_id", "text"), first=True)
+    name = unused(docs, "th")
+    kept = docs.withColumn(name, F.xxhash64("text"))
+    kept = kept.join(keep, F.col(name).eqNullSafe(keep["of_th"]) & docs["doc_id"].eqNullSafe(keep["of_id"]), "left_semi")
+    if keep.where("rows > 1").isEmpty():
+        return kept.drop(name)
+    at = unused(kept, "at")  # of rows of one doc_id and text that differ elsewhere, the least as JSON
+    order = F.row_number().over(W.partitionBy("doc_id", name).orderBy(F.to_json(F.struct(*docs.columns))))
+    return kept.withColumn(at, order).where(F.col(at) == 1).drop(name, at)

@@ -1,7 +1,9 @@
 """Near-copy stage of the pipeline against brute force on pairs."""
 
 import random
+from collections import Counter
 
+import pytest
 from test_corpus import DOCS, prose, union
 
 from docket.llm import near, simhash
@@ -16,7 +18,11 @@ def similar(a, b):
     return 5 * len(a & b) >= 4 * len(a | b)
 
 
-def test_stage_drops_copies_of_similarity_eight_tenths(spark):
+@pytest.mark.parametrize("block", [near.BLOCK, 3])
+def test_stage_drops_copies_of_similarity_eight_tenths(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    if block == 3:
+        monkeypatch.setattr(near, "FEW_A_NODE", 1 << 30)  # no rounds: all is left to the cells
     rng, rows = random.Random(8), []
     for g in range(12):
         words = prose(rng, 60 + 30 * g).split()
@@ -41,3 +47,17 @@ def test_keys_of_chunks_are_those_of_the_whole(monkeypatch):
     whole = near.keys(found)
     monkeypatch.setattr(near, "CHUNK", 7)
     assert near.keys(found) == whole and len(set(whole)) == near.BANDS
+
+
+def test_stage_keeps_rows_apart(spark):
+    """Null and repeated ids, one id with two texts, repeated rows, columns of internal names."""
+    a, b, c = (prose(random.Random(i), 60) for i in range(3))
+    rows = [(None, a), (None, b), (1, c), (1, c), (2, "one text"), (2, "quite another text"), (3, a), (4, c + " x"), (None, None), (5, "")]
+    names = ["th", "_th", "at", "node", "of_id", "keys"]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.stage(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(None, b), (1, c), (2, "one text"), (2, "quite another text"), (3, a), (5, "")])
+    assert [r["th"] for r in kept.collect() if r["doc_id"] == 1] == ["th2"]
+    assert simhash.stage(spark, docs.limit(0), "").count() == 0
