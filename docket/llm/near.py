@@ -5,9 +5,9 @@ pigeonring chains link within a few bits give candidates.  Similar texts differ
 bits, which leaves chains no segments to join on, so keys of min-hashes find the rest: a node has
 BANDS keys, each of ROWS min-hashes, and two sets of similarity s share a key with chance
 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8, more above.  Only an exact similarity of 4/5 or more links.
-Each node is compared with drawn ones of its buckets first; then, in buckets that are not one component yet,
-those outside the largest component are compared with all others, inside the tasks: what
-leaves a task are links between components, never pairs.
+In each bucket that is not one component yet, those outside its largest component are compared with all
+others, inside the tasks: what leaves a task are links between components, never pairs.  Large
+buckets are split into blocks, and drawn pairs link most of them beforehand.
 """
 
 from __future__ import annotations
@@ -31,12 +31,10 @@ SEED = 42
 CHUNK = 2_048
 #: Nodes whose texts are looked for by a broadcast at most.
 FEW = 500_000
-#: Pairs left for each row of a bucket at which rounds end.
-FEW_A_NODE = 4
-#: A round that links less than one of so many pairs is the last.
-FRESH = 20
-#: Rows of a bucket that are compared as one block; a larger bucket has several blocks, each pair of blocks a cell of its own.
-BLOCK = 2_048
+#: Rows, and shingles in millions, of a bucket that are compared as one block; a larger bucket has several blocks, each pair of blocks a cell of its own.
+BLOCK, MILLIONS = 2_048, 4
+#: Rounds that link before blocks do, in buckets of several blocks, at most; a round that links less than one of FRESH pairs is the last.
+ROUNDS, FRESH = 12, 20
 
 _DRAW = np.random.default_rng(SEED)
 _MULT = _DRAW.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,28 +127,29 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (u, v) of similarity LEAST or more that connect all that share a key and are so similar.
 
-    The first round takes the pairs that fingerprints give.  In each other round a node is compared with one drawn node
-    of each of its buckets that is not linked to it yet.  Rounds go on while they link and more pairs are left
-    than a few a node; then buckets that are still several components are compared in blocks.
+    The first round takes the pairs that fingerprints give.  Buckets of more than a block then go through rounds in which each
+    row is compared with one drawn row that is not linked to it yet, while rounds still link; last,
+    all buckets that are still several components are compared in blocks.
     """
     key = W.partitionBy("key")
     rows = nodes.select("node", "n", F.explode("keys").alias("key")).withColumn("many", F.count("*").over(key))
     named = cut(rows.where("many > 1").select("key", "node", "n", F.col("node").alias("root")))
     tested = cut(by_fingerprint(nodes))
     edges = cut(confirmed(tested, docs, nodes))
-    named, fresh = _renamed(named, edges), True
+    named, turn = _renamed(named, edges), 0
     while True:
-        told = _left(named)
-        if told["pairs"] <= FEW_A_NODE * told["rows"] or not fresh:
+        large = cut(named.withColumn("many", F.count("*").over(key)).where(F.col("many") > BLOCK).drop("many"))
+        if large.isEmpty():
             break
-        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(told["pairs"])).alias("h"), "node", "n", "root")).over(key)
-        pairs = named.withColumn("d", drawn).where((F.col("root") != F.col("d.root")) & _near(F.col("n"), F.col("d.n")))
+        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n", "root")).over(key)
+        pairs = large.withColumn("d", drawn).where((F.col("root") != F.col("d.root")) & _near(F.col("n"), F.col("d.n")))
         pairs = pairs.select(F.greatest("node", "d.node").alias("u"), F.least("node", "d.node").alias("v")).distinct()
         pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
         found = cut(confirmed(pairs, docs, nodes))
-        fresh = found.count() * FRESH >= pairs.count() > 0
-        tested, edges = tested.union(pairs), edges.union(found)
+        tested, edges, turn = tested.union(pairs), edges.union(found), turn + 1
         named = _renamed(named, edges)
+        if found.count() * FRESH < pairs.count() or turn == ROUNDS:
+            break
     return edges.union(_rest(docs, nodes, named))
 
 
@@ -171,9 +170,10 @@ def _rest(docs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     """
     if named.isEmpty():
         return named.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    of = named.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy(F.col("key").alias("k"))
-    of = of.agg(F.sum("c").alias("rows"), F.max(F.struct("c", "root")).alias("main"))
-    of = of.select("k", F.col("main.root").alias("main"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("kh"), F.ceil((F.col("rows") - F.col("main.c")) / BLOCK).cast("int").alias("kp"))
+    of = named.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("s")).groupBy(F.col("key").alias("k"))
+    of = of.agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "root")).alias("main"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / (MILLIONS * 1_000_000))).cast("int")
+    of = of.select("k", F.col("main.root").alias("main"), blocks(F.col("c"), F.col("s")).alias("kh"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("kp"))
     rows = named.join(of, F.col("key") == F.col("k")).withColumns(
         {"probe": F.col("root") != F.col("main"), "h": F.pmod(F.xxhash64("node"), "kh").cast("int"), "p": F.pmod(F.xxhash64("node", "key"), "kp").cast("int")}
     )
@@ -240,13 +240,6 @@ def _linked(rows: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-def _left(named: DataFrame) -> dict:
-    """rows, and pairs of a bucket that are not linked, each bucket by itself."""
-    of = named.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    got = of.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n") - F.col("q")).alias("p")).first()
-    return {"rows": got["rows"] or 0, "pairs": (got["p"] or 0) // 2}
-
-
 def group(docs: DataFrame, first: bool = False) -> DataFrame:
     """doc_id, th long, component_id: the smallest doc_id that links reach; texts without words are one node.
 

@@ -21,8 +21,6 @@ def similar(a, b):
 @pytest.mark.parametrize("block", [near.BLOCK, 3])
 def test_stage_drops_copies_of_similarity_eight_tenths(spark, monkeypatch, block):
     monkeypatch.setattr(near, "BLOCK", block)
-    if block == 3:
-        monkeypatch.setattr(near, "FEW_A_NODE", 1 << 30)  # no rounds: all is left to the cells
     rng, rows = random.Random(8), []
     for g in range(12):
         words = prose(rng, 60 + 30 * g).split()
