@@ -54,3 +54,35 @@ def unused(df: DataFrame, *names: str) -> str | list[str]:
         taken.add(name.lower())
         out.append(name)
     return out[0] if len(out) == 1 else out
+
+
+#: Rows of one key above which they may be told apart; rows that are written out at once.
+HOT, CHUNK = 1_000, 10_000
+#: Bytes of a broadcast at most.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """A broadcast hint for what is known to have so many bytes at most, where that is little."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def drawn(rows: DataFrame, total: int, seed: int, per: int) -> DataFrame:
+    """rows (row struct, key struct) plus name long: a hash of key and seed.
+
+    A key of so many rows that a bin of about `per` rows would be twice that is no lot of its own: its
+    rows get a hash of key, row and number among equal rows.  Equal rows are counted,
+    not numbered, and written out again in chunks, so none of it needs them in one task.
+    """
+    named = rows.select("row", "key", F.xxhash64("key", F.lit(seed)).alias("name"))
+    bin_ = F.pmod("name", F.lit(max(1, total // per)))
+    heavy = [r["bin"] for r in named.groupBy(bin_.alias("bin")).count().where(F.col("count") > 2 * per + HOT).collect()]
+    if not heavy:
+        return named
+    hot = cut(named.where(bin_.isin(heavy)).groupBy(F.col("name").alias("hot")).count().where(F.col("count") > HOT).select("hot"))
+    hot = small(hot, 16 * hot.count())
+    same = named.join(hot, F.col("name") == F.col("hot"), "left_semi").groupBy("row", "key", "name").agg(F.count("*").alias("m"))
+    chunks = same.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(CHUNK).cast("long"))))
+    dealt = chunks.repartition(width(rows.sparkSession), F.xxhash64("row", "at"))
+    each = dealt.withColumn("i", F.explode(F.sequence("at", F.least(F.col("at") + CHUNK, F.col("m")) - 1)))
+    return named.join(hot, F.col("name") == F.col("hot"), "left_anti").union(each.select("row", "key", F.xxhash64("name", "row", "i").alias("name")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut, table, width
+from ._common import cut, drawn, small, table, width
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -22,6 +22,8 @@ COPIES = 2
 SEED = 9173
 #: Documents a strip of a source should hold.
 ROWS = 2_000
+#: Sources at most: the driver works out a share for each.
+MAX_SOURCES = 1_000_000
 
 
 def words(text):
@@ -51,37 +53,42 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", key: tuple[st
 
     Sources by code point, null last, get the weights in turn.  budget: share of
     all sizes; no document is taken more than `copies` times.  Documents of
-    size 0 are never taken.  Which documents are taken depends on key, size
+    size 0 are never taken.  Which documents are taken depends on key, source, size
     and seed only, so reruns agree; repeated rows are queued one after another.
-    Input columns of the three result names are replaced.
+    Input columns of the three result names are replaced, all others are kept, whatever
+    their names.  An empty table gives an empty result.  Sources are weighed on the driver: more
+    than MAX_SOURCES raise an error.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("source_size", "target", "copies_taken")]
-    df = cut(df.select(*kept, F.xxhash64(*[F.col(c) for c in key], F.lit(seed)).alias("_r")))  # sizes are counted from texts once
-    found = df.groupBy(source).agg(F.sum(size).alias("n"), F.count("*").alias("rows")).collect()  # one row a source
-    found.sort(key=lambda r: (r[source] is None, (r[source] or "").encode()))
+    df = cut(df.select(F.struct(*kept).alias("row"), F.struct(*[F.col(c) for c in key], F.col(source).alias("source"), F.col(size).cast("long").alias("size")).alias("key")))  # sizes are counted from texts once
+    found = df.groupBy(F.col("key.source").alias("source")).agg(F.sum("key.size").alias("n"), F.count("*").alias("rows"))
+    many = found.count()
+    if many > MAX_SOURCES:
+        raise ValueError(f"{many} sources; their shares are worked out on the driver, for {MAX_SOURCES} at most")
+    found = sorted(found.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     ws = [weights[i % len(weights)] for i in range(len(found))]
-    total = sum(r["n"] for r in found)
+    total, count = sum(r["n"] for r in found), sum(r["rows"] for r in found)
     goal = targets([r["n"] for r in found], ws, budget * total, copies)
     plan = spark.createDataFrame(
-        [(r[source], int(r["n"]), float(t), float(w), -(-r["rows"] // rows)) for r, t, w in zip(found, goal, ws, strict=True)],
-        "_source string, source_size long, target double, _w double, _strips long",
+        [(r["source"], int(r["n"]), float(t), float(w), -(-r["rows"] // rows)) for r, t, w in zip(found, goal, ws, strict=True)],
+        "of string, source_size long, target double, w double, strips long",
     )
-    if len(found) <= 100_000:
-        plan = F.broadcast(plan)
+    plan = small(plan, sum(len((r["source"] or "").encode()) + 64 for r in found))
     span = F.lit(float(1 << 62))
-    queued = df.join(plan, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("_strip", F.floor(F.shiftrightunsigned("_r", 2) / span * F.col("_strips")).cast("long"))
-    before = queued.groupBy(source, "_strip").agg(F.sum(size).alias("_n"))
-    before = before.select(F.col(source).alias("_s"), F.col("_strip").alias("_t"), (F.sum("_n").over(W.partitionBy(source).orderBy("_strip")) - F.col("_n")).alias("_before"))
-    inside = F.sum(size).over(W.partitionBy(source, "_strip").orderBy("_r", *key, size).rowsBetween(W.unboundedPreceding, 0))
-    queued = queued.withColumn("_in", inside)
-    queued = queued.join(before, queued[source].eqNullSafe(before["_s"]) & (queued["_strip"] == before["_t"]))
-    queued = cut(queued.select(*kept, "source_size", "target", "_w", "_r", (F.col("_before") + F.col("_in")).alias("_sent")))
+    df = drawn(df, count, seed, 25 * rows).select("row", F.col("key.source").alias("source"), F.col("key.size").alias("n"), F.col("name").alias("r"), "key")
+    queued = df.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("strip", F.floor(F.shiftrightunsigned("r", 2) / span * F.col("strips")).cast("long"))
+    before = queued.groupBy("source", "strip").agg(F.sum("n").alias("sum"))
+    before = before.select(F.col("source").alias("s"), F.col("strip").alias("t"), (F.sum("sum").over(W.partitionBy("source").orderBy("strip")) - F.col("sum")).alias("before"))
+    inside = F.sum("n").over(W.partitionBy("source", "strip").orderBy("r", "key").rowsBetween(W.unboundedPreceding, 0))
+    queued = queued.withColumn("inside", inside)
+    queued = queued.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("strip") == F.col("t")))
+    queued = cut(queued.select("row", "n", "source_size", "target", "w", "r", (F.col("before") + F.col("inside")).alias("sent")))
 
     passes = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
-    times = queued.where(F.col(size) > 0).select(F.col(size).alias("n"), "_w", "source_size", "_sent", "_r", passes.alias("k"))
-    times = times.select("n", ((F.col("_sent") + F.col("k") * F.col("source_size")) / F.col("_w")).alias("finish"), F.col("_r").alias("tie"))
-    parts = max(width(spark), -(-sum(r["rows"] for r in found) * copies // 200_000))
+    times = queued.where("n > 0").select("n", "w", "source_size", "sent", "r", passes.alias("k"))
+    times = times.select("n", ((F.col("sent") + F.col("k") * F.col("source_size")) / F.col("w")).alias("finish"), F.col("r").alias("tie"))
+    parts = max(width(spark), -(-count * copies // 200_000))
     line = cut(times.repartitionByRange(parts, "finish", "tie").select("*", F.spark_partition_id().alias("part")))
     at, last, most = 0, None, budget * total
     for part, n in sorted((r["part"], r["n"]) for r in line.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # one row a partition
@@ -94,11 +101,11 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", key: tuple[st
         taken = F.lit(copies if at <= most and total else 0)
     else:
         def one(k: int):
-            finish = (F.col("_sent") + F.lit(k) * F.col("source_size")) / F.col("_w")
-            return ((finish < last["finish"]) | ((finish == last["finish"]) & (F.col("_r") <= last["tie"]))).cast("int")
+            finish = (F.col("sent") + F.lit(k) * F.col("source_size")) / F.col("w")
+            return ((finish < last["finish"]) | ((finish == last["finish"]) & (F.col("r") <= last["tie"]))).cast("int")
 
         taken = sum((one(k) for k in range(copies)), F.lit(0))
-    return queued.select(*kept, "source_size", "target", F.when(F.col(size) > 0, taken).otherwise(0).cast("int").alias("copies_taken"))
+    return queued.select("row.*", "source_size", "target", F.when(F.col("n") > 0, taken).otherwise(0).cast("int").alias("copies_taken"))
 
 
 def _before(line: DataFrame, part: int):
@@ -115,9 +122,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents that the mix takes, once for each time it takes them.
 
-    The queueing moves only (key, source, size); texts follow in one join.
+    The queueing moves only (doc_id, text hash, source, size); texts follow in one join.  Every row is
+    mixed for itself, those of null and repeated doc_id too; of rows that agree in doc_id, text and source as
+    many are taken as the mix took of them, the least as JSON most often.  Texts without words are never
+    taken.  Other columns stay, whatever their names; an empty table gives an empty result.
     """
-    ids = docs.select("doc_id", "source", words(F.col("text")).alias("_size"))
-    chosen = mix(ids, size="_size").where("copies_taken > 0").groupBy("doc_id").agg(F.max("copies_taken").alias("_k"))
-    out = docs.join(chosen, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_i"))
-    return out.drop("_i")
+    key = ["doc_id", "th", "source"]
+    ids = docs.select("doc_id", F.xxhash64("text").alias("th"), "source", words(F.col("text")).alias("size"))
+    taken = mix(ids, key=("doc_id", "th")).groupBy(*[F.col(c).alias(f"of_{c}") for c in key])
+    times = [F.count_if(F.col("copies_taken") >= k).alias(f"n{k}") for k in range(1, COPIES + 1)]
+    taken = cut(taken.agg(F.count("*").alias("rows"), *times).where("n1 > 0"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("th"), "source")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key]
+    rows = rows.join(taken, same[0] & same[1] & same[2])
+    count = lambda nth: sum(((nth <= F.col(f"n{k}")).cast("int") for k in range(1, COPIES + 1)), F.lit(0))
+    out = rows.where("rows = 1").select("row", count(F.lit(1)).alias("k"))
+    if not taken.where("rows > 1").isEmpty():
+        nth = F.row_number().over(W.partitionBy(*key).orderBy(F.to_json("row")))
+        out = out.union(rows.where("rows > 1").withColumn("nth", nth).select("row", count(F.col("nth")).alias("k")).where("k > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), "k"))).select("row.*")

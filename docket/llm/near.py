@@ -15,8 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -131,18 +130,17 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     row is compared with one drawn row that is not linked to it yet, while rounds still link; last,
     all buckets that are still several components are compared in blocks.
     """
-    key = W.partitionBy("key")
-    rows = nodes.select("node", "n", F.explode("keys").alias("key")).withColumn("many", F.count("*").over(key))
-    named = cut(rows.where("many > 1").select("key", "node", "n", F.col("node").alias("root")))
+    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
+    named = cut(_of_keys(rows, F.count("*").alias("many")).where("many > 1").select("key", "node", "n", F.col("node").alias("root")))
     tested = cut(by_fingerprint(nodes))
     edges = cut(confirmed(tested, docs, nodes))
     named, turn = _renamed(named, edges), 0
     while True:
-        large = cut(named.withColumn("many", F.count("*").over(key)).where(F.col("many") > BLOCK).drop("many"))
+        large = cut(_of_keys(named, F.count("*").alias("many")).where(F.col("many") > BLOCK).select(*named.columns))
         if large.isEmpty():
             break
-        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n", "root")).over(key)
-        pairs = large.withColumn("d", drawn).where((F.col("root") != F.col("d.root")) & _near(F.col("n"), F.col("d.n")))
+        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "n", "root")).alias("d")
+        pairs = _of_keys(large, drawn).where((F.col("root") != F.col("d.root")) & _near(F.col("n"), F.col("d.n")))
         pairs = pairs.select(F.greatest("node", "d.node").alias("u"), F.least("node", "d.node").alias("v")).distinct()
         pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
         found = cut(confirmed(pairs, docs, nodes))
@@ -155,11 +153,14 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _renamed(named: DataFrame, edges: DataFrame) -> DataFrame:
     """named with each node's component as root, without buckets that are one component."""
-    key = W.partitionBy("key")
     of = simhash.components(edges).select(F.col("u").alias("m"), F.col("v").alias("r"))
     named = named.join(of, F.col("node") == F.col("m"), "left").select("key", "node", "n", F.coalesce("r", "node").alias("root"))
-    named = named.withColumns({"lo": F.min("root").over(key), "hi": F.max("root").over(key)}).where("lo != hi")
-    return cut(named.select("key", "node", "n", "root"))
+    return cut(_of_keys(cut(named), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "node", "n", "root"))
+
+
+def _of_keys(rows: DataFrame, *of: Column) -> DataFrame:
+    """rows with aggregates of their key; a join, not a window, so that a hot key's rows can be split."""
+    return rows.join(rows.groupBy(F.col("key").alias("k")).agg(*of), F.col("key") == F.col("k"))
 
 
 def _rest(docs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:

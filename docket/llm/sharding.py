@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import cut, drawn, small, table, unused
 
 SHARDS = 16
 SEED = 20240817
@@ -73,16 +73,16 @@ def shard_rows(df: DataFrame, key: list[str], shards: int = SHARDS, seed: int =
     key: columns whose values name a row; the shuffle is a function of them and
     the seed.  Null keys are values like any other.  Repeated rows each take a
     slot of their own (which of them is which cannot be told).  Columns of df
-    named shard or slot are replaced.  An empty table gives an empty result.
+    named shard or slot are replaced, all others are kept, whatever their names.  An empty table gives an empty result.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    first, again = (F.xxhash64(*[F.col(c) for c in key], F.lit(seed + i)) for i in (0, 1))
-    df = df.select(*kept, first.alias("_a"), again.alias("_b"))
     total = df.count()
     parts = max(1, -(-total // rows))
-    dealt = df.withColumn("_part", F.pmod("_a", F.lit(parts)).cast("int"))
-    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # one row for each 50,000 rows
+    # A row is one struct from here on, so none of its names can clash.
+    keyed = drawn(df.select(F.struct(*kept).alias("row"), F.struct(*[F.col(c) for c in key]).alias("key")), total, seed, rows)
+    dealt = keyed.select("row", "key", F.col("name").alias("a"), F.xxhash64("name", F.lit(seed + 1)).alias("b")).withColumn("part", F.pmod("a", F.lit(parts)).cast("int"))
+    counts = {r["part"]: r["count"] for r in dealt.groupBy("part").count().collect()}  # one row for each 50,000 rows
     sizes = [total // shards + (i < total % shards) for i in range(shards)]
     ids = sorted(counts)
     ends = []
@@ -92,17 +92,18 @@ def shard_rows(df: DataFrame, key: list[str], shards: int = SHARDS, seed: int =
             at += k
             cuts.append(at)
         ends.append((part, cuts))
-    matrix = spark.createDataFrame(ends, "_part int, _ends array<long>")  # parts x shards numbers, by construction
-    order = [F.col(c) for c in ("_a", "_b", *key)]
-    local = dealt.withColumn("_pos", F.row_number().over(W.partitionBy("_part").orderBy(*order)).cast("long"))
-    sent = local.join(F.broadcast(matrix), "_part").withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_pos"))).cast("int"))
+    matrix = small(spark.createDataFrame(ends, "of int, ends array<long>"), len(ends) * (8 * shards + 64))
+    pos = F.row_number().over(W.partitionBy("part").orderBy("a", "b", "key")).cast("long")
+    sent = dealt.withColumn("pos", pos).join(matrix, F.col("part") == F.col("of")).withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("pos"))).cast("int"))
     # The second permutation: strips of a shard by the second hash, in order, so that no task holds a whole shard.
     strips = max(1, -(-total // (shards * rows)))
     span = (1 << 62) // strips + 1
-    sent = cut(sent.drop("_part", "_ends", "_pos").withColumn("_strip", F.floor(F.shiftrightunsigned("_b", 2) / F.lit(span)).cast("int")))
-    offsets = sent.groupBy("shard", "_strip").count().select("shard", "_strip", (F.sum("count").over(W.partitionBy("shard").orderBy("_strip")) - F.col("count")).alias("_before"))
-    slot = F.row_number().over(W.partitionBy("shard", "_strip").orderBy("_b", "_a", *key))
-    return sent.withColumn("_rank", slot).join(F.broadcast(offsets), ["shard", "_strip"]).select(*kept, "shard", (F.col("_rank") - 1 + F.col("_before")).cast("long").alias("slot"))
+    sent = cut(sent.select("row", "key", "a", "b", "shard", F.floor(F.shiftrightunsigned("b", 2) / F.lit(span)).cast("int").alias("strip")))
+    offsets = sent.groupBy(F.col("shard").alias("s"), F.col("strip").alias("t")).count()
+    offsets = offsets.select("s", "t", (F.sum("count").over(W.partitionBy("s").orderBy("t")) - F.col("count")).alias("before"))
+    slot = F.row_number().over(W.partitionBy("shard", "strip").orderBy("b", "a", "key"))
+    out = sent.withColumn("rank", slot).join(small(offsets, shards * strips * 32), (F.col("shard") == F.col("s")) & (F.col("strip") == F.col("t")))
+    return out.select("row.*", "shard", (F.col("rank") - 1 + F.col("before")).cast("long").alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,5 +117,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage of the pipeline: documents with shard and slot."""
-    return shard_rows(docs, ["doc_id"])
+    """The last stage of the pipeline: documents with shard and slot.
+
+    Every row is dealt, rows of null and repeated doc_id too; rows of one doc_id are told apart by a hash
+    of the text.  Columns named shard or slot are replaced.  An empty table gives an empty result.
+    """
+    name = unused(docs, "th")
+    return shard_rows(docs.withColumn(name, F.xxhash64("text")), ["doc_id", name]).drop(name)

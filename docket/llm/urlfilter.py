@@ -68,7 +68,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
     if shape["n"] <= BROADCAST_RULES and shape["size"] <= BROADCAST_BYTES:
         hashed = F.broadcast(hashed)
 
-    whole = urls.select(*kept, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    whole = urls.select(F.struct(*kept).alias("_row"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))  # no name of theirs can clash
     pairs = whole.where("host != ''").select("host", "path").distinct()
     labels = F.array(*[F.lit(int(x)) for x in sorted(shape["labels"])]).cast("array<int>")
     lengths = F.array(*[F.lit(int(x)) for x in sorted(shape["lengths"])]).cast("array<int>")
@@ -89,7 +89,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
         .select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.concat("best._host", "best._path").alias("rule"), F.col("best._verdict").alias("_found"))
     )
     return whole.join(found, (whole["host"] == found["_h"]) & (whole["path"] == found["_p"]), "left").select(
-        *kept, "host", "path", "rule", F.coalesce("_found", F.lit(default)).alias("verdict")
+        "_row.*", "host", "path", "rule", F.coalesce("_found", F.lit(default)).alias("verdict")
     )
 
 

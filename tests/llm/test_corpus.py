@@ -8,8 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from docket.llm import ann, chat, decontaminate, langid, mixing, sharding, simhash, sketch, substring, suffix, urlfilter
+from docket.llm import _common, ann, chat, decontaminate, langid, mixing, sharding, simhash, sketch, substring, suffix, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "re", "su") for b in ("", "n", "ta") for c in ("", "s", "do", "é")]
@@ -399,3 +400,61 @@ def test_chat_round_trip(spark):
         assert body[e["loss_length"] :] == f"{chat.END}\n" and e["formatted"].count(chat.START) == e["target"] + 1
     assert chat.expand(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest() and chat.CONTROL.count("<|") == 2
+
+
+CLASHES = ["_a", "a", "b", "_b", "_part", "part", "_pos", "pos", "_r", "r", "row", "key", "name", "_sent", "sent", "_w", "w", "n", "_k", "k", "_i", "th", "of", "ends", "strip", "before", "rank", "s", "t", "_h", "_p", "_found", "_row", "h", "p", "full", "size_"]
+
+
+def clashing(spark, rows, schema):
+    """rows with a column of each name that operators use inside, numbered by row."""
+    return spark.createDataFrame([(*r, *[f"{c}{i}" for c in CLASHES]) for i, r in enumerate(rows)], schema + ", " + ", ".join(f"`{c}` string" for c in CLASHES)).repartition(3)
+
+
+def untouched(rows):
+    """Each row's clashing columns still belong together."""
+    return all(len({r[c].removeprefix(c) for c in CLASHES}) == 1 for r in rows)
+
+
+def test_clashing_columns_are_kept(spark):
+    rng = random.Random(3)
+    rows = [(i if i % 4 else None, prose(rng, 20 + i), "en", f"s{i % 3}" if i % 5 else None, 0) for i in range(40)] + [(7, "the same", "en", "s1", 0)] * 5 + [(8, None, None, None, 0)]
+    docs = clashing(spark, rows, DOCS)
+    for stage, more in ((sharding.stage, 2), (mixing.stage, 0), (decontaminate.stage, 0), (simhash.stage, 0)):
+        df = stage(spark, docs, "/root/testdata/sf0.001")
+        got = df.collect()
+        assert got and len(df.columns) == len(docs.columns) + more and df.columns[: len(docs.columns)] == docs.columns and untouched(got)
+        empty = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+        assert empty.columns == df.columns and empty.count() == 0
+    assert sharding.stage(spark, docs, "").count() == len(rows)
+    urls = clashing(spark, [(i, f"http://x{i % 3}.com/en/{i}") for i in range(9)], "page_id long, url string")
+    got = urlfilter.filter_urls(urls, spark.createDataFrame(urlfilter.RULES, "verdict string, host string, path string")).collect()
+    assert len(got) == 9 and untouched(got) and {r["verdict"] for r in got} == {"block"}
+
+
+def test_mixing_stage_loses_no_row(spark):
+    """A mix of twice every size takes each row with words twice: null ids, one id with two texts, and repeated rows."""
+    rows = [(None, "a b c", "en", "s", 0), (None, "d e", "en", "s", 0), (None, "d e", "fr", "s", 0), (1, "f g", "en", "s", 0), (1, "h i j k", "en", None, 0), (2, "l", "en", "s", 0), (2, "l", "en", "s", 0), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(2)
+    whole = mixing.mix
+    try:
+        mixing.mix = lambda df, **more: whole(df, budget=2.0, **more)
+        got = Counter((r["doc_id"], r["text"], r["lang"]) for r in mixing.stage(spark, docs, "").collect())
+    finally:
+        mixing.mix = whole
+    assert got == Counter({k: 2 * n for k, n in Counter((r[0], r[1], r[2]) for r in rows if r[1]).items()})
+
+
+def test_hot_keys_are_told_apart(spark, monkeypatch):
+    """A key of most rows, some of them equal: gapless slots, shards one apart, sizes as asked for; reruns on other partitions agree."""
+    monkeypatch.setattr(_common, "HOT", 5)
+    monkeypatch.setattr(_common, "CHUNK", 7)
+    rows = [(None, f"w {i}", "en", "s", 0) for i in range(90)] + [(None, "x y", "en", "s", 0)] * 60 + [(i, f"u {i}", "en", "t", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = [sharding.shard_rows(d, ["doc_id"], shards=4, rows=20).collect() for d in (docs.repartition(3), docs.repartition(5))]
+    assert Counter((r["doc_id"], r["text"]) for r in out[0]) == Counter((r[0], r[1]) for r in rows)
+    assert sorted(map(repr, out[0])) == sorted(map(repr, out[1]))
+    assert sorted((r["shard"], r["slot"]) for r in out[0]) == [(s, k) for s in range(4) for k in range(50)]
+    sizes = docs.select("doc_id", "source", "text", F.lit(2).cast("long").alias("size"))
+    out = [mixing.mix(d, rows=1, budget=1.2).collect() for d in (sizes.repartition(3), sizes.repartition(5))]
+    assert sorted(map(repr, out[0])) == sorted(map(repr, out[1])) and len(out[0]) == len(rows)
+    assert 0 <= 1.2 * 400 - sum(2 * r["copies_taken"] for r in out[0]) < 2
