@@ -109,10 +109,10 @@ def norm_sponsor(c: Column) -> Column:
 
 
 def repair_name(c: Column) -> Column:
-    """One space between tokens; CamelCase tokens of more than three ASCII letters are split; `lxo` reads `Ixo`."""
+    """One space between tokens; CamelCase tokens of more than three ASCII letters are split; `lxo`, of three lower-case letters or more, reads `Ixo`."""
     split = lambda t: F.when(t.rlike("^[A-Za-z]{4,}$"), F.regexp_replace(t, "(?<=[a-z])(?=[A-Z])", " ")).otherwise(t)
     tokens = F.split(F.array_join(F.transform(F.split(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " "), " "), split), " "), " ")
-    named = F.array_join(F.transform(tokens, lambda t: F.regexp_replace(t, "^l(?=[a-z])", "I")), " ")
+    named = F.array_join(F.transform(tokens, lambda t: F.regexp_replace(t, r"^l(?=\p{Ll}{2,}$)", "I")), " ")
     return F.when(is_nullish(c), c).otherwise(named)
 
 

@@ -5,13 +5,15 @@ candidates: case_id, field, rank, ratio, conf, value, ptype, pg_pos, seq.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import CORRECTION_RANK, FIELD_ALIASES, FOREIGN_RANK
+from ..constants import CORRECTION_RANK, CORRECTION_RATIO, CORRECTION_STEM, FIELD_ALIASES, FOREIGN_RANK
 from ..functions.fuzzy import best_label, matched, over_distinct
 from ..functions.text import clean, squash
 
@@ -64,21 +66,31 @@ def below(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def correction_of(text: str) -> tuple[str | None, str | None]:
-    """(field, value) of `Manual correction: <field> is <value>.`, however it was read; (None, None) otherwise."""
-    key = [(c.lower(), i) for i, c in enumerate(text) if c.isalnum()]
-    flat, stem = "".join(c for c, _ in key), "manualcorrection"
-    ends = [(matched(flat[a : a + len(stem)], stem), a + len(stem)) for a in range(min(12, max(1, len(flat) - len(stem) + 1)))]
-    near = max(ends, key=lambda e: e[0])
-    if near[0] < 0.80:
+    """(field, value) of `Manual correction: <field> is <value>.`, however it was read; (None, None) otherwise.
+
+    The stem may begin at one of the first twelve letters.  A label may have lost two letters of its alias or gained three,
+    but has three at least and `is` behind it.
+    """
+    spots = [i for i, c in enumerate(text) if c.lower().isalnum()]
+    flat, stem = "".join(text[i].lower() for i in spots), CORRECTION_STEM
+    spots = [i for i in spots for _ in text[i].lower()]  # lower() can lengthen
+    if len(flat) < len(stem) + 4:
+        return None, None
+    start = max(range(min(12, len(flat))), key=lambda a: matched(flat[a : a + len(stem)], stem))
+    if matched(flat[start : start + len(stem)], stem) < CORRECTION_RATIO:
         return None, None
-    rest, best = flat[near[1] :], (0.0, None, 0)
+    at = start + len(stem)
+    rest, found = flat[at:], []
     for field, aliases in FIELD_ALIASES.items():
         for alias in aliases:
-            if rest[len(alias) : len(alias) + 2] == "is" and (r := matched(rest[: len(alias)], alias)) >= 0.80 and r > best[0]:
-                best = (r, field, near[1] + len(alias) + 2)
-    if best[1] is None or best[2] >= len(key):
+            for n in range(max(3, len(alias) - 2), min(len(alias) + 3, len(rest) - 2) + 1):
+                if rest.startswith("is", n):
+                    found.append((matched(rest[:n], alias), field, at + n + 2))
+    ratio, field, begin = max(found, key=lambda f: f[0], default=(0.0, None, 0))
+    if ratio < CORRECTION_RATIO or begin >= len(spots):
         return None, None
-    return best[1], text[key[best[2]][1] :].strip().rstrip(".").strip() or None
+    value = re.sub(r"[.\s]+$", "", text[spots[begin] :].strip())
+    return (field, value) if value else (None, None)
 
 
 @F.pandas_udf(T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType())]))
@@ -88,13 +100,13 @@ def _correction(text: pd.Series) -> pd.DataFrame:
 
 def corrections(lines: DataFrame, keys: list[str]) -> DataFrame:
     """keys, field, value, conf: signed corrections; only lines that can hold one reach the Python function."""
-    able = lines.where((F.length(squash(F.col("t"))) >= 20) & squash(F.col("t")).contains("is"))
+    able = lines.where((F.length(F.regexp_replace("t", r"[^\p{L}\p{N}]", "")) >= len(CORRECTION_STEM) + 4) & F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]", "").contains("is"))
     found = able.select(*keys, F.col("s").alias("conf"), _correction(F.col("t")).alias("c")).where("c.value is not null")
     return found.select(*keys, "c.field", "c.value", "conf")
 
 
 def collect(lines: DataFrame, rows: DataFrame, types: DataFrame, foreign: DataFrame) -> DataFrame:
-    """All candidates with the rank of their page: its type's, or the foreign rank; corrections keep theirs even there."""
+    """All candidates with the rank of their page: its type's, or the foreign rank; corrections have a rank and a type of their own even there."""
     page = ["case_id", "pg_pos"]
     ranked = types.join(foreign, page, "left").withColumn("rank", F.when(F.coalesce("foreign", F.lit(False)), FOREIGN_RANK).otherwise(F.col("rank"))).select(*page, "ptype", "rank")
     seq = lambda order, base: (F.col("pg_pos") * 1_000_000 + order * 10 + base).cast("long")
@@ -104,6 +116,6 @@ def collect(lines: DataFrame, rows: DataFrame, types: DataFrame, foreign: DataFr
         .unionByName(below(rows, page).withColumn("seq", seq(F.col("row_id"), 2)).select(*page, "field", "ratio", "conf", "value", "seq"))
         .join(ranked, page)
     )
-    fixed = corrections(lines, [*page, "ln_pos"]).withColumn("seq", seq(F.col("ln_pos"), 3)).join(ranked.drop("rank"), page)
-    fixed = fixed.select(*page, "field", F.lit(1.0).alias("ratio"), "conf", "value", "seq", "ptype", F.lit(CORRECTION_RANK).alias("rank"))
+    fixed = corrections(lines, [*page, "ln_pos"]).withColumn("seq", seq(F.col("ln_pos"), 3)).join(ranked.select(*page), page)
+    fixed = fixed.select(*page, "field", F.lit(1.0).alias("ratio"), "conf", "value", "seq", F.lit("correction").alias("ptype"), F.lit(CORRECTION_RANK).alias("rank"))
     return plain.unionByName(fixed).select(*SCHEMA)

@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DECISIONS, PAGE_RANK, RAW_STRINGS, REASONS, REVOKED_SPONSORS, VOCABULARY
-from ..functions.fuzzy import note_signals
-from ..functions.text import amount_of, squash
+from ..constants import DAMAGE_WORDS, DECISIONS, FIELD_ALIASES, PAGE_FURNITURE, PAGE_LABELS, PAGE_RANK, RAW_STRINGS, REASONS, REVOKED_SPONSORS, SOURCE_PAIRS, SOURCE_TYPES, STAMP_LENGTH, STAMP_TOKENS, VOCABULARY
+from ..functions.fuzzy import best_label, note_signals, over_distinct, ratio, source_agreement, stamp_names
+from ..functions.text import squash
 from .flags import flag_bits
 
 KEY = "case_id"
 
-# Tokens of stamps and watermarks, and words that say evidence is damaged.
-STAMP_TOKENS = {
-    "denied": ["denied", "denial"], "approved": ["approved", "approval"], "needsreview": ["needsreview"], "sampledenial": ["sampledenial"],
-    "rescind": ["rescinded", "rescind"], "void": ["void", "revoked"], "casework": ["casework"], "archive": ["archive", "archivecopy"],
-    "redacted": ["redacted"], "copyartifact": ["copyartifact", "duplicate"], "embargo": ["embargo"], "hardship": ["hardship"],
-}
-DAMAGE_WORDS = ["cutout", "whiteout", "lost", "redacted", "illegible", "missing", "destroyed", "torn", "unreadable", "removed"]
-
-
 def _bit(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("double")
 
@@ -86,14 +77,16 @@ def dates(text: Column, arrival: Column) -> dict[str, Column]:
 
 
 def fee_arithmetic(text: Column) -> dict[str, Column]:
-    """Amount, its logarithm, whether there is one, zero, a waiver code, and contradictions with the status."""
-    amount = amount_of(text)
-    code = squash(F.regexp_extract(text, r"(?i)waiver\s*code\W*(.{0,12})", 1))
-    waived = (code != "") & ~code.isin("na", "none", "nil", "n", "0")
-    fee = F.col("fee_status")
+    """Eleven keys of the fee pages' text (null: no such page): amount, waiver code, and contradictions with the status."""
+    sq = squash(text)
+    amount = F.replace(F.regexp_extract(text, r"\$\s?([0-9][0-9,]*\.?\d{0,2})", 1), F.lit(","), F.lit("")).try_cast("double")
+    code = F.regexp_extract(sq, r"waivercode([a-z0-9]{2,12})", 1)
+    real, fee = (code != "") & ~code.isin("na", "none"), F.col("fee_status")
+    paid, waived = (fee == "paid") & (amount == 0), (fee == "waived") & (amount > 0) & ~real
     return {
-        "fee_amount_seen": _bit(amount.isNotNull()), "fee_amount_zero": _bit(amount == 0), "fee_amount_log": F.coalesce(F.log1p(amount.cast("double")), F.lit(0.0)), "fee_waiver_code": _bit(waived),
-        "fee_paid_zero": _bit((fee == "paid") & (amount == 0)), "fee_unpaid_charged": _bit((fee == "unpaid") & (amount > 0)), "fee_waived_charged": _bit((fee == "waived") & (amount > 0)), "fee_waived_no_code": _bit((fee == "waived") & ~waived),
+        "fa_receipt_present": _bit(text.isNotNull()), "fa_amount_found": _bit(amount.isNotNull() | sq.contains("amountna")), "fa_amount_zero": _bit(amount == 0), "fa_amount_pos": _bit(amount > 0),
+        "fa_amount_log": F.coalesce(F.log1p(amount), F.lit(0.0)), "fa_waivercode_na": _bit(sq.contains("waivercodena")), "fa_waivercode_real": _bit(real),
+        "fa_paid_zero": _bit(paid), "fa_waived_pos": _bit(waived), "fa_unpaid_pos": _bit((fee == "unpaid") & (amount > 0)), "fa_contradiction": _bit(F.coalesce(paid, F.lit(False)) | F.coalesce(waived, F.lit(False))),
     }
 
 
@@ -101,41 +94,88 @@ def biometric(text: Column) -> dict[str, Column]:
     """Printed biometric confidence of 0 to 100, and its thresholds."""
     n = F.regexp_extract(text, r"onfidence\s*[:\s]\s*([0-9]{1,3})\s*%", 1).try_cast("int")
     n = F.when(n.between(0, 100), n)
-    return {"bio_seen": _bit(n.isNotNull()), "bio_value": F.coalesce(n.cast("double"), F.lit(0.0)), **{f"bio_under_{k}": _bit(n < k) for k in (80, 90, 95)}}
+    return {"bio_conf_found": _bit(n.isNotNull()), "bio_conf": F.coalesce(n.cast("double"), F.lit(0.0)), "bio_conf_lt80": _bit(n < 80), "bio_conf_lt90": _bit(n < 90), "bio_conf_ge95": _bit(n >= 95)}
+
 
+def stamps(lines: DataFrame, pages: DataFrame, key: str = KEY) -> DataFrame:
+    """Ten keys for each stamp, and three over all: how often it stands on how many pages, how large, how sure, alone, on notes.
 
-def stamps(lines: DataFrame, key: str = KEY) -> DataFrame:
-    """For each stamp token: lines, pages, tallest and widest share of the page, best confidence, lines that are the token alone."""
-    short = lines.withColumn("sq", squash(F.col("t"))).where(F.length("sq").between(4, 34))
+    A watermark repeats over half the packet; a stamp stands once or twice on one page.  Lines are
+    judged once for each distinct text.  pages: key, pg_pos, ptype, every page.
+    """
+    short = lines.withColumn("sq", squash(F.col("t"))).where(F.length("sq").between(1, STAMP_LENGTH))
+    short = over_distinct(short, "sq", stamp_names, "stamps").where(F.size("stamps") > 0).join(pages.select(key, "pg_pos", "ptype"), [key, "pg_pos"], "left")
     out = []
     for name, words in STAMP_TOKENS.items():
-        hit = _or([F.col("sq").contains(w) for w in words])
-        own = lambda c, hit=hit: F.when(hit, c)
+        own = lambda c, name=name: F.when(F.array_contains("stamps", name), c)
+        any_ = lambda test, own=own: F.max(own(test).cast("double"))
         out += [
-            F.count_if(hit).cast("double").alias(f"st_{name}_n"), F.count_distinct(own(F.col("pg_pos"))).cast("double").alias(f"st_{name}_pages"),
-            F.max(own((F.col("y1") - F.col("y0")) / F.col("ph"))).alias(f"st_{name}_h"), F.max(own((F.col("x1") - F.col("x0")) / F.col("pw"))).alias(f"st_{name}_w"),
-            F.max(own(F.col("s"))).alias(f"st_{name}_conf"), F.count_if(F.col("sq").isin(words)).cast("double").alias(f"st_{name}_alone"),
+            F.count(own(F.lit(1))).cast("double").alias(f"st_{name}_n"), F.count_distinct(own(F.col("pg_pos"))).cast("double").alias(f"st_{name}_pages"),
+            F.max(own((F.col("y1") - F.col("y0")) / F.col("ph"))).alias(f"st_{name}_maxh"), F.max(own((F.col("x1") - F.col("x0")) / F.col("pw"))).alias(f"st_{name}_maxw"),
+            F.max(own(F.col("s"))).alias(f"st_{name}_conf"), any_(F.col("ptype") == "note").alias(f"st_{name}_on_note"), any_(F.length("sq") <= len(words[0]) + 4).alias(f"st_{name}_alone"),
         ]
-    return short.groupBy(key).agg(*out).na.fill(0.0)
+    size = pages.groupBy(key).agg(F.count("*").alias("_pages"))
+    wide = size.join(short.groupBy(key).agg(*out), key, "left").na.fill(0.0)
+    more = {}
+    for name in STAMP_TOKENS:
+        n, on, share = F.col(f"st_{name}_n"), F.col(f"st_{name}_pages"), F.col(f"st_{name}_pages") / F.col("_pages")
+        more |= {f"st_{name}_pagefrac": share, f"st_{name}_watermarky": _bit((on >= 2) & (share >= 0.5)), f"st_{name}_stampy": _bit((on == 1) & (n <= 2) & (F.col(f"st_{name}_alone") > 0))}
+    seen = lambda name: F.col(f"st_{name}_n") > 0
+    more |= {
+        "st_denial_wm_trap": _bit((F.col("st_sampledenial_pages") >= 1) & (F.col("st_sampledenial_pages") / F.col("_pages") >= 0.4)),
+        "st_real_denial_mark": _bit(seen("denied") & ~seen("sampledenial")), "st_appr_and_denial": _bit(seen("denied") & seen("approved")),
+    }
+    return wide.withColumns(more).drop("_pages")
 
 
-def damage(lines: DataFrame, types: DataFrame, key: str = KEY) -> DataFrame:
-    """Words and brackets of destroyed evidence, pages without text of their own, page types that occur twice."""
+def damage(lines: DataFrame, pages: DataFrame, text: DataFrame, key: str = KEY) -> DataFrame:
+    """Twenty-nine keys of how complete a packet is.  pages: key, pg_pos, ptype, foreign, every page; text: key, visible_text."""
     sq = squash(F.col("t"))
-    body = ~sq.contains("synthetichiring")
-    per = lines.groupBy(key, "pg_pos").agg(F.count_if(body & (F.length(sq) > 2)).alias("n"), F.count_if(_or([sq.contains(w) for w in DAMAGE_WORDS])).alias("words"), F.count_if(F.col("t").rlike(r"[\[\]]")).alias("brackets"))
-    per = per.join(types.select(key, "pg_pos", "ptype"), [key, "pg_pos"], "left")
-    return per.groupBy(key).agg(F.count_if(F.col("n") <= 2).cast("double").alias("dmg_blank"), F.sum("words").cast("double").alias("dmg_words"), F.sum("brackets").cast("double").alias("dmg_brackets"), (F.count("*") - F.count_distinct("ptype")).cast("double").alias("dmg_dup_types"))
+    body = ~sq.contains(PAGE_FURNITURE[0]) & ~sq.startswith(PAGE_FURNITURE[1])
+    per = lines.groupBy(key, "pg_pos").agg(
+        F.count_if(body).alias("body"), F.count("*").alias("lines"), F.count_if(F.col("s") < 0.80).alias("low"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln_pos", sq.alias("sq")))), lambda x: x["sq"]), "").alias("sq")
+    )
+    per = pages.join(per, [key, "pg_pos"], "left")
+    labels = F.coalesce(*[F.when(F.col("ptype") == p, F.array(*[F.lit(w) for w in ws])) for p, ws in PAGE_LABELS.items()])
+    per = per.withColumns({"want": F.size(labels), "hit": F.size(F.filter(labels, lambda w: F.coalesce(F.col("sq"), F.lit("")).contains(w)))}).withColumn("cov", F.when(F.col("want") > 0, F.col("hit") / F.col("want")))
+    of = lambda p: F.count_if(F.col("ptype") == p)
+    n = F.count("*")
+    evidence = ("intake", "registry", "slip", "sponsor", "fee")
+    typed = F.count("cov")
+    out = per.groupBy(key).agg(
+        F.count_if(F.coalesce("body", F.lit(0)) <= 1).alias("dm_n_blank_pages"), (F.count_if(F.coalesce("body", F.lit(0)) <= 1) / n).alias("dm_blank_frac"),
+        F.count_if("foreign").alias("dm_n_foreign_pages"), F.max(F.col("foreign").cast("int")).alias("dm_any_foreign"),
+        F.coalesce(F.avg("cov"), F.lit(0.0)).alias("dm_label_coverage"), typed.alias("dm_typed_pages"), of("other").alias("dm_untyped_pages"), F.coalesce(F.sum(F.when(F.col("want") > 0, F.col("want") - F.col("hit"))), F.lit(0)).alias("dm_missing_labels"),
+        *[F.coalesce(F.max(F.when(F.col("ptype") == p, F.col("cov"))), F.lit(-1.0)).alias(f"dm_{p}_cov") for p in ("intake", "registry", "slip", "fee")],
+        *[(of(p) > 0).cast("int").alias(f"dm_has_{p}") for p in evidence],
+        of("note").alias("dm_n_note_pages"), (of("intake") > 1).cast("int").alias("dm_dup_intake"), (of("note") > 1).cast("int").alias("dm_dup_note"),
+        F.coalesce(F.sum("low"), F.lit(0)).alias("dm_lowconf_lines"), (F.coalesce(F.sum("low"), F.lit(0)) / F.greatest(F.coalesce(F.sum("lines"), F.lit(0)), F.lit(1))).alias("dm_lowconf_frac"), (F.coalesce(F.sum("lines"), F.lit(0)) / n).alias("dm_lines_per_page"),
+    )
+    conf = lines.groupBy(key).agg(F.stddev_pop("s").alias("dm_conf_std"), F.percentile("s", 0.25).alias("dm_conf_p25"))
+    t = F.coalesce("visible_text", F.lit(""))
+    found = F.size(F.regexp_extract_all(t, F.lit(r"\[[^\]]{2,40}\]"), F.lit(0)))
+    words = F.size(F.filter(F.array(*[F.lit(w) for w in DAMAGE_WORDS]), lambda w: squash(t).contains(w)))
+    text = text.select(key, found.alias("dm_n_brackets"), (found > 0).cast("int").alias("dm_any_bracket"), words.alias("dm_damage_words"))
+    out = text.join(out, key, "left").join(conf, key, "left").withColumns({"dm_conf_p25": F.coalesce("dm_conf_p25", F.lit(1.0)), "dm_n_doc_types": sum((F.col(f"dm_has_{p}") for p in evidence), F.lit(0))})
+    return out.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0 if c.endswith("_cov") else 0.0)).alias(c) for c in out.columns if c != key])
 
 
 def sponsor_letter(text: Column) -> dict[str, Column]:
-    """What an attestation letter says: sponsor, class, name, and agreement with the fields."""
-    spn, visa = F.regexp_extract(text, r"(?i)SPN[-_ ]?(\d{4})", 1), F.regexp_replace(F.upper(F.regexp_extract(text, r"(?i)\b(XW-?[12]|DIP-?1|MED-?3|TRANSIT-?7)\b", 1)), "-", "")
-    name = squash(F.regexp_extract(text, r"(?i)attests?\s+that\s+(.{2,60}?)\s+is\s+expected", 1))
-    ids, cls, who = (spn != "", visa != "", name != "")
-    same = [ids & (F.concat(F.lit("SPN-"), spn) == F.col("sponsor_id")), cls & (visa == F.regexp_replace("visa_class", "-", "")), who & (name == squash(F.col("applicant_name")))]
-    off = sum(((seen & ~ok).cast("double") for seen, ok in zip((ids, cls, who), same, strict=True)), F.lit(0.0))
-    return {"sl_spn": _bit(ids), "sl_class": _bit(cls), "sl_name": _bit(who), "sl_spn_ok": _bit(same[0]), "sl_class_ok": _bit(same[1]), "sl_name_ok": _bit(same[2]), "sl_mismatch": off}
+    """Ten keys of the attestation letters' text (null: no such page): what it says of sponsor, name and class, against the fields."""
+    spn = F.regexp_extract(text, r"(?i)SPN[-_ ]?(\d{4})", 1)
+    classes = r"(?i)\b(XW-?[12]|DIP-?1|MED-?3|TRANSIT-?7)\b"
+    near = F.regexp_extract(F.regexp_extract(text, r"(?i)class\s+([A-Za-z0-9\-]{3,10})", 1), classes, 1)
+    visa = F.regexp_replace(F.upper(F.when(near != "", near).otherwise(F.regexp_extract(text, classes, 1))), "^([A-Z]+)-?", "$1-")
+    said = F.regexp_extract(text, r"(?i)attests?\s+that\s+(.{2,60}?)\s+is\s+expected", 1)
+    name, own = squash(said), squash(F.col("applicant_name"))
+    told = {"spn": spn != "", "name": said != "", "class": visa.rlike("[0-9]")}
+    able = {"spn": F.col("sponsor_id").rlike(r"^SPN-\d{4}$"), "name": (F.length(own) > 3) & (F.length(name) > 3), "class": ~F.col("visa_class").isin("", "unknown")}
+    same = {"spn": F.concat(F.lit("SPN-"), spn) == F.col("sponsor_id"), "name": ratio(name, own) >= 0.80, "class": visa == F.col("visa_class")}
+    off = sum((_bit(told[k] & able[k] & ~same[k]) for k in told), F.lit(0.0))
+    return {
+        "spl_present": _bit(text.isNotNull()), **{f"spl_{k}_found": _bit(told[k]) for k in told}, **{f"spl_{k}_match": _bit(told[k] & able[k] & same[k]) for k in told},
+        "spl_caseid_clause": _bit(squash(text).contains("activecaseid")), "spl_n_mismatch": off, "spl_manual_revoked": _bit(told["spn"] & F.concat(F.lit("SPN-"), spn).isin(REVOKED_SPONSORS)),
+    }
 
 
 def cross_source(readings: DataFrame, key: str = KEY) -> DataFrame:
@@ -148,6 +188,39 @@ def cross_source(readings: DataFrame, key: str = KEY) -> DataFrame:
     return n.groupBy(key, "field").agg(F.sum("n").alias("votes"), F.count("*").alias("distinct_values"), (F.max("n") / F.sum("n")).alias("top_share"), ((F.count("*") >= 2) & (F.sum("n") >= 2)).cast("int").alias("conflict"))
 
 
+def source_features(votes: DataFrame, cases: DataFrame, formed: list[str], key: str = KEY) -> DataFrame:
+    """102 keys of how far the sources of each field agree.
+
+    votes: key, field, ptype, pg_pos, seq, w, redacted, value (normalised; null: none).  A page has one vote a field, its
+    strongest reading, the first of equals.  A conflict needs two values over two page types.
+    """
+    fields = list(FIELD_ALIASES)
+    free = ~F.col("field").isin(*formed)
+    good = over_distinct(votes.where("not redacted and value is not null").withColumn("sq", squash(F.col("value"))), "sq", best_label, "l")
+    good = good.where(~free | ((F.length("sq") >= 2) & ~F.col("l.like")))
+    best = good.groupBy(key, "field", "ptype", "pg_pos").agg(F.max_by(F.struct("w", "value", "sq", "seq"), F.struct("w", (-F.col("seq")).alias("s"))).alias("b"))
+    own = best.groupBy(key, "field").agg(F.sort_array(F.collect_list(F.struct((-F.col("b.w")).alias("w"), "b.seq", "b.value", "b.sq", "ptype"))).alias("xs"))
+    part = lambda n: F.transform("xs", lambda x: x[n])
+    told = own.select(key, "field", source_agreement(F.transform("xs", lambda x: -x["w"]), part("value"), part("sq"), part("ptype"), ~free).alias("a"))
+    red = votes.where("redacted").groupBy(key, "field").agg(F.lit(1.0).alias("red"))
+    both = told.join(red, [key, "field"], "full_outer")
+    nsrc, conflict = F.coalesce("a.nsrc", F.lit(0)), F.coalesce(F.size("a.types") > 1, F.lit(False))
+    each = {"nsrc": nsrc, "ndist": F.coalesce("a.ndist", F.lit(0)), "top": F.coalesce("a.top", F.lit(0.0)), "conflict": conflict, "red": F.coalesce("red", F.lit(0.0)), "single": nsrc == 1, "absent": nsrc == 0}
+    each |= {f"{a}_{b}": F.coalesce(F.get("a.pairs", F.lit(i)), F.lit(0)) for i, (a, b) in enumerate(SOURCE_PAIRS)}
+    rows = both.select(key, "field", F.coalesce("a.types", F.array().cast("array<string>")).alias("types"), *[v.cast("double").alias(k) for k, v in each.items()])
+    wide = rows.groupBy(key).agg(
+        *[F.max(F.when(F.col("field") == f, F.col(k))).alias(f"xs_{k}_{f}") for f in fields for k in each], *[F.count_if(F.array_contains("types", t)).cast("double").alias(f"xs_confsrc_{t}") for t in SOURCE_TYPES]
+    )
+    wide = cases.select(key).join(wide, key, "left")
+    wide = wide.select(key, *[F.coalesce(F.col(c), F.lit(1.0 if c.startswith("xs_absent_") else 0.0)).alias(c) for c in wide.columns if c != key])
+    total = lambda k: sum((F.col(f"xs_{k}_{f}") for f in fields), F.lit(0.0))
+    any_ = lambda *fs: F.greatest(*[F.col(f"xs_conflict_{f}") for f in fs])
+    return wide.withColumns({
+        "xs_n_conflicts": total("conflict"), "xs_any_conflict": any_(*fields), "xs_n_redacted": total("red"), "xs_n_singleton": total("single") + total("absent"),
+        "xs_identity_conflict": any_("applicant_name", "species_code", "home_world"), "xs_sponsor_conflict": F.col("xs_conflict_sponsor_id"), "xs_policy_conflict": any_("visa_class", "fee_status"),
+    })
+
+
 def notes(lines: DataFrame, key: str = KEY) -> DataFrame:
     """Score and decision of adjudicators' notes, and a bit for each reason; lines go in page order and may wrap."""
     sq = squash(F.col("t"))
@@ -176,13 +249,14 @@ def squash_name(v: str) -> str:
     return "".join(ch for ch in v.lower() if ch.isalnum())
 
 
-def design(lines: DataFrame, types: DataFrame, fields: DataFrame, text: str = "visible_text") -> DataFrame:
-    """case_id and all families; fields is one row a case with the visible text.  Absent evidence is 0."""
+def design(lines: DataFrame, types: DataFrame, fields: DataFrame, pages: DataFrame, votes: DataFrame, text: str = "visible_text") -> DataFrame:
+    """case_id and all families; fields is one row a case with the visible text and that of its sponsor and fee pages.  Absent evidence is 0."""
     t = F.col(text)
     flat = {**one_hots(), **flag_bits(F.col("risk_flags")), **raw_form(t)}
-    more = {**policy(t), **dates(t, F.col("arrival_date")), **fee_arithmetic(t), **biometric(t), **sponsor_letter(t)}
-    out = fields.select(KEY, text, "arrival_date", "fee_status", "visa_class", "sponsor_id", "applicant_name", "risk_flags", *[c.alias(n) for n, c in flat.items()])
+    more = {**policy(t), **dates(t, F.col("arrival_date")), **fee_arithmetic(F.col("fee_text")), **biometric(t), **sponsor_letter(F.col("sponsor_text"))}
+    out = fields.select(KEY, text, "arrival_date", "fee_status", "visa_class", "sponsor_id", "applicant_name", "risk_flags", "fee_text", "sponsor_text", *[c.alias(n) for n, c in flat.items()])
     out = out.select(KEY, *flat, *[c.alias(n) for n, c in more.items()])
-    for family in (shape(lines), page_profile(lines, types), stamps(lines), damage(lines, types), notes(lines)):
+    formed = ["arrival_date", "fee_status", "visa_class", "sponsor_id"]
+    for family in (shape(lines), page_profile(lines, types), stamps(lines, pages), damage(lines, pages, fields.select(KEY, text)), notes(lines), source_features(votes, fields, formed)):
         out = out.join(family, KEY, "left")
     return out.na.fill(0.0)

@@ -55,9 +55,9 @@ def snap(c: Column, field: str) -> Column:
     return match_detail(c, field)["value"] if field in VOCABULARY else c
 
 
-def find_in_text(text: Column, field: str) -> Column:
+def find_in_text(text: Column, field: str, values: list[str] | None = None) -> Column:
     """The vocabulary value whose key the text contains, if all that it contains lie in the longest; else null."""
-    hits = let(canon(text), lambda blob: F.filter(entries(field), lambda e: (F.length(e["key"]) >= CONTAINED_KEY) & blob.contains(e["key"])))
+    hits = let(canon(text), lambda blob: F.filter(entries(field, values), lambda e: (F.length(e["key"]) >= CONTAINED_KEY) & blob.contains(e["key"])))
     longest = lambda hs: F.get(F.sort_array(F.transform(hs, lambda e: F.struct(F.length(e["key"]).alias("n"), e["key"].alias("key"), e["value"].alias("value"))), asc=False), F.lit(0))
     only = lambda hs: let(longest(hs), lambda top: F.when(F.forall(hs, lambda e: top["key"].contains(e["key"])), top["value"]))
     return let(hits, lambda hs: F.when(F.size(hs) > 0, only(hs)))

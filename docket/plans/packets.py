@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLUSTER_RATIO, CONTENT_FIELDS, OUTPUT_ORDER, PLACEHOLDER, RESPACED_FIELDS
 from ..functions.fuzzy import norm_fee
-from ..functions.text import clean, fee_from_receipt, is_redacted, norm_date, norm_sponsor, norm_visa, squash
+from ..functions.text import clean, fee_from_receipt, is_redacted, norm_date, norm_sponsor, norm_visa, repair_sponsor, squash
 from ..operators import candidates, consensus, decide, features, flags, layout, respace, trust, vocab
 
 PAGE = ["case_id", "pg_pos"]
@@ -23,17 +23,48 @@ def relations(records: DataFrame) -> dict[str, DataFrame]:
         "rows": layout.group_rows(lines, PAGE),
         "types": layout.page_types(lines, PAGE),
         "foreign": layout.foreign_pages(lines, PAGE),
+        "pages": visible.select("case_id", F.posexplode("pages").alias("pg_pos", "p")).where("p is not null").select("case_id", "pg_pos"),
         "text": visible.select("case_id", layout.visible_text().alias("visible_text"), layout.visible_text("\n").alias("visible_lines")),
     }
 
 
+def normalised() -> Column:
+    """value in the form of its field, null if it has none."""
+    return F.coalesce(*[F.when(F.col("field") == f, n(F.col("value"))) for f, n in NORMALIZERS.items()], F.when(~F.col("field").isin(*NORMALIZERS), clean(F.col("value"))))
+
+
 def readings(found: DataFrame) -> DataFrame:
     """Candidates with their weight, normalised where the field has a form; what is destroyed or has no form is no reading."""
-    value = F.coalesce(*[F.when(F.col("field") == f, n(F.col("value"))) for f, n in NORMALIZERS.items()], F.when(~F.col("field").isin(*NORMALIZERS), clean(F.col("value"))))
+    value = normalised()
     w = consensus.weight(F.col("rank"), F.col("ratio"), F.col("conf"))
     return found.where(~is_redacted(F.col("value"))).select("case_id", "field", "rank", "ptype", "seq", w.alias("w"), value.alias("value"), squash(value).alias("key")).where("value is not null")
 
 
+def printed_fee(lines: DataFrame, types: DataFrame) -> DataFrame:
+    """case_id, printed_fee: the status on the first line that says fee and has one, else that of the first fee page whose receipt tells.
+
+    `unknown` is the placeholder too, so a line that says it leaves the word to the receipt.
+    """
+    said = lines.where(squash(F.col("t")).contains("fee")).select("case_id", F.struct("pg_pos", "ln_pos").alias("o"), norm_fee(F.col("t")).alias("v")).where("v is not null")
+    line = said.groupBy("case_id").agg(F.nullif(F.min_by("v", "o"), F.lit("unknown")).alias("line"))
+    pages = page_text(lines, types, "fee").select("case_id", "pg_pos", fee_from_receipt(F.col("text")).alias("v")).where("v is not null")
+    receipt = pages.groupBy("case_id").agg(F.min_by("v", "pg_pos").alias("receipt"))
+    return line.join(receipt, "case_id", "full_outer").select("case_id", F.coalesce("line", "receipt").alias("printed_fee"))
+
+
+def page_text(lines: DataFrame, types: DataFrame, ptype: str) -> DataFrame:
+    """case_id, pg_pos, text of the pages of a type: their lines in order, a space between."""
+    own = lines.join(types.where(F.col("ptype") == ptype).select(*PAGE), PAGE, "left_semi")
+    return own.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln_pos", "t"))), lambda x: x["t"]), " ").alias("text"))
+
+
+def names_of(r: dict[str, DataFrame]) -> DataFrame:
+    """Names that registry and intake pages state, for the identity conflict."""
+    kinds = F.when(F.col("ptype") == "registry", "registry").when(F.col("ptype") == "intake", "intake")
+    stated = candidates.inline(r["lines"], [*PAGE, "ln_pos"]).join(r["types"], PAGE).where("field = 'applicant_name'")
+    return stated.select("case_id", kinds.alias("kind"), "value", "conf", (F.col("pg_pos") * 1_000_000 + F.col("ln_pos")).alias("ord")).where("kind is not null")
+
+
 def extract(records: DataFrame, fee_prior: str | None = "paid") -> DataFrame:
     """case_id, the nine fields, visible_text: readings resolved, gaps filled from the page text, snapped, respaced, flagged.
 
@@ -48,15 +79,14 @@ def extract(records: DataFrame, fee_prior: str | None = "paid") -> DataFrame:
     names = [f for f in CONTENT_FIELDS if f != "risk_flags"]
     wide = r["text"].join(both.groupBy("case_id").pivot("field", names).agg(F.first("rep")), "case_id", "left")
     text = F.col("visible_text")
-    fallback = {"sponsor_id": norm_sponsor(text), "arrival_date": norm_date(text), "visa_class": norm_visa(text), "fee_status": fee_from_receipt(text)}
+    wide = wide.join(printed_fee(r["lines"], r["types"]), "case_id", "left")
+    sponsor = F.upper(F.regexp_extract(text, r"(?i)\b[S5][PF]N[-\s]?\d{4}\b", 0))
+    fallback = {"sponsor_id": F.when(sponsor != "", F.coalesce(repair_sponsor(sponsor), sponsor)), "arrival_date": norm_date(text), "visa_class": norm_visa(text), "fee_status": F.col("printed_fee")}
     wide = wide.withColumns({f: F.coalesce(F.col(f), fallback.get(f, F.lit(None).cast("string")), F.lit(PLACEHOLDER[f])) for f in names})
     if fee_prior is not None:
         wide = wide.withColumn("fee_status", F.when(F.col("fee_status") == "unknown", fee_prior).otherwise(F.col("fee_status")))
     wide = respace.repair_fields(vocab.snap_fields(wide), RESPACED_FIELDS, "visible_lines")
-    kinds = F.when(F.col("ptype") == "registry", "registry").when(F.col("ptype") == "intake", "intake")
-    stated = candidates.inline(r["lines"], [*PAGE, "ln_pos"]).join(r["types"], PAGE).where("field = 'applicant_name'")
-    stated = stated.select("case_id", kinds.alias("kind"), "value", "conf", (F.col("pg_pos") * 1_000_000 + F.col("ln_pos")).alias("ord")).where("kind is not null")
-    flagged = flags.detect(records.select("case_id"), r["lines"], stated)
+    flagged = flags.detect(records.select("case_id"), r["lines"], names_of(r))
     out = wide.join(flagged.select("case_id", "risk_flags"), "case_id", "left").withColumn("risk_flags", F.coalesce("risk_flags", F.lit("none")))
     trust.check_lineage(out.columns)
     return out.select("case_id", *CONTENT_FIELDS, "visible_text")
@@ -65,7 +95,15 @@ def extract(records: DataFrame, fee_prior: str | None = "paid") -> DataFrame:
 def inputs(records: DataFrame, fields: DataFrame) -> DataFrame:
     """Model inputs of each case, from visible text and resolved fields only."""
     r = relations(records)
-    out = features.design(r["lines"], r["types"], fields)
+    found = candidates.collect(r["lines"], r["rows"], r["types"], r["foreign"])
+    value = normalised()
+    votes = found.select("case_id", "field", "ptype", "pg_pos", "seq", (F.col("ratio") * F.pow("conf", 3)).alias("w"), is_redacted(F.col("value")).alias("redacted"), value.alias("value"))
+    seen = flags.detect(records.select("case_id"), r["lines"], names_of(r)).select("case_id", *[c.alias(n) for n, c in features.slip(F.col("evidence")).items()])
+    pages = r["pages"].join(r["types"].select(*PAGE, "ptype"), PAGE, "left").join(r["foreign"], PAGE, "left")
+    pages = pages.select(*PAGE, F.coalesce("ptype", F.lit("other")).alias("ptype"), F.coalesce("foreign", F.lit(False)).alias("foreign"))
+    texts = {k: page_text(r["lines"], r["types"], k).groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pg_pos", "text"))), lambda x: x["text"]), " ").alias(f"{k}_text")) for k in ("sponsor", "fee")}
+    fields = fields.join(texts["sponsor"], "case_id", "left").join(texts["fee"], "case_id", "left")
+    out = features.design(r["lines"], r["types"], fields, pages, votes).join(seen, "case_id", "left").na.fill(0.0)
     return out.select("case_id", *trust.safe_columns([c for c in out.columns if c != "case_id"]))
 
 

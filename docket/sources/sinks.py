@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import OUTPUT_ORDER
@@ -14,16 +14,21 @@ def write_predictions(df: DataFrame, path: str) -> None:
     """By suffix: .jsonl (keys sorted), .json (one document), anything else CSV in output order."""
     rows = df.select(*OUTPUT_ORDER)
     if path.endswith(".jsonl"):
-        rows.select(*sorted(OUTPUT_ORDER)).write.mode("overwrite").json(path)
+        rows.select(line(OUTPUT_ORDER).alias("value")).write.mode("overwrite").text(path)
     elif path.endswith(".json"):
         document(rows).write.mode("overwrite").text(path)
     else:
         rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def line(columns: list[str]) -> Column:
+    """A row's JSON text, keys sorted."""
+    return F.to_json(F.struct(*sorted(columns)))
+
+
 def document(rows: DataFrame) -> DataFrame:
     """One row, one text: {"predictions": [...]}, keys sorted.  A report of this form holds all predictions in one text by definition."""
-    each = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]))
+    each = line(rows.columns)
     return rows.agg(F.sort_array(F.collect_list(F.struct("case_id", each.alias("j")))).alias("x")).select(F.concat(F.lit('{"predictions": ['), F.array_join(F.transform("x", lambda r: r["j"]), ", "), F.lit("]}")).alias("value"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .constants import FLAGS
+from .constants import FLAGS, NULLISH
 from .functions import text as tx
 from .operators import consensus, decide, features, flags, layout, respace, score, vocab
 
@@ -71,7 +71,7 @@ SELECT l_orderkey, rep, score, n, rank FROM c QUALIFY row_number() OVER (PARTITI
 def weighted_consensus(spark, sf_dir):
     """Order lines as readings of a flag: rank is the line number, confidence 1 - discount; weights in integers."""
     conf = F.round(100 - F.col("l_discount") * 100).cast("long")
-    w = F.when(F.col("l_linenumber") == 1, 600).when(F.col("l_linenumber").isin(2, 3), 100).when(F.col("l_linenumber") == 4, 70).when(F.col("l_linenumber") == 5, 90).when(F.col("l_linenumber") == 6, 30).otherwise(5)
+    w = F.round(100 * consensus.weight(F.when(F.col("l_linenumber") == 7, 9).otherwise(F.col("l_linenumber")), F.lit(1.0), F.lit(1.0)))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("value"), F.col("l_linenumber").alias("rank"), (w.cast("long") * conf * conf * conf).alias("w"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("seq"))
     return consensus.resolve(rows, ["l_orderkey"])
 
@@ -144,13 +144,13 @@ def eval_key(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT p_partkey, replace(p_name, ' ', '') AS camel, unnest(string_split(replace(p_name, ' ', ' l'), ' ')) AS tok, generate_subscripts(string_split(replace(p_name, ' ', ' l'), ' '), 1) AS i FROM (SELECT p_partkey, p_name || 'Xy' AS p_name FROM part)),
+WITH t AS (SELECT p_partkey, replace(p_name, ' ', '') AS camel, unnest(string_split(replace(p_name, ' ', ' l'), ' ')) AS tok, generate_subscripts(string_split(replace(p_name, ' ', ' l'), ' '), 1) AS i FROM (SELECT p_partkey, p_name || 'Xy a oXo' AS p_name FROM part)),
 s AS (SELECT p_partkey, i, CASE WHEN regexp_full_match(tok, '[A-Za-z]{4,}') THEN regexp_replace(tok, '([a-z])([A-Z])', '\1 \2', 'g') ELSE tok END AS tok FROM t),
 u AS (SELECT p_partkey, i, j, unnest(string_split(tok, ' ')) AS w FROM (SELECT *, 1 AS j FROM s))
-SELECT p_partkey, string_agg(regexp_replace(w, '^l([a-z])', 'I\1'), ' ' ORDER BY i) AS name FROM (SELECT p_partkey, i * 100 + k AS i, w FROM (SELECT p_partkey, i, unnest(string_split(tok, ' ')) AS w, generate_subscripts(string_split(tok, ' '), 1) AS k FROM s)) GROUP BY p_partkey
+SELECT p_partkey, string_agg(regexp_replace(w, '^l(\p{Ll}{2,})$', 'I\1'), ' ' ORDER BY i) AS name FROM (SELECT p_partkey, i * 100 + k AS i, w FROM (SELECT p_partkey, i, unnest(string_split(tok, ' ')) AS w, generate_subscripts(string_split(tok, ' '), 1) AS k FROM s)) GROUP BY p_partkey
 """)
 def name_case_split(spark, sf_dir):
-    raw = F.replace(F.concat("p_name", F.lit("Xy")), F.lit(" "), F.lit(" l"))
+    raw = F.replace(F.concat("p_name", F.lit("Xy a oXo")), F.lit(" "), F.lit(" l"))
     return table(spark, sf_dir, "part").select("p_partkey", tx.repair_name(raw).alias("name"))
 
 
@@ -203,7 +203,7 @@ def amount_rules(spark, sf_dir):
 SELECT doc_id, CASE WHEN s LIKE '%unpaid%' OR s LIKE '%unpald%' OR s LIKE '%unpd%' THEN 'unpaid' WHEN s LIKE '%waiv%' OR s LIKE '%waved%' THEN 'waived' WHEN s LIKE '%paid%' OR s LIKE '%pald%' OR s = 'pd' THEN 'paid' WHEN s LIKE '%unknown%' OR s LIKE '%nomatch%' THEN 'unknown' END AS fee,
        CASE WHEN v <> '' THEN regexp_replace(v, '\s', '-') END AS visa
 FROM (SELECT doc_id, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS s, regexp_extract(upper(t), '(XW[-\s]?[12]|DIP[-\s]?1|MED[-\s]?3|TRANSIT[-\s]?7)', 1) AS v FROM (
-  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Un-paid ' WHEN 1 THEN 'fee waived, xw 1' WHEN 2 THEN 'PAID DIP-1' WHEN 3 THEN 'no match med3' WHEN 4 THEN 'pd' ELSE '' END || substr(text, 1, 20) AS t FROM documents WHERE regexp_full_match(substr(text, 1, 20), '[\x20-\x7E\n]*')))
+  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Un-paid ' WHEN 1 THEN 'fee waived, xw 1' WHEN 2 THEN 'PAID DIP-1' WHEN 3 THEN 'no match med3' WHEN 4 THEN 'pd' ELSE '' END || coalesce(text, '') AS t FROM documents))
 """)
 def fee_and_visa(spark, sf_dir):
     k = F.col("doc_id") % 6
@@ -215,7 +215,7 @@ def fee_and_visa(spark, sf_dir):
 @query(r"""
 SELECT doc_id, t = '' OR contains(t, '[') OR contains(t, ']') OR length(regexp_replace(lower(t), '[^a-z0-9]', '', 'g')) < 2
        OR regexp_full_match(t, '(?i)(\[|\()?\s*(name|registry|species|world|purpose|sponsor|data|field|value)?\s*(cut\s*out|cutout|whiteout|white\s*out|lost|redacted|illegible|missing|destroyed|torn|unreadable|removed)\s*(\]|\))?') AS redacted
-FROM (SELECT doc_id, regexp_replace(CASE doc_id % 7 WHEN 0 THEN 'name redacted' WHEN 1 THEN '(white out)' WHEN 2 THEN 'Data  Lost' WHEN 3 THEN '' ELSE substr(text, 1, 1 + CAST(doc_id % 9 AS INTEGER)) END, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
+FROM (SELECT doc_id, regexp_replace(CASE doc_id % 7 WHEN 0 THEN 'name redacted' WHEN 1 THEN '(white out)' WHEN 2 THEN 'Data  Lost' WHEN 3 THEN '' ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
 """)
 def redaction_filter(spark, sf_dir):
     k = F.col("doc_id") % 7
@@ -352,25 +352,34 @@ def anti_todo(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""
-SELECT d.doc_id, CASE WHEN b.h IS NULL THEN 'no_hidden' WHEN d.v IS NULL OR d.v = '' THEN 'no_visible' WHEN lower(d.v) = lower(b.h) THEN 'agree' ELSE 'other' END AS verdict
-FROM (SELECT doc_id, substr(text, 1, 12) AS v FROM documents) d LEFT JOIN (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN substr(text, 1, 12) ELSE (SELECT upper(substr(text, 1, 12)) FROM documents WHERE doc_id = item_id AND regexp_full_match(substr(text, 1, 12), '[A-Za-z ,.]*')) END AS h FROM benchmark) b ON d.doc_id = b.item_id
+_EVAL = r"lower(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
+_NULLISH = "({0} IS NULL OR " + _EVAL + " IN (" + ", ".join(f"'{x}'" for x in NULLISH) + "))"
+
+
+@query(f"""
+SELECT d.doc_id, CASE WHEN {_NULLISH.format("h")} THEN 'no_hidden' WHEN {_NULLISH.format("v")} THEN 'no_visible' WHEN {_EVAL.format("v")} = {_EVAL.format("h")} THEN 'agree' ELSE 'other' END AS verdict
+FROM (SELECT doc_id, text AS v FROM documents) d LEFT JOIN (
+  SELECT item_id, CASE WHEN item_id % 2 = 0 THEN b.text ELSE '  ' || replace(t.text, ' ', '  ') || ' ' END AS h FROM benchmark b LEFT JOIN documents t ON b.item_id = t.doc_id) b ON d.doc_id = b.item_id
 """)
 def hidden_agreement(spark, sf_dir):
-    """Verdict of two readings of a text; near and disagree are one here, as their border is a ratio SQL does not have."""
+    """Verdict of two readings of a whole text; near and disagree are one here, as their border is a ratio SQL does not have."""
+    from .operators import trust
+
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("v"))
-    twin = d.select(F.col("doc_id").alias("i"), F.upper("v").alias("u"))
+    twin = d.select(F.col("doc_id").alias("i"), F.concat(F.lit("  "), F.replace("v", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("u"))
     b = table(spark, sf_dir, "benchmark").join(twin, F.col("item_id") == F.col("i"), "left").select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.col("u")).alias("h"))
-    out = d.join(b, F.col("doc_id") == F.col("item_id"), "left")
-    verdict = F.when(F.col("h").isNull(), "no_hidden").when(F.col("v").isNull() | (F.col("v") == ""), "no_visible").when(F.lower("v") == F.lower("h"), "agree").otherwise("other")
-    return out.select("doc_id", verdict.alias("verdict"))
+    out = d.join(b, F.col("doc_id") == F.col("item_id"), "left").withColumn("verdict", trust.agreement(F.col("v"), F.col("h")))
+    return out.select("doc_id", F.when(F.col("verdict").isin("near", "disagree"), "other").otherwise(F.col("verdict")).alias("verdict"))
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')), ' ') AS ws FROM documents WHERE regexp_full_match(substr(text, 1, 300), '[\x20-\x7E\n]*')),
+WITH d AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS ws FROM documents WHERE text IS NOT NULL),
 k AS (SELECT doc_id, ws, ws[2] || ws[3] AS squeezed FROM d WHERE len(ws) >= 6 AND length(ws[2]) >= 3 AND length(ws[3]) >= 3),
-n AS (SELECT doc_id, squeezed, array_to_string(ws[i : i + m], ' ') AS cand, m + 1 AS words, list_min(list_transform(ws[i : i + m], lambda x: length(x))) AS least FROM k, range(1, 60) t(i), range(0, 4) u(m) WHERE i + m <= len(ws)),
-f AS (SELECT doc_id, squeezed, arg_min(cand, (-words, -least, cand)) AS best FROM n WHERE lower(replace(cand, ' ', '')) = lower(squeezed) AND least >= 2 AND words > 1 GROUP BY ALL)
+i AS (SELECT doc_id, squeezed, ws, unnest(range(1, len(ws) + 1)) AS i FROM k),
+s AS (SELECT *, lower(ws[i]) AS head FROM i WHERE starts_with(lower(squeezed), lower(ws[i]))),
+m AS (SELECT *, unnest(range(1, length(squeezed) // 2 + 1)) AS m FROM s),
+n AS (SELECT doc_id, squeezed, array_to_string(ws[i : i + m], ' ') AS cand, m + 1 AS words, list_min(list_transform(ws[i : i + m], lambda x: length(x))) AS least FROM m WHERE i + m <= len(ws)),
+f AS (SELECT doc_id, squeezed, arg_min(cand, (-words, -least, cand)) AS best FROM n WHERE lower(replace(cand, ' ', '')) = lower(squeezed) AND least >= 2 GROUP BY ALL)
 SELECT doc_id, squeezed, substr(squeezed, 1, instr(best, ' ') - 1) || ' ' || substr(squeezed, instr(best, ' ')) AS repaired FROM f WHERE len(string_split(best, ' ')) = 2
 """)
 def respace_ngrams(spark, sf_dir):
@@ -477,8 +486,9 @@ SELECT c_custkey, json_object('c_custkey', c_custkey, 'c_mktsegment', c_mktsegme
 """)
 def jsonl_rows(spark, sf_dir):
     """Lines as the JSON sink writes them, keys sorted."""
-    rows = table(spark, sf_dir, "customer")
-    return rows.select("c_custkey", F.to_json(F.struct("c_custkey", "c_mktsegment", "c_name")).alias("line"))
+    from .sources.sinks import line
+
+    return table(spark, sf_dir, "customer").select("c_custkey", line(["c_name", "c_custkey", "c_mktsegment"]).alias("line"))
 
 
 @query("SELECT count(*) AS cases, sum(l_linenumber)::BIGINT AS pages, arg_max(l_orderkey, (s, l_orderkey)) AS slowest FROM (SELECT l_orderkey, count(*) AS l_linenumber, sum(l_quantity) AS s FROM lineitem GROUP BY 1)")
@@ -489,6 +499,20 @@ def run_statistics(spark, sf_dir):
     return stats(rows).select("cases", "pages", "slowest")
 
 
+@query(f"""
+WITH n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN translate(c_mktsegment, 'OI', '01') WHEN 1 THEN 'the ' || lower(c_mktsegment) || ' trade' WHEN 2 THEN 'none' ELSE 'quarry' END AS raw, CASE c_custkey % 4 WHEN 2 THEN 'Sector: ' || c_mktsegment ELSE 'nothing' END AS page FROM customer),
+v(value) AS (VALUES {", ".join(f"('{x}')" for x in SEGMENTS)}),
+h AS (SELECT c_custkey, value FROM n, v WHERE contains({_CANON.format("page")}, {_CANON.format("value")}) QUALIFY count(*) OVER (PARTITION BY c_custkey) = 1)
+SELECT c_custkey, raw, value AS found FROM n LEFT JOIN h USING (c_custkey)
+""")
+def vocab_find(spark, sf_dir):
+    """The one value of a closed vocabulary that a page's text holds."""
+    k, seg = F.col("c_custkey") % 4, F.col("c_mktsegment")
+    raw = F.when(k == 0, F.translate(seg, "OI", "01")).when(k == 1, F.concat(F.lit("the "), F.lower(seg), F.lit(" trade"))).when(k == 2, "none").otherwise("quarry")
+    page = F.when(k == 2, F.concat(F.lit("Sector: "), seg)).otherwise("nothing")
+    return table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"), vocab.find_in_text(page, "segment", SEGMENTS).alias("found"))
+
+
 # --- functions that SQL does not have
 
 
@@ -551,7 +575,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("MIB-"), k.cast("string")).alias("case_id"), F.lit(2).alias("scale"), pages.alias("pages"))
 
 
-@query()
+_PACKETS = """
+WITH p AS (
+  SELECT s_suppkey AS k, 'MIB-' || s_suppkey AS case_id, ['Titan Freeport', 'Mars Dome-7', 'Zeta Reticuli', 'Eris Relay'][s_suppkey % 4 + 1] AS world, ['research', 'field repair', 'transit', 'medical consult'][s_suppkey % 4 + 1] AS purpose,
+         ['XW-1', 'MED-3', 'DIP-1', 'TRANSIT-7'][s_suppkey % 4 + 1] AS visa, ['none', 'active_warrant', 'none', 'identity_conflict', 'none'][s_suppkey % 5 + 1] AS flag, ['unpaid', 'paid', 'waived'][s_suppkey % 3 + 1] AS fee FROM supplier)
+"""
+
+
+@query(_PACKETS + """
+SELECT case_id, 'Ixodane Luzarn' AS applicant_name, 'JOVIAN_GASFORM' AS species_code, world AS home_world, visa AS visa_class, 'SPN-' || lpad((k % 10000)::VARCHAR, 4, '0') AS sponsor_id,
+       '2026-0' || (1 + k % 9) || '-15' AS arrival_date, purpose AS declared_purpose, flag AS risk_flags, fee AS fee_status FROM p
+""")
 def packet_extract(spark, sf_dir):
     """Nine fields of each packet through the whole plan."""
     from .plans.packets import extract
@@ -567,7 +601,28 @@ def packet_features(spark, sf_dir):
     return inputs(rows, extract(rows))
 
 
-@query()
+_EVIDENCE = {
+    "n_lines": "16", "n_pages": "3", "date_n": "1", "bio_conf_found": "1", "bio_conf": "93", "bio_conf_lt80": "0", "bio_conf_ge95": "0",
+    "raw_fee_unpaid": "fee = 'unpaid'", "raw_fee_paid": "fee = 'paid'", "raw_fee_waived": "fee = 'waived'", "raw_visa_transit": "visa = 'TRANSIT-7'", "raw_observed_none": "flag = 'none'",
+    "pol_transit": "visa = 'TRANSIT-7'", "pol_dip": "visa = 'DIP-1'", "pol_med3": "visa = 'MED-3'", "pol_waived_ok": "fee = 'waived' AND visa = 'DIP-1'", "pol_waived_bad": "fee = 'waived' AND visa <> 'DIP-1'",
+    "pol_dq_flag": "flag = 'active_warrant'", "pol_ro_flag_n": "flag = 'identity_conflict'", "pol_date_missing": "0", "pol_sponsor_missing": "0",
+    "fa_receipt_present": "1", "fa_amount_pos": "1", "fa_amount_log": "ln(121)", "fa_waivercode_na": "1", "fa_waivercode_real": "0", "fa_waived_pos": "fee = 'waived'", "fa_unpaid_pos": "fee = 'unpaid'", "fa_contradiction": "fee = 'waived'",
+    "spl_present": "0", "st_denied_n": "0", "st_appr_and_denial": "0", "slip_anchor": "1", "slip_n": "flag <> 'none'", "slip_clean": "flag = 'none'",
+    "dm_label_coverage": "(7 / 8 + 3 / 4 + 3 / 5) / 3", "dm_missing_labels": "4", "dm_intake_cov": "7 / 8", "dm_registry_cov": "-1", "dm_n_doc_types": "3", "dm_n_blank_pages": "0", "dm_lines_per_page": "16 / 3",
+    "xs_nsrc_fee_status": "1", "xs_top_fee_status": "1", "xs_n_conflicts": "0", "xs_n_singleton": "8", "xs_absent_home_world": "0", "xs_intake_registry_home_world": "0",
+}
+
+
+@query(_PACKETS + "SELECT case_id, " + ", ".join(f"round(({v})::DOUBLE, 6) AS {n}" for n, v in _EVIDENCE.items()) + " FROM p")
+def packet_evidence(spark, sf_dir):
+    """Model inputs whose value follows from how the packets are made."""
+    from .plans.packets import extract, inputs
+
+    rows = records(spark, sf_dir)
+    return inputs(rows, extract(rows)).select("case_id", *[F.round(c, 6).alias(c) for c in _EVIDENCE])
+
+
+@query(_PACKETS + "SELECT case_id, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS disagree, 0 AS refused FROM p")
 def hidden_signals(spark, sf_dir):
     """Disagreements of the untrusted layer with resolved fields."""
     from .operators import trust
@@ -593,7 +648,10 @@ def quality_model_oof(spark, sf_dir):
 def predictions_document(spark, sf_dir):
     """Decisions by customer, each one JSON text with sorted keys."""
     rows = nation_probabilities(spark, sf_dir).withColumn("d", decide.decide(F.col("p")))
-    return rows.select(F.to_json(F.struct(F.col("d.decision").alias("adjudication"), F.col("o_custkey").cast("string").alias("case_id"), F.round("d.confidence", 4).alias("confidence"))).alias("value"))
+    from .sources.sinks import line
+
+    rows = rows.select(F.col("o_custkey").cast("string").alias("case_id"), F.col("d.decision").alias("adjudication"), F.round("d.confidence", 4).alias("confidence"))
+    return rows.select(line(rows.columns).alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

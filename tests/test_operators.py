@@ -1,5 +1,6 @@
 """Operators of the packet plan on hand-made values, with expectations from their rules."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -10,6 +11,7 @@ from docket.constants import CAUTION_MODES, DECISIONS, PLACEHOLDER
 from docket.functions import fuzzy
 from docket.functions import text as tx
 from docket.operators import candidates, consensus, decide, features, flags, layout, respace, score, trust, vocab
+from docket.plans import packets
 
 
 def one(spark, column, **values):
@@ -45,6 +47,8 @@ def one(spark, column, **values):
         (tx.repair_name, "MiraixVeerix", "Miraix Veerix"),
         (tx.repair_name, "lxodane", "Ixodane"),
         (tx.repair_name, "unknown", "unknown"),
+        (tx.repair_name, "la Bo", "la Bo"),
+        (tx.repair_name, "loXo lo9e", "lo Xo lo9e"),
         (tx.fee_from_receipt, "Amount $120.00 Waiver Code: N/A", "paid"),
         (tx.fee_from_receipt, "Amount $0.00 Waiver Code: HX-1", "waived"),
         (tx.fee_from_receipt, "Amount $0.00 Waiver Code: N/A", "unknown"),
@@ -109,6 +113,9 @@ def test_corrections():
     assert candidates.correction_of("Manualcorrection:sponsorisSPN-4705.") == ("sponsor_id", "SPN-4705")
     assert candidates.correction_of("Manual correction: fee status is paid.") == ("fee_status", "paid")
     assert candidates.correction_of("nothing of the kind is here") == (None, None)
+    assert candidates.correction_of("Manual correction: visa clas is XW-2 . ") == ("visa_class", "XW-2")  # a letter lost
+    assert candidates.correction_of("Manual correction: sponsorr id is SPN-0001") == ("sponsor_id", "SPN-0001")  # a letter gained
+    assert candidates.correction_of("Manual correction: fee is") == (None, None)
 
 
 def test_consensus_breaks_ties_by_first_seen(spark):
@@ -225,3 +232,62 @@ def test_cross_source(spark):
     got = {r["case_id"]: tuple(r)[2:] for r in features.cross_source(spark.createDataFrame(rows, "case_id string, field string, source string, value string, w double, seq int")).collect()}
     assert got == {"c": (2, 2, 0.5, 1), "d": (1, 1, 1.0, 0)}
     assert PLACEHOLDER["sponsor_id"] == "SPN-0000"
+
+
+def packet(lines):
+    """Line rows (case, page, line, text, confidence) with a geometry."""
+    return [(c, p, i, t, s, 10.0, 20.0 * i, 110.0, 20.0 * i + 10, 200.0, 100.0) for c, p, i, t, s in lines]
+
+
+LINES = "case_id string, pg_pos int, ln_pos int, t string, s double, x0 double, y0 double, x1 double, y1 double, pw double, ph double"
+
+
+def test_stamps_and_damage(spark):
+    lines = spark.createDataFrame(packet([
+        ("c", 0, 0, "Finding: denied", 0.9), ("c", 0, 1, "DEN1ED", 0.7), ("c", 1, 0, "SAMPLE DENIAL", 0.9), ("c", 2, 0, "SAMPLE DENIAL", 0.9), ("c", 2, 1, "Case ID: MIB-1", 0.5), ("c", 2, 2, "[torn off]", 0.8),
+    ]), LINES)
+    pages = spark.createDataFrame([("c", 0, "note", False), ("c", 1, "other", True), ("c", 2, "intake", False), ("c", 3, "intake", False), ("d", 0, "other", False)], "case_id string, pg_pos int, ptype string, foreign boolean")
+    got = {r["case_id"]: r.asDict() for r in features.stamps(lines, pages).collect()}
+    c = got["c"]
+    assert len(c) == 124 and c["st_denied_n"] == 4 and c["st_denied_pages"] == 3 and c["st_denied_on_note"] == 1 and c["st_denied_alone"] == 1  # a sample denial is a denial by its letters
+    assert c["st_sampledenial_pagefrac"] == 0.5 and c["st_sampledenial_watermarky"] == 1 and c["st_denial_wm_trap"] == 1 and c["st_real_denial_mark"] == 0
+    assert c["st_denied_maxw"] == 0.5 and c["st_denied_maxh"] == 0.1 and c["st_denied_conf"] == 0.9 and not any(v for k, v in got["d"].items() if k != "case_id")
+    text = spark.createDataFrame([("c", "Finding: denied [torn off] Torn"), ("d", None)], "case_id string, visible_text string")
+    got = {r["case_id"]: r.asDict() for r in features.damage(lines, pages, text).collect()}
+    c = got["c"]
+    assert len(c) == 30 and (c["dm_n_blank_pages"], c["dm_n_foreign_pages"], c["dm_dup_intake"], c["dm_n_brackets"], c["dm_damage_words"]) == (2, 1, 1, 1, 1)
+    assert c["dm_label_coverage"] == (1 / 2 + 1 / 8 + 0) / 3 and c["dm_intake_cov"] == 1 / 8 and c["dm_missing_labels"] == 1 + 7 + 8 and c["dm_slip_cov"] == -1
+    assert c["dm_lowconf_lines"] == 2 and c["dm_lines_per_page"] == 1.5 and got["d"]["dm_conf_p25"] == 1 and got["d"]["dm_n_blank_pages"] == 1
+
+
+def test_letters_and_receipts(spark):
+    row = {"sponsor_id": "SPN-0007", "visa_class": "XW-1", "applicant_name": "Ixodane Luzarn", "fee_status": "waived"}
+    df = spark.createDataFrame([tuple(row.values())], list(row))
+    say = lambda f, t: {k: v for k, v in df.select(*[c.alias(n) for n, c in f(F.lit(t).cast("string")).items()]).first().asDict().items()}
+    got = say(features.sponsor_letter, "We attest that Ixodane Luzam is expected. SPN 0007, class XW2. Active case ID.")
+    assert len(got) == 10 and got == {"spl_present": 1, "spl_spn_found": 1, "spl_name_found": 1, "spl_class_found": 1, "spl_spn_match": 1, "spl_name_match": 1, "spl_class_match": 0, "spl_caseid_clause": 1, "spl_n_mismatch": 1, "spl_manual_revoked": 1}
+    assert not any(say(features.sponsor_letter, None).values()) and not any(say(features.fee_arithmetic, None).values())
+    got = say(features.fee_arithmetic, "Amount: $1,200.50 Waiver Code: N/A")
+    assert len(got) == 11 and abs(got["fa_amount_log"] - math.log(1201.5)) < 1e-12 and (got["fa_waivercode_na"], got["fa_waivercode_real"], got["fa_waived_pos"], got["fa_contradiction"]) == (1, 0, 1, 1)
+    assert say(features.fee_arithmetic, "Amount: N/A Waiver Code HX-12")["fa_waivercode_real"] == 1
+
+
+def test_source_features(spark):
+    rows = [("c", "visa_class", "intake", 0, 1, 0.9, False, "XW-1"), ("c", "visa_class", "intake", 0, 2, 0.5, False, "XW-2"), ("c", "visa_class", "registry", 1, 3, 0.4, False, "XW-2"), ("c", "visa_class", "slip", 2, 4, 0.1, False, "XW-1"),
+            ("c", "home_world", "intake", 0, 5, 0.9, False, "Titan Freeport"), ("c", "home_world", "registry", 1, 6, 0.4, False, "Titan Freepor"), ("c", "home_world", "slip", 2, 7, 0.4, True, "[lost]")]
+    votes = spark.createDataFrame(rows, "case_id string, field string, ptype string, pg_pos int, seq int, w double, redacted boolean, value string")
+    cases = spark.createDataFrame([("c",), ("d",)], "case_id string")
+    got = {r["case_id"]: r.asDict() for r in features.source_features(votes, cases, ["visa_class"]).collect()}
+    c = got["c"]
+    assert len(c) == 103 and (c["xs_nsrc_visa_class"], c["xs_ndist_visa_class"], c["xs_conflict_visa_class"], c["xs_policy_conflict"]) == (3, 2, 1, 1) and abs(c["xs_top_visa_class"] - 1 / 1.4) < 1e-12
+    assert (c["xs_intake_registry_visa_class"], c["xs_intake_slip_visa_class"], c["xs_registry_slip_visa_class"], c["xs_intake_sponsor_visa_class"]) == (-1, 1, -1, 0)
+    assert (c["xs_ndist_home_world"], c["xs_intake_registry_home_world"], c["xs_red_home_world"], c["xs_n_redacted"], c["xs_n_singleton"]) == (1, 1, 1, 1, 6)
+    assert (c["xs_confsrc_intake"], c["xs_confsrc_registry"], c["xs_confsrc_slip"], c["xs_confsrc_fee"]) == (1, 1, 1, 0)
+    assert got["d"]["xs_absent_visa_class"] == 1 and got["d"]["xs_n_singleton"] == 8
+
+
+def test_receipts_of_fee_pages_only(spark):
+    lines = spark.createDataFrame(packet([("c", 0, 0, "Amount: $9.00", 0.9), ("c", 0, 1, "Waiver code: N/A", 0.9), ("c", 1, 0, "Amount: $0.00", 0.9), ("c", 1, 1, "Waiver code: HX-1", 0.9), ("d", 0, 0, "A fee, unpaid", 0.9), ("d", 0, 1, "fee paid", 0.9), ("e", 0, 0, "fee unknown", 0.9)]), LINES)
+    types = spark.createDataFrame([("c", 0, "other"), ("c", 1, "fee"), ("d", 0, "other"), ("e", 0, "other")], "case_id string, pg_pos int, ptype string")
+    got = {r["case_id"]: r["printed_fee"] for r in packets.printed_fee(lines, types).collect()}
+    assert got == {"c": "waived", "d": "unpaid", "e": None}
