@@ -4,7 +4,7 @@ A string of LENGTH bytes has an anchor: the 32-byte gram of least hash in it, th
 leftmost of equals.  Equal strings have equal anchors, so a string whose anchor occurs
 once in the corpus is unique; a count-min sketch of anchors drops those
 without losing any other.  What is left travels as blocks (the bytes around one
-anchor), equal blocks of a batch once.  Each shard of blocks gets a suffix array by
+anchor), equal blocks of a batch as one row with all their places.  Each shard of blocks gets a suffix array by
 Larsson-Sadakane refinement and common prefixes by Kasai's bound, which mark
 every start whose string occurs twice.  Very frequent anchors are dealt to several
 shards; their sorted string digests are merged by binary search.
@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ BATCH = 1 << 21
 SHARD = (1 << 21) - 4096
 #: An anchor with so many blocks (summed over batches where it has HEAVY or more) is dealt to one shard for each so many.
 SPLIT, HEAVY = 2000, 8
+#: Places of an anchor's blocks that an array marks at once; more are marked in several arrays that are merged.
+PLACES = 200_000
 _NO_ID = -(1 << 63)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
@@ -161,11 +164,11 @@ def _anchor_hashes(batches):
             yield h, _second(h)
 
 
-_BLOCKS = "kind int, anchor long, salt int, id long, key long, a int, n int, whole boolean, block binary"
+_BLOCKS = "anchor long, salt int, ids array<long>, keys array<long>, ats array<int>, n int, block binary"
 
 
 def _ship(shared, log_width: int):
-    """Blocks of anchors that may repeat (kind 1); equal blocks of a batch are marked here (kind 0) and go once."""
+    """Blocks of anchors that may repeat, equal blocks of a batch as one row with all their places."""
 
     def run(batches):
         sketch, hot = shared.value
@@ -175,41 +178,50 @@ def _ship(shared, log_width: int):
                 continue
             begins = np.cumsum(sizes) - sizes
             keep = np.nonzero(in_sketch(sketch, anchor, _second(anchor), log_width))[0]
-            seen: dict[tuple[int, bytes], list] = {}
-            for s, n, p, h in zip(start[keep].tolist(), count[keep].tolist(), piece[keep].tolist(), anchor[keep].view(np.int64).tolist(), strict=True):
-                seen.setdefault((h, whole[s : s + n + LENGTH - 1]), []).append((*held[p][:2], s - int(begins[p]) + held[p][2], n))
-            rows = []
-            for (h, block), places in seen.items():
-                k = hot.get(h, 1)
-                salt = int.from_bytes(hashlib.blake2b(block, digest_size=4).digest(), "little") % k if k > 1 else 0
-                twice = len(places) > 1
-                rows.append((1, h, salt, *places[0], twice, block))
-                if twice:
-                    rows += [(0, x[0] ^ x[1], 0, *x, True, b"") for x in places]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
+            start, count, piece, anchor = start[keep], count[keep], piece[keep], anchor[keep]
+            ids, keys, offsets = (np.array([p[i] for p in held], np.int64) for i in range(3))
+            place = start - begins[piece] + offsets[piece]
+            rows: dict[tuple[int, bytes], list[int]] = {}
+            for i, (h, s, n) in enumerate(zip(anchor.view(np.int64).tolist(), start.tolist(), count.tolist(), strict=True)):
+                rows.setdefault((h, whole[s : s + n + LENGTH - 1]), []).append(i)
+            if not rows:
+                continue
+            salts = [int.from_bytes(hashlib.blake2b(b, digest_size=4).digest(), "little") % hot[h] if h in hot else 0 for h, b in rows] if hot else [0] * len(rows)
+            own = np.fromiter((i for r in rows.values() for i in r), np.int64, len(start))
+            ends = pa.array(np.cumsum([0, *map(len, rows.values())]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[piece][own] if x is not place else x[own], t)) for x, t in ((ids, pa.int64()), (keys, pa.int64()), (place, pa.int32()))]
+            firsts = own[ends.to_numpy()[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor.view(np.int64)[firsts]), pa.array(salts, pa.int32()), *lists, pa.array(count[firsts], pa.int32()), pa.array([b for _, b in rows], pa.binary())],
+                [x.split()[0] for x in _BLOCKS.split(", ")],
+            )
 
     return run
 
 
 class _Out:
-    """Rows of marks (kind 0: starts [a, a + n) of a document) and of strings to compare with other shards (kind 2)."""
+    """Rows of marks (kind 0: starts [a, a + n) of a document) and of strings to compare with other shards (kind 2), in columns."""
 
     TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     SCHEMA = "kind int, id long, key long, a int, n int, d1 long, d2 long"
 
     def __init__(self):
-        self.cols = [[] for _ in self.TYPES]
+        self.parts: list[list] = []
+
+    def marks(self, ids, keys, a, n) -> None:
+        none = pa.nulls(len(ids), pa.int64())
+        self.parts.append([np.zeros(len(ids), np.int32), ids, keys, a, n, none, none])
 
-    def add(self, *row):
-        for c, x in zip(self.cols, row, strict=True):
-            c.append(x)
+    def strings(self, ids, keys, a, n, digests: list[bytes]) -> None:
+        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        self.parts.append([np.full(len(ids), 2, np.int32), ids, keys, a, n, both[:, 0], both[:, 1]])
 
     def take(self):
-        cols, self.cols = self.cols, [[] for _ in self.TYPES]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, self.TYPES, strict=True)], [x.split()[0] for x in self.SCHEMA.split(", ")])
+        parts, self.parts = self.parts, []
+        names = [x.split()[0] for x in self.SCHEMA.split(", ")]
+        done = [pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(p, self.TYPES, strict=True)], names) for p in parts]
+        whole = pa.Table.from_batches(done, pa.schema(list(zip(names, self.TYPES, strict=True)))).combine_chunks()
+        yield from whole.to_batches()
 
 
 def repeated_starts(blocks: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,100 +241,82 @@ def repeated_starts(blocks: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, n
     return starts, total[of[starts]] > 1, of[starts]
 
 
-def _mark(out: _Out, rows: list[tuple], split: bool) -> None:
-    """One suffix array over rows (anchor, id, key, a, n, whole, block).
-
-    An anchor whose blocks here are all equal has nothing to compare: equal strings
-    have their anchor at equal distances, so a block never repeats a string within itself.
-    """
-    distinct: dict[tuple[int, bytes], list] = {}
-    several: dict[int, int] = {}
-    for r in rows:
-        own = distinct.setdefault((r[0], r[6]), [])
-        several[r[0]] = several.get(r[0], 0) + (not own)
-        own.append(r)
-    kinds = []
-    for (anchor, block), rs in distinct.items():
-        if split or several[anchor] > 1:
-            kinds.append((block, rs))
-        elif len(rs) > 1 or rs[0][5]:
-            for r in rs:
-                if not r[5]:
-                    out.add(0, r[1], r[2], r[3], r[4], None, None)
-    if not kinds:
-        return
-    blocks = [(b, rs[0][4], sum(1 + r[5] for r in rs)) for b, rs in kinds]
-    starts, twice, group = repeated_starts(blocks)
-    cut = np.cumsum([n for _, n, _ in blocks])[:-1]
-    for (_, rs), marks in zip(kinds, np.split(twice, cut), strict=True):
-        edge = np.diff(np.concatenate(([0], marks.view(np.int8), [0])))
-        runs = list(zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True))
-        for r in rs:
-            if not r[5]:  # marked already where it was sent from
-                for a, b in runs:
-                    out.add(0, r[1], r[2], r[3] + a, b - a, None, None)
+def _mark(out: _Out, kinds: list[tuple], split: bool) -> None:
+    """One suffix array over distinct blocks (block, n, ids, keys, ats), each of them a string that stands at all its places."""
+    times = np.array([len(k[2]) for k in kinds])
+    starts, twice, group = repeated_starts([(k[0], k[1], t) for k, t in zip(kinds, times.tolist(), strict=True)])
+    sizes = np.array([k[1] for k in kinds])
+    base = np.cumsum(sizes) - sizes
+    block = np.repeat(np.arange(len(kinds)), sizes)
+    same = twice[1:] & twice[:-1] & (block[1:] == block[:-1])  # goes on from the start before
+    heads = np.nonzero(twice & ~np.concatenate(([False], same)))[0]
+    tails = np.nonzero(twice & ~np.concatenate((same, [False])))[0]
+    ids, keys, ats = (np.concatenate([k[i] for k in kinds]) for i in (2, 3, 4))
+    first = np.cumsum(times) - times
+    of = block[heads]  # every run of marks at every place of its block
+    run = np.repeat(np.arange(len(heads)), times[of])
+    place = np.arange(len(run)) - np.repeat(np.cumsum(times[of]) - times[of], times[of]) + first[of][run]
+    out.marks(ids[place], keys[place], ats[place] + (heads - base[of])[run], (tails - heads + 1)[run])
     if split:  # each string once: its first place, with n = 0 if it repeats here anyway
-        first = np.unique(group, return_index=True)[1]
-        which = np.searchsorted(np.append(cut, len(group)), first, "right")
-        base = np.concatenate(([0], cut))
-        for f, w in zip(first.tolist(), which.tolist(), strict=True):
-            block, rs = kinds[w]
-            at = f - int(base[w])
-            d = hashlib.blake2b(block[at : at + LENGTH], digest_size=16).digest()
-            out.add(2, rs[0][1], rs[0][2], rs[0][3] + at, 0 if twice[f] else 1, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
+        one = np.unique(group, return_index=True)[1]
+        of, at = block[one], one - base[block[one]]
+        digests = [hashlib.blake2b(kinds[k][0][i : i + LENGTH], digest_size=16).digest() for k, i in zip(of.tolist(), at.tolist(), strict=True)]
+        out.strings(ids[first[of]], keys[first[of]], ats[first[of]] + at, 1 - twice[one].astype(np.int32), digests)
 
 
 def _shards(shared):
     """Blocks sorted by anchor and salt, in suffix arrays of SHARD bytes at most.
 
-    Small anchors share an array.  A dealt anchor has arrays of its own, and so has one that
+    Small anchors share an array; blocks of an anchor that stands once are unique.  A dealt anchor has arrays of its own, and so has one that
     fills an array by itself; their strings are compared with the other shards' later.
     """
 
     def run(batches):
         hot, out = shared.value[1], _Out()
-        pool: list[tuple] = []  # rows of whole anchors
-        mine: list[tuple] = []  # rows of the anchor at hand
-        known: set[bytes] = set()
-        pooled = size = 0
+        pool: list[tuple] = []  # blocks of whole anchors
+        mine: dict[bytes, list] = {}  # blocks of the anchor at hand, with lists of their places
+        pooled = size = places = 0
         last, split = None, False
 
+        def blocks():
+            return [(b, n, *(np.concatenate(x) for x in zip(*at, strict=True))) for b, (n, at) in mine.items()]
+
         def end_of_anchor():
             nonlocal pool, mine, pooled
             if split and mine:
-                _mark(out, mine, True)
-            elif mine:
-                if len(known) == 1:
-                    _mark(out, mine, False)
-                    mine = []
-                    return
-                if pool and (pooled + size > SHARD or len(pool) > 100_000):
+                _mark(out, blocks(), True)
+            elif places > 1:
+                if pool and pooled + size > SHARD:
                     _mark(out, pool, False)
                     pool, pooled = [], 0
-                pool += mine
+                pool += blocks()
                 pooled += size
-            mine = []
+            mine = {}
 
         for b in batches:
-            for kind, anchor, salt, id_, key, a, n, whole, block in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if kind == 0:
-                    out.add(0, id_, key, a, n, None, None)
-                    continue
-                if (anchor, salt) != last:
+            anchors_, salts, counts, data = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(5).to_numpy(), b.column(6)
+            lists = [(b.column(i).offsets.to_numpy(), b.column(i).values.to_numpy()) for i in (2, 3, 4)]
+            new = np.concatenate(([True], (anchors_[1:] != anchors_[:-1]) | (salts[1:] != salts[:-1])))
+            for i, fresh in enumerate(new.tolist()):
+                if fresh and (int(anchors_[i]), int(salts[i])) != last:
                     end_of_anchor()
-                    last, split, known, size = (anchor, salt), anchor in hot, set(), 0
-                if block not in known and size + len(block) > SHARD or len(mine) >= 200_000:
-                    _mark(out, mine, True)
-                    mine, split, known, size = [], True, set(), 0
-                if block not in known:
-                    known.add(block)
+                    last = (int(anchors_[i]), int(salts[i]))
+                    split, size, places = last[0] in hot, 0, 0
+                block = data[i].as_py()
+                own = [v[o[i] : o[i + 1]] for o, v in lists]
+                if (block not in mine and size + len(block) > SHARD) or places + len(own[0]) > PLACES and mine:
+                    _mark(out, blocks(), True)
+                    mine, split, size, places = {}, True, 0, 0
+                if block not in mine:
+                    mine[block] = (int(counts[i]), [])
                     size += len(block)
-                mine.append((anchor, id_, key, a, n, whole, block))
-            yield out.take()
+                mine[block][1].append(own)
+                places += len(own[0])
+            yield from out.take()
         end_of_anchor()
         if pool:
             _mark(out, pool, False)
-        yield out.take()
+        yield from out.take()
 
     return run
 
@@ -337,31 +331,40 @@ def _merge(batches):
 
     A shard sends a string once, so a digest that stands twice comes from two shards.
     """
-    out, held = _Out(), []
-
-    def settle():
-        if held:
-            both: dict[tuple, list] = {}
-            for r, again in zip(held, several(np.array([r[5] for r in held])).tolist(), strict=True):
-                if again:
-                    both.setdefault(r[5:], []).append(r)
-            for rows in both.values():
-                for r in rows if len(rows) > 1 else ():
-                    if r[4]:
-                        out.add(0, r[1], r[2], r[3], 1, None, None)
-            held.clear()
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def settle(keep_last: bool):
+        """Marks for what is held; the last digest may go on in the next batch."""
+        nonlocal held, rows
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        d1, d2 = whole.column("d1").to_numpy(), whole.column("d2").to_numpy()
+        end = int(np.searchsorted(d1, d1[-1], "left")) if keep_last else len(d1)
+        held = whole.slice(end).to_batches() if end < len(d1) else []
+        rows = len(d1) - end
+        d1, d2 = d1[:end], d2[:end]
+        able = several(d1)
+        both = d1[able], d2[able]
+        back = np.unique(np.stack(both, 1), axis=0, return_inverse=True, return_counts=True) if able.any() else None
+        if back is not None:
+            again = np.nonzero(able)[0][back[2][back[1].ravel()] > 1]
+            found = whole.take(pa.array(again))
+            found = found.filter(pc.equal(found.column("n"), 1))
+            none = pa.nulls(found.num_rows, pa.int64())
+            yield from pa.table([pa.array(np.zeros(found.num_rows, np.int32)), *(found.column(c) for c in ("id", "key", "a", "n")), none, none], names=found.column_names).combine_chunks().to_batches()
 
     for b in batches:
-        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if r[0] == 0:
-                out.add(*r)
-            else:
-                if len(held) >= 50_000 and held[-1][5] != r[5]:
-                    settle()
-                held.append(r)
-        yield out.take()
-    settle()
-    yield out.take()
+        mark = pc.equal(b.column(0), 0)
+        yield b.filter(mark)
+        strings = b.filter(pc.invert(mark))
+        if strings.num_rows:
+            held.append(strings)
+            rows += strings.num_rows
+            if rows >= 50_000:
+                yield from settle(True)
+    yield from settle(False)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
