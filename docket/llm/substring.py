@@ -25,6 +25,8 @@ from .sketch import in_sketch, log_width_for, merged_sketch, mix64, pack, rolled
 WINDOW = 20
 #: Words of a batch; windows of a grouping task.
 BATCH_WORDS, SHARD_WINDOWS = 500_000, 2_000_000
+#: Rows of a batch at most, and finer shards that one step deals to.
+LANES = 128
 _R1, _R2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _NO_ID = -(1 << 63)
 
@@ -69,8 +71,8 @@ def _hashes(batches):
         yield windows(sizes, words)[1:]
 
 
-def _ship(shared, log_width: int, shards: int):
-    """Second pass over documents: candidate windows by shard, one for each digest and batch; the rest are marked here."""
+def _ship(shared, log_width: int, lanes: int):
+    """Second pass over documents: candidate windows by lane, one for each digest and batch; the rest are marked here."""
 
     def run(batches):
         sketch = shared.value
@@ -88,22 +90,57 @@ def _ship(shared, log_width: int, shards: int):
             same = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
             first, pos = np.maximum.accumulate(np.where(same, 0, np.arange(len(at)))), at - starts[doc]
             later = same & ~((ids[doc] == ids[doc][first]) & (pos == pos[first]))  # a repeated row starts no earlier than its like
-            shard = (h1 >> np.uint64(32)).astype(np.int64) * shards >> 32
-            rows = []
-            ends = np.searchsorted(shard, np.arange(1, shards + 1))
-            for s, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                pick = np.arange(a, b)[~later[a:b]]
-                pick = pick[np.argsort(at[pick])]  # places pack best in order
-                if len(pick):
-                    docs = np.unique(doc[pick])
-                    rows.append((0, s, h1[pick].tobytes(), h2[pick].tobytes(), pack(at[pick]), squeeze(ids[docs]), b"", pack(starts[docs])))
+            own = np.nonzero(~later)[0]
+            out = [(0, lane, batch, *found) for lane, found in _dealt(h1[own], h2[own], at[own], ids, starts, lanes)]
             # The batch's documents travel once, with what is marked already.
-            rows.append((1, batch % shards, b"", b"", pack(np.sort(at[later])), squeeze(ids), keys.tobytes(), pack(starts)))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
-                ["batch", "kind", "shard", "h1", "h2", "at", "ids", "keys", "starts"],
-            )
+            out.append((1, batch % lanes, batch, b"", b"", pack(np.sort(at[later])), squeeze(ids), pack(starts), keys.tobytes()))
+            yield _rows(out)
+
+    return run
+
+
+_SHIPPED = "kind int, shard int, batch array<long>, h1 array<binary>, h2 array<binary>, at array<binary>, ids array<binary>, starts array<binary>, keys binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (kind, shard, then lists of equal length: batch, h1, h2, at, ids, starts; or one of each and keys) of _SHIPPED."""
+    many = [(r[0], r[1], *([x] if not isinstance(x, list) else x for x in r[2:8]), r[8] if len(r) > 8 else b"") for r in rows]
+    cols = list(zip(*many, strict=True)) or [()] * 9
+    types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 5, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _SHIPPED.split(", ")])
+
+
+def _dealt(h1: np.ndarray, h2: np.ndarray, at: np.ndarray, ids: np.ndarray, starts: np.ndarray, shards: int):
+    """(shard, (h1, h2, places, ids of their documents, where these start)) of a batch's windows, by ranges of h1."""
+    shard = (h1 >> np.uint64(32)).astype(np.int64) * shards >> 32
+    order = np.lexsort((at, shard))  # places pack best in order
+    h1, h2, at, shard = h1[order], h2[order], at[order], shard[order]
+    for s in np.unique(shard).tolist():
+        pick = slice(*np.searchsorted(shard, (s, s + 1)))
+        docs = np.unique(np.searchsorted(starts, at[pick], "right") - 1)
+        yield s, (h1[pick].tobytes(), h2[pick].tobytes(), pack(at[pick]), squeeze(ids[docs]), pack(starts[docs]))
+
+
+def _windows(row: dict):
+    """(batch, h1, h2, places, ids, starts) of each batch in a row."""
+    for batch, h1, h2, at, ids, starts in zip(*(row[c] for c in ("batch", "h1", "h2", "at", "ids", "starts")), strict=True):
+        yield batch, np.frombuffer(h1, np.uint64), np.frombuffer(h2, np.uint32), unpack(at), unsqueeze(ids), unpack(starts)
+
+
+def _dealt_again(shards: int):
+    """Rows of one shard from several batches, dealt to finer shards: for each of these one row, whatever the number of batches."""
+
+    def run(part: pa.Table) -> pa.Table:
+        out, finer = [], {}
+        for row in part.to_pylist():
+            if row["kind"]:
+                out.append((1, row["batch"][0] % shards, *(row[c] for c in ("batch", "h1", "h2", "at", "ids", "starts")), row["keys"]))
+                continue
+            for batch, h1, h2, at, ids, starts in _windows(row):
+                for s, found in _dealt(h1, h2, at, ids, starts, shards):
+                    for to, x in zip(finer.setdefault(s, [[] for _ in range(6)]), (batch, *found), strict=True):
+                        to.append(x)
+        return pa.Table.from_batches([_rows(out + [(0, s, *x) for s, x in finer.items()])])
 
     return run
 
@@ -122,16 +159,14 @@ def unsqueeze(data: bytes) -> np.ndarray:
 def _first_ones(part: pa.Table) -> pa.Table:
     """A shard's digests from all batches: per batch, the places whose digest starts earlier somewhere."""
     rows = part.to_pylist()
-    grouped = [r for r in rows if r["kind"] == 0]
-    out = [(r["batch"], r["at"], r["ids"], r["keys"], r["starts"]) for r in rows if r["kind"]]
+    out = [(*(r[c][0] for c in ("batch", "at", "ids")), r["keys"], r["starts"][0]) for r in rows if r["kind"]]
+    grouped = [w for r in rows if not r["kind"] for w in _windows(r)]
     if grouped:
-        h1 = np.concatenate([np.frombuffer(r["h1"], np.uint64) for r in grouped])
-        h2 = np.concatenate([np.frombuffer(r["h2"], np.uint32) for r in grouped])
+        h1, h2 = np.concatenate([w[1] for w in grouped]), np.concatenate([w[2] for w in grouped])
         doc, pos = [], []
-        for r in grouped:
-            at, starts = unpack(r["at"]), unpack(r["starts"])
+        for _, _, _, at, ids, starts in grouped:
             d = np.searchsorted(starts, at, "right") - 1
-            doc.append(unsqueeze(r["ids"])[d])
+            doc.append(ids[d])
             pos.append(at - starts[d])
         sizes = [len(x) for x in doc]
         doc, pos = np.concatenate(doc), np.concatenate(pos)
@@ -141,9 +176,9 @@ def _first_ones(part: pa.Table) -> pa.Table:
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
         later = np.zeros(len(a), bool)
         later[order] = same & ~((d == d[first]) & (p == p[first]))
-        for r, mark in zip(grouped, np.split(later, np.cumsum(sizes)[:-1]), strict=True):
+        for w, mark in zip(grouped, np.split(later, np.cumsum(sizes)[:-1]), strict=True):
             if mark.any():
-                out.append((r["batch"], pack(unpack(r["at"])[mark]), b"", b"", b""))
+                out.append((w[0], pack(w[3][mark]), b"", b"", b""))
     cols = list(zip(*out, strict=True)) or [()] * 5
     return pa.table({"batch": pa.array(cols[0], pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(("at", "ids", "keys", "starts"), cols[1:], strict=True)}})
 
@@ -176,9 +211,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     guess = max(1, chars // 6)
     log_width = log_width_for(guess)
     shards = int(max(1, -(-guess // SHARD_WINDOWS)))
-    shared = spark.sparkContext.broadcast(merged_sketch(docs, _hashes, log_width)[0])
-    schema = "batch long, kind int, shard int, h1 binary, h2 binary, at binary, ids binary, keys binary, starts binary"
-    shipped = docs.mapInArrow(_ship(shared, log_width, shards), schema)
+    lanes = min(shards, LANES)
+    shared = spark.sparkContext.broadcast(merged_sketch(docs, _hashes, log_width, guess)[0])
+    shipped = docs.mapInArrow(_ship(shared, log_width, lanes), _SHIPPED)
+    # A batch sends LANES rows at most.  More shards are reached in steps: each joins as many batches' rows of a shard as it
+    # deals finer shards, so there are never more rows than batches x LANES, and so the rows grow as the input does.
+    sources = max(1, guess // BATCH_WORDS)
+    while lanes < shards:
+        step = min(-(-shards // lanes), LANES)
+        lanes, sources = lanes * step, -(-sources // step)
+        shipped = shipped.groupBy("shard", F.pmod(F.xxhash64("batch"), F.lit(sources))).applyInArrow(_dealt_again(lanes), _SHIPPED)
     marked = shipped.groupBy("shard").applyInArrow(_first_ones, "batch long, at binary, ids binary, keys binary, starts binary")
     runs = marked.groupBy("batch").applyInArrow(_runs, "id long, key long, a array<int>, b array<int>")
     return runs.groupBy("id", "key").agg(F.max(F.struct("a", "b")).alias("r")).select("id", "key", "r.a", "r.b")  # a row repeated in two batches has equal runs

@@ -371,8 +371,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """id long (null doc_id: the least long), key long (XXH64 of the text), spans array<struct<a int, n int>>: runs of starts of repeated strings."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    log_width = log_width_for(max(1, size // 100))  # an anchor for each 185 bytes of ordinary text
-    sketch, heavy = merged_sketch(docs, _anchor_hashes, log_width, HEAVY, SPLIT)
+    expected = max(1, size // 100)  # an anchor for each 185 bytes of ordinary text
+    log_width = log_width_for(expected)
+    sketch, heavy = merged_sketch(docs, _anchor_hashes, log_width, expected, HEAVY, SPLIT)
     hot = {int(np.uint64(h).astype(np.int64)): -(-n // SPLIT) for h, n in heavy.items()}
     shared = spark.sparkContext.broadcast((sketch, hot))
     n = max(width(spark), -(-size // (8 << 20)))

@@ -186,6 +186,9 @@ def brute_windows(rows):
 def test_substring(docs, rows, small, monkeypatch):
     if small:
         monkeypatch.setattr(substring, "SHARD_WINDOWS", 300)
+        monkeypatch.setattr(substring, "LANES", 2)
+        monkeypatch.setattr(sketch, "PER_PART", 500)
+        monkeypatch.setattr(sketch, "FAN", 3)
         monkeypatch.setattr(sketch, "LOG_SLICE", 8)
     got = {tuple(r) for r in substring.dedup(docs).collect()}
     assert got == set(brute_windows(rows)) and substring.dedup(docs).count() == len(rows)
@@ -227,6 +230,9 @@ def test_suffix(docs, rows, small, monkeypatch):
         monkeypatch.setattr(suffix, "SPLIT", 2)
         monkeypatch.setattr(suffix, "HEAVY", 1)
         monkeypatch.setattr(suffix, "BATCH", 1500)
+        monkeypatch.setattr(suffix, "PLACES", 3)
+        monkeypatch.setattr(sketch, "PER_PART", 50)
+        monkeypatch.setattr(sketch, "FAN", 3)
     got = sorted((*tuple(r)[:4], bytes(r["kept"])) for r in suffix.dedup(docs).collect())
     assert got == sorted(brute_bytes(rows))
     assert suffix.dedup(docs.limit(0)).count() == 0
