@@ -17,6 +17,8 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
 }
 ORACLES = {
+    "op4_substring": substring.SQL,
+    "op5_suffix_array": suffix.SQL,
     "op6_url_filters": urlfilter.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op10_chat": chat.SQL,

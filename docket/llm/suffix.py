@@ -416,3 +416,16 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 800)) AS g FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 398)) AS i FROM h WHERE length(x) >= 800)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1),
+steps AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 400 THEN 0 ELSE 1 END AS fresh FROM twice WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps) GROUP BY doc_id, run),
+edges AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS from_ FROM (SELECT * FROM runs UNION ALL SELECT doc_id, length(x) // 2 + 1, NULL FROM h)),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * from_ - 1, 2 * (a - from_)), '' ORDER BY a, from_) AS t FROM edges JOIN h USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM runs GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256 FROM h JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
