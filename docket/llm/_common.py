@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of few rows, so that neither side holds thousands of long texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; lower() would change other letters too."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import cut, slices, table
 
 SPAN = 10
 #: Words of one automaton at most; a larger benchmark is split into several.
@@ -171,7 +171,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, item_col
 
         def scan(batches, shared=shared, at=at, first=first):
             auto = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 n, hits, items = [], [], []
                 old = (None, None) if first else (batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
                 for i, text in enumerate(batch.column(at)):
@@ -237,7 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, cover
 
     def clean(batches):
         auto = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts, keep = batch.column(at).to_pylist(), []
             for i, text in enumerate(texts):
                 words = words_of(text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import slices, table
 
 #: Rows of the sample at most, for each language; the lowest hashes of doc_id are taken.
 PER_LANG = 600
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def predict(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, out = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._common import cut, width
+from ._common import cut, slices, width
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -64,7 +64,7 @@ def prints(docs: DataFrame) -> DataFrame:
     """doc_id, th long (hash of the text), node long (hash of the shingle set), n int (its size), fp long (fingerprint), keys array<long>."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             chunks = [list(simhash.digests(t.as_py(), SHINGLE)) for t in batch.column(2)]
             sets = [_distinct(c) for c in chunks]
             yield pa.RecordBatch.from_arrays(
@@ -82,17 +82,17 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set array<long> of each node in wanted (w), from one of its rows."""
+    """node, set array<long> of each node in wanted (w), from one of its rows; docs has no row twice."""
     wanted = cut(wanted.join(nodes.select("node", "one"), F.col("w") == F.col("node")).select("node", F.col("one.doc_id").alias("d"), F.col("one.th").alias("t")))
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "set"])
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(wanted, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    return cut(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]))  # repeated rows stand for one node
+    return cut(texts.mapInArrow(run, "node long, set array<long>"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,6 +248,9 @@ def group(docs: DataFrame, first: bool = False) -> DataFrame:
     first row, by doc_id (null last), then text hash.
     """
     found = cut(prints(docs))
+    twice = cut(found.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).count().where("count > 1"))
+    if not twice.isEmpty():
+        docs = cut(docs.select("doc_id", "text").dropDuplicates())
     nodes = found.groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")
     )
@@ -256,7 +259,6 @@ def group(docs: DataFrame, first: bool = False) -> DataFrame:
     named = cut(nodes.join(stars, F.col("node") == F.col("m"), "left").select(F.col("node").alias("f"), F.coalesce("root", "node").alias("root"), "least", "one"))
     if first:
         ones = named.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("of_id"), F.col("one.th").alias("of_th"))
-        twice = found.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).count().where("count > 1")
         return cut(ones.join(twice, F.col("of_id").eqNullSafe(F.col("i")) & (F.col("of_th") == F.col("t")), "left").select("of_id", "of_th", F.coalesce("count", F.lit(1)).alias("rows")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = cut(named.select("f", "root").join(least, "root").select("f", "component_id"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import slices, table
 from .sketch import in_sketch, log_width_for, merged_sketch, mix64, pack, rolled, unpack
 
 WINDOW = 20
@@ -239,7 +239,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = keyed.join(runs, (keyed["_id"] == runs["id"]) & (keyed["_key"] == runs["key"]), "left").select("doc_id", "text", "a", "b")
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], []]
             for text, a, b in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()

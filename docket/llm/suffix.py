@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, width
+from ._common import slices, table, width
 from .sketch import in_sketch, log_width_for, merged_sketch, mix64, rolled
 
 LENGTH = 400
@@ -396,7 +396,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = keyed.join(spans, (keyed["_id"] == spans["id"]) & (keyed["_key"] == spans["key"]), "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.n").alias("n"))
 
     def apply(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], [], []]
             for text, a, n in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
