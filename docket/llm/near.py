@@ -183,7 +183,8 @@ def _rest(docs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     rows = rows.select("key", "node", "root", "h", F.when(F.col("probe"), F.col("p")).otherwise(-1).alias("p"), F.explode(F.array_distinct(F.concat(cells, more))).alias("cell"))
     sets = _sets(docs, nodes, named.select(F.col("node").alias("w")).distinct()).withColumnRenamed("node", "m")
     rows = rows.join(sets, F.col("node") == F.col("m")).select("key", F.col("cell.h").alias("ch"), F.col("cell.p").alias("cp"), "h", "p", "node", "root", "set")
-    dealt = rows.repartition(width(docs.sparkSession), "key", "ch", "cp").sortWithinPartitions("key", "ch", "cp", "node")
+    dealt = rows.repartition(2 * width(docs.sparkSession), "key", "ch", "cp")  # rows are sets, far larger than those of other joins
+    dealt = dealt.sortWithinPartitions("key", "ch", "cp", "node")
     return cut(dealt.mapInArrow(_cells, "u long, v long").distinct())
 
 
@@ -207,6 +208,7 @@ def _cells(batches):
                 last = cell
             held.append((h == cell[1], p == cell[2], node, root, sets[i].values.to_numpy()))
     yield from settle()
+    pa.default_memory_pool().release_unused()
 
 
 def _linked(rows: list[tuple]) -> list[tuple[int, int]]:
