@@ -1,6 +1,7 @@
 """Suffix-array dedup of repeated byte strings.
 
-A string of LENGTH bytes has an anchor: the 32-byte gram of least hash in it, the
+Strings of LENGTH bytes that occur twice are removed, those of SHORT bytes are counted.  A string
+has an anchor: the 32-byte gram of least hash in its first SHORT bytes, the
 leftmost of equals.  Equal strings have equal anchors, so a string whose anchor occurs
 once in the corpus is unique; a count-min sketch of anchors drops those
 without losing any other.  What is left travels as blocks (the bytes around one
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from ._common import slices, table, width
 from .sketch import in_sketch, log_width_for, merged_sketch, mix64, rolled
 
-LENGTH = 400
+LENGTH, SHORT = 400, 256
 GRAM = 32
-#: Bytes that are looked at together; a longer text goes in pieces that overlap by LENGTH - 1 bytes.
+#: Starts that are looked at together; a longer text goes in pieces that overlap by LENGTH - 1 bytes.
 BATCH = 1 << 21
 #: Bytes of a suffix array: places take 21 bits, and three of them a sort key.
 SHARD = (1 << 21) - 4096
@@ -105,16 +106,20 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, step: int = 128)
 
 
 def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts with the same anchor: first start, number of starts, piece, and the anchor's hash."""
+    """Runs of starts with the same anchor: first start, number of starts, piece, and the anchor's hash.
+
+    A start has SHORT bytes before its piece ends, and stands before BATCH: later ones are the next piece's.
+    """
     n = len(data)
     ends = np.cumsum(sizes)
     piece = np.repeat(np.arange(len(sizes)), sizes)
-    starts = np.nonzero(ends[piece] - np.arange(n) >= LENGTH)[0]
+    left = ends[piece] - np.arange(n)
+    starts = np.nonzero((left >= SHORT) & (sizes[piece] - left < BATCH))[0]
     if not len(starts):
         return tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty(0, np.uint64),)
     gram = mix64(rolled(_BYTE[data], GRAM, 0x9E3779B97F4A7C15))
     packed = gram & ~np.uint64((1 << 24) - 1) | np.arange(len(gram), dtype=np.uint64)
-    w = LENGTH - GRAM + 1
+    w = SHORT - GRAM + 1
     blocks = np.concatenate((packed, np.full(-len(packed) % w, ~np.uint64(0)))).reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.ascontiguousarray(np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]).ravel()
@@ -125,13 +130,13 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _pieces(batches):
-    """(doc_id, text key, offset, bytes) of texts of LENGTH bytes or more."""
+    """(doc_id, text key, offset, bytes) of texts of SHORT bytes or more."""
     for b in batches:
         for doc_id, text in zip(b.column(0), b.column(1), strict=True):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            if len(data) >= LENGTH:
+            if len(data) >= SHORT:
                 doc_id, key = doc_id.as_py(), np.uint64(xxhash.xxh64_intdigest(data, 42)).astype(np.int64)
-                for at in range(0, len(data) - LENGTH + 1, BATCH):
+                for at in range(0, len(data) - SHORT + 1, BATCH):
                     yield _NO_ID if doc_id is None else doc_id, int(key), at, data[at : at + BATCH + LENGTH - 1]
 
 
@@ -180,19 +185,19 @@ def _ship(shared, log_width: int):
             keep = np.nonzero(in_sketch(sketch, anchor, _second(anchor), log_width))[0]
             start, count, piece, anchor = start[keep], count[keep], piece[keep], anchor[keep]
             ids, keys, offsets = (np.array([p[i] for p in held], np.int64) for i in range(3))
-            place = start - begins[piece] + offsets[piece]
-            rows: dict[tuple[int, bytes], list[int]] = {}
-            for i, (h, s, n) in enumerate(zip(anchor.view(np.int64).tolist(), start.tolist(), count.tolist(), strict=True)):
-                rows.setdefault((h, whole[s : s + n + LENGTH - 1]), []).append(i)
+            place, stop = start - begins[piece] + offsets[piece], np.minimum(start + count + LENGTH - 1, (begins + sizes)[piece])
+            rows: dict[tuple[int, int, bytes], list[int]] = {}
+            for i, (h, s, n, e) in enumerate(zip(anchor.view(np.int64).tolist(), start.tolist(), count.tolist(), stop.tolist(), strict=True)):
+                rows.setdefault((h, n, whole[s:e]), []).append(i)
             if not rows:
                 continue
-            salts = [int.from_bytes(hashlib.blake2b(b, digest_size=4).digest(), "little") % hot[h] if h in hot else 0 for h, b in rows] if hot else [0] * len(rows)
+            salts = [int.from_bytes(hashlib.blake2b(b, digest_size=4).digest(), "little") % hot[h] if h in hot else 0 for h, _, b in rows] if hot else [0] * len(rows)
             own = np.fromiter((i for r in rows.values() for i in r), np.int64, len(start))
             ends = pa.array(np.cumsum([0, *map(len, rows.values())]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x[piece][own] if x is not place else x[own], t)) for x, t in ((ids, pa.int64()), (keys, pa.int64()), (place, pa.int32()))]
             firsts = own[ends.to_numpy()[:-1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)[firsts]), pa.array(salts, pa.int32()), *lists, pa.array(count[firsts], pa.int32()), pa.array([b for _, b in rows], pa.binary())],
+                [pa.array(anchor.view(np.int64)[firsts]), pa.array(salts, pa.int32()), *lists, pa.array(count[firsts], pa.int32()), pa.array([b for _, _, b in rows], pa.binary())],
                 [x.split()[0] for x in _BLOCKS.split(", ")],
             )
 
@@ -200,7 +205,10 @@ def _ship(shared, log_width: int):
 
 
 class _Out:
-    """Rows of marks (kind 0: starts [a, a + n) of a document) and of strings to compare with other shards (kind 2), in columns."""
+    """Rows of marks (starts [a, a + n) of a document) and of strings to compare with other shards, in columns.
+
+    kind: 0 and 2 of LENGTH bytes, 1 and 3 of SHORT.
+    """
 
     TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     SCHEMA = "kind int, id long, key long, a int, n int, d1 long, d2 long"
@@ -208,13 +216,13 @@ class _Out:
     def __init__(self):
         self.parts: list[list] = []
 
-    def marks(self, ids, keys, a, n) -> None:
+    def marks(self, kind: int, ids, keys, a, n) -> None:
         none = pa.nulls(len(ids), pa.int64())
-        self.parts.append([np.zeros(len(ids), np.int32), ids, keys, a, n, none, none])
+        self.parts.append([np.full(len(ids), kind, np.int32), ids, keys, a, n, none, none])
 
-    def strings(self, ids, keys, a, n, digests: list[bytes]) -> None:
+    def strings(self, kind: int, ids, keys, a, n, digests: list[bytes]) -> None:
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        self.parts.append([np.full(len(ids), 2, np.int32), ids, keys, a, n, both[:, 0], both[:, 1]])
+        self.parts.append([np.full(len(ids), kind, np.int32), ids, keys, a, n, both[:, 0], both[:, 1]])
 
     def take(self):
         parts, self.parts = self.parts, []
@@ -224,44 +232,52 @@ class _Out:
         yield from whole.to_batches()
 
 
-def repeated_starts(blocks: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For concatenated blocks (bytes, starts, times it occurs): each start's place, whether its string occurs twice, and its group."""
+def repeated_starts(blocks: list[tuple[bytes, int, int]], lengths: tuple[int, ...] = (LENGTH,)):
+    """For concatenated blocks (bytes, starts, times it occurs) and each length: its starts' places, whether the string there occurs twice, and its group.
+
+    A start whose block ends before a length has no string of that length.
+    """
     text = np.frombuffer(b"".join(b for b, _, _ in blocks), np.uint8)
     sizes = np.array([len(b) for b, _, _ in blocks])
     begin = np.cumsum(sizes) - sizes
-    times = np.zeros(len(text), np.int64)
-    for at, (_, n, k) in zip(begin.tolist(), blocks, strict=True):
-        times[at : at + n] = k
     sa = suffix_array(text)
-    group = np.cumsum(common_prefixes(text, sa, LENGTH) < LENGTH) - 1
-    total = np.bincount(group, weights=times[sa]).astype(np.int64)
-    of = np.empty(len(text), np.int64)
-    of[sa] = group
-    starts = np.nonzero(times)[0]
-    return starts, total[of[starts]] > 1, of[starts]
+    shared = common_prefixes(text, sa, max(lengths))
+    for length in lengths:
+        times = np.zeros(len(text), np.int64)
+        for at, (b, n, k) in zip(begin.tolist(), blocks, strict=True):
+            times[at : at + max(0, min(n, len(b) - length + 1))] = k
+        group = np.cumsum(shared < length) - 1
+        total = np.bincount(group, weights=times[sa]).astype(np.int64)
+        of = np.empty(len(text), np.int64)
+        of[sa] = group
+        starts = np.nonzero(times)[0]
+        yield starts, total[of[starts]] > 1, of[starts]
 
 
 def _mark(out: _Out, kinds: list[tuple], split: bool) -> None:
     """One suffix array over distinct blocks (block, n, ids, keys, ats), each of them a string that stands at all its places."""
     times = np.array([len(k[2]) for k in kinds])
-    starts, twice, group = repeated_starts([(k[0], k[1], t) for k, t in zip(kinds, times.tolist(), strict=True)])
-    sizes = np.array([k[1] for k in kinds])
+    sizes = np.array([len(k[0]) for k in kinds])
     base = np.cumsum(sizes) - sizes
-    block = np.repeat(np.arange(len(kinds)), sizes)
-    same = twice[1:] & twice[:-1] & (block[1:] == block[:-1])  # goes on from the start before
-    heads = np.nonzero(twice & ~np.concatenate(([False], same)))[0]
-    tails = np.nonzero(twice & ~np.concatenate((same, [False])))[0]
     ids, keys, ats = (np.concatenate([k[i] for k in kinds]) for i in (2, 3, 4))
     first = np.cumsum(times) - times
-    of = block[heads]  # every run of marks at every place of its block
-    run = np.repeat(np.arange(len(heads)), times[of])
-    place = np.arange(len(run)) - np.repeat(np.cumsum(times[of]) - times[of], times[of]) + first[of][run]
-    out.marks(ids[place], keys[place], ats[place] + (heads - base[of])[run], (tails - heads + 1)[run])
-    if split:  # each string once: its first place, with n = 0 if it repeats here anyway
-        one = np.unique(group, return_index=True)[1]
-        of, at = block[one], one - base[block[one]]
-        digests = [hashlib.blake2b(kinds[k][0][i : i + LENGTH], digest_size=16).digest() for k, i in zip(of.tolist(), at.tolist(), strict=True)]
-        out.strings(ids[first[of]], keys[first[of]], ats[first[of]] + at, 1 - twice[one].astype(np.int32), digests)
+    found = repeated_starts([(k[0], k[1], t) for k, t in zip(kinds, times.tolist(), strict=True)], (LENGTH, SHORT))
+    for kind, (length, (starts, twice, group)) in enumerate(zip((LENGTH, SHORT), found, strict=True)):
+        if not len(starts):
+            continue
+        block = np.searchsorted(base, starts, "right") - 1
+        same = twice[1:] & twice[:-1] & (block[1:] == block[:-1])  # goes on from the start before
+        heads = np.nonzero(twice & ~np.concatenate(([False], same)))[0]
+        tails = np.nonzero(twice & ~np.concatenate((same, [False])))[0]
+        of = block[heads]  # every run of marks at every place of its block
+        run = np.repeat(np.arange(len(heads)), times[of])
+        place = np.arange(len(run)) - np.repeat(np.cumsum(times[of]) - times[of], times[of]) + first[of][run]
+        out.marks(kind, ids[place], keys[place], ats[place] + (starts[heads] - base[of])[run], (tails - heads + 1)[run])
+        if split:  # each string once: its first place, with n = 0 if it repeats here anyway
+            one = np.unique(group, return_index=True)[1]
+            of, at = block[one], starts[one] - base[block[one]]
+            digests = [hashlib.blake2b(kinds[k][0][i : i + length], digest_size=16).digest() for k, i in zip(of.tolist(), at.tolist(), strict=True)]
+            out.strings(kind + 2, ids[first[of]], keys[first[of]], ats[first[of]] + at, 1 - twice[one].astype(np.int32), digests)
 
 
 def _shards(shared):
@@ -274,12 +290,12 @@ def _shards(shared):
     def run(batches):
         hot, out = shared.value[1], _Out()
         pool: list[tuple] = []  # blocks of whole anchors
-        mine: dict[bytes, list] = {}  # blocks of the anchor at hand, with lists of their places
+        mine: dict[tuple[int, bytes], list] = {}  # blocks of the anchor at hand (starts, bytes), with lists of their places
         pooled = size = places = 0
         last, split = None, False
 
         def blocks():
-            return [(b, n, *(np.concatenate(x) for x in zip(*at, strict=True))) for b, (n, at) in mine.items()]
+            return [(b, n, *(np.concatenate(x) for x in zip(*at, strict=True))) for (n, b), at in mine.items()]
 
         def end_of_anchor():
             nonlocal pool, mine, pooled
@@ -302,15 +318,15 @@ def _shards(shared):
                     end_of_anchor()
                     last = (int(anchors_[i]), int(salts[i]))
                     split, size, places = last[0] in hot, 0, 0
-                block = data[i].as_py()
+                block = (int(counts[i]), data[i].as_py())
                 own = [v[o[i] : o[i + 1]] for o, v in lists]
-                if (block not in mine and size + len(block) > SHARD) or places + len(own[0]) > PLACES and mine:
+                if (block not in mine and size + len(block[1]) > SHARD) or places + len(own[0]) > PLACES and mine:
                     _mark(out, blocks(), True)
                     mine, split, size, places = {}, True, 0, 0
                 if block not in mine:
-                    mine[block] = (int(counts[i]), [])
-                    size += len(block)
-                mine[block][1].append(own)
+                    mine[block] = []
+                    size += len(block[1])
+                mine[block].append(own)
                 places += len(own[0])
             yield from out.take()
         end_of_anchor()
@@ -331,7 +347,7 @@ def _merge(batches):
 
     A shard sends a string once, so a digest that stands twice comes from two shards.
     """
-    held: list[pa.RecordBatch] = []
+    held: list[pa.RecordBatch] = []  # of one kind
     rows = 0
 
     def settle(keep_last: bool):
@@ -339,6 +355,7 @@ def _merge(batches):
         nonlocal held, rows
         if not held:
             return
+        kind = held[0].column(0)[0].as_py() - 2
         whole = pa.Table.from_batches(held).combine_chunks()
         d1, d2 = whole.column("d1").to_numpy(), whole.column("d2").to_numpy()
         end = int(np.searchsorted(d1, d1[-1], "left")) if keep_last else len(d1)
@@ -353,13 +370,16 @@ def _merge(batches):
             found = whole.take(pa.array(again))
             found = found.filter(pc.equal(found.column("n"), 1))
             none = pa.nulls(found.num_rows, pa.int64())
-            yield from pa.table([pa.array(np.zeros(found.num_rows, np.int32)), *(found.column(c) for c in ("id", "key", "a", "n")), none, none], names=found.column_names).combine_chunks().to_batches()
+            yield from pa.table([pa.array(np.full(found.num_rows, kind, np.int32)), *(found.column(c) for c in ("id", "key", "a", "n")), none, none], names=found.column_names).combine_chunks().to_batches()
 
     for b in batches:
-        mark = pc.equal(b.column(0), 0)
-        yield b.filter(mark)
-        strings = b.filter(pc.invert(mark))
-        if strings.num_rows:
+        yield b.filter(pc.less(b.column(0), 2))
+        for kind in (2, 3):
+            strings = b.filter(pc.equal(b.column(0), kind))
+            if not strings.num_rows:
+                continue
+            if held and held[0].column(0)[0].as_py() != kind:
+                yield from settle(False)
             held.append(strings)
             rows += strings.num_rows
             if rows >= 50_000:
@@ -368,10 +388,10 @@ def _merge(batches):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """id long (null doc_id: the least long), key long (XXH64 of the text), spans array<struct<a int, n int>>: runs of starts of repeated strings."""
+    """id long (null doc_id: the least long), key long (XXH64 of the text), spans array<struct<kind int, a int, n int>>: runs of starts of repeated strings, of LENGTH bytes (kind 0) and of SHORT (1)."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    expected = max(1, size // 100)  # an anchor for each 185 bytes of ordinary text
+    expected = max(1, size // 60)  # an anchor for each 113 bytes of ordinary text
     log_width = log_width_for(expected)
     sketch, heavy = merged_sketch(docs, _anchor_hashes, log_width, expected, HEAVY, SPLIT)
     hot = {int(np.uint64(h).astype(np.int64)): -(-n // SPLIT) for h, n in heavy.items()}
@@ -380,11 +400,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shipped = docs.mapInArrow(_ship(shared, log_width), _BLOCKS)
     marks = shipped.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_shards(shared), _Out.SCHEMA)
     merged = marks.repartition(n, F.coalesce("d1", F.xxhash64("id", "key"))).sortWithinPartitions("kind", "d1", "d2").mapInArrow(_merge, _Out.SCHEMA)
-    return merged.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("a", "n"))).alias("spans"))
+    return merged.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("kind", "a", "n"))).alias("spans"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes long, n_removed long, n_spans long, kept binary: texts without bytes under a string of LENGTH bytes that occurs twice.
+    """doc_id, n_bytes long, n_removed long, n_spans long, kept binary: texts without bytes under a string of LENGTH bytes that occurs twice;
+    n_short long: bytes under a string of SHORT bytes that does, which stay where no longer one covers them.
 
     Every occurrence goes, the first too; strings overlap and are judged on the
     input.  Null texts are empty.  A repeated row is a place of its own, so long
@@ -393,39 +414,53 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     spans = repeated_spans(rows)
     keyed = rows.withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(spans, (keyed["_id"] == spans["id"]) & (keyed["_key"] == spans["key"]), "left").select("doc_id", "text", F.col("spans.a").alias("a"), F.col("spans.n").alias("n"))
+    joined = keyed.join(spans, (keyed["_id"] == spans["id"]) & (keyed["_key"] == spans["key"]), "left").select("doc_id", "text", F.col("spans.kind").alias("kind"), F.col("spans.a").alias("a"), F.col("spans.n").alias("n"))
 
     def apply(batches):
         for batch in slices(batches):
-            out = [[], [], [], []]
-            for text, a, n in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+            out = [[], [], [], [], []]
+            for text, kinds, a, n in zip(*(batch.column(i) for i in (1, 2, 3, 4)), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                kept, at, spans, stop = [], 0, 0, -1
-                for x, k in zip(a.as_py() or (), n.as_py() or (), strict=True):
-                    if x > stop:
-                        kept.append(data[at:x])
-                        spans += 1
-                    at = stop = max(stop, x + k + LENGTH - 1)
+                found = np.array([kinds.as_py() or [], a.as_py() or [], n.as_py() or []], np.int64)
+                kept, at, runs = [], 0, _covered(found[1:, found[0] == 0], LENGTH)
+                for x, y in runs:
+                    kept.append(data[at:x])
+                    at = y
                 kept = b"".join([*kept, data[at:]])
-                for to, v in zip(out, (len(data), len(data) - len(kept), spans, kept), strict=True):
+                short = sum(y - x for x, y in _covered(found[1:, found[0] == 1], SHORT))
+                for to, v in zip(out, (len(data), len(data) - len(kept), len(runs), kept, short), strict=True):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_short"])
+
+    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_short long")
+
 
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+def _covered(runs: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal stretches [x, y) of bytes under strings of a length that start in runs (a, n), which are sorted."""
+    out: list[tuple[int, int]] = []
+    for a, n in runs.T.tolist():
+        stop = a + n + length - 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((a, stop))
+    return out
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-SQL = """
-WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 800)) AS g FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 398)) AS i FROM h WHERE length(x) >= 800)),
-twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1),
-steps AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 400 THEN 0 ELSE 1 END AS fresh FROM twice WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps) GROUP BY doc_id, run),
-edges AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS from_ FROM (SELECT * FROM runs UNION ALL SELECT doc_id, length(x) // 2 + 1, NULL FROM h)),
-kept AS (SELECT doc_id, string_agg(substr(x, 2 * from_ - 1, 2 * (a - from_)), '' ORDER BY a, from_) AS t FROM edges JOIN h USING (doc_id) GROUP BY doc_id),
-sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM runs GROUP BY doc_id)
-SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256 FROM h JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_short")
+
+
+_SQL_RUNS = """
+win{k} AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 2 * {k})) AS g FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - {k} + 2)) AS i FROM h WHERE length(x) >= 2 * {k})),
+twice{k} AS (SELECT doc_id, i FROM win{k} QUALIFY count(*) OVER (PARTITION BY g) > 1),
+steps{k} AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + {k} THEN 0 ELSE 1 END AS fresh FROM twice{k} WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+runs{k} AS (SELECT doc_id, min(i) AS a, max(i) + {k} AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps{k}) GROUP BY doc_id, run),
+sums{k} AS (SELECT doc_id, sum(b - a) AS n{k}, count(*) AS k{k} FROM runs{k} GROUP BY doc_id)"""
+SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),{_SQL_RUNS.format(k=LENGTH)},{_SQL_RUNS.format(k=SHORT)},
+edges AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS from_ FROM (SELECT * FROM runs{LENGTH} UNION ALL SELECT doc_id, length(x) // 2 + 1, NULL FROM h)),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * from_ - 1, 2 * (a - from_)), '' ORDER BY a, from_) AS t FROM edges JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n{LENGTH}, 0)::BIGINT AS n_removed, coalesce(k{LENGTH}, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256, coalesce(n{SHORT}, 0)::BIGINT AS n_short
+FROM h JOIN kept USING (doc_id) LEFT JOIN sums{LENGTH} USING (doc_id) LEFT JOIN sums{SHORT} USING (doc_id)
 """

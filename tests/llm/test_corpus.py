@@ -207,6 +207,21 @@ def test_rolled_hash_and_packing():
 # --- suffix arrays
 
 
+def brute_short(rows):
+    """Bytes of each row under a 256-byte string that stands twice."""
+    count, out = Counter(), []
+    texts = [(r[1] or "").encode() for r in rows]
+    for b in texts:
+        count.update(b[i : i + 256] for i in range(len(b) - 255))
+    for b in texts:
+        under = np.zeros(len(b), bool)
+        for i in range(len(b) - 255):
+            if count[b[i : i + 256]] > 1:
+                under[i : i + 256] = True
+        out.append(int(under.sum()))
+    return out
+
+
 def brute_bytes(rows):
     count, out = Counter(), []
     for r in rows:
@@ -233,8 +248,13 @@ def test_suffix(docs, rows, small, monkeypatch):
         monkeypatch.setattr(suffix, "PLACES", 3)
         monkeypatch.setattr(sketch, "PER_PART", 50)
         monkeypatch.setattr(sketch, "FAN", 3)
-    got = sorted((*tuple(r)[:4], bytes(r["kept"])) for r in suffix.dedup(docs).collect())
-    assert got == sorted(brute_bytes(rows))
+    rng = random.Random(17)
+    passage = prose(rng, 90)[:300]
+    rows = rows + [(90 + i, prose(rng, 30) + passage + prose(rng, 30 * (i % 2)), "en", "a", 0) for i in range(4)]  # too short to go
+    docs = docs.sparkSession.createDataFrame(rows, DOCS).repartition(3)
+    got = sorted((*tuple(r)[:4], bytes(r["kept"]), r["n_short"]) for r in suffix.dedup(docs).collect())
+    assert got == sorted((*b, n) for b, n in zip(brute_bytes(rows), brute_short(rows), strict=True))
+    assert any(n > k for _, _, k, _, _, n in got)
     assert suffix.dedup(docs.limit(0)).count() == 0
 
 

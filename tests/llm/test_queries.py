@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from test_corpus import DOCS, brute_bytes, brute_fingerprint, brute_hits, brute_windows, prose, union
+from test_corpus import DOCS, brute_bytes, brute_fingerprint, brute_hits, brute_short, brute_windows, prose, union
 
 import corpus_pipeline
 from docket.llm import ann, decontaminate, mixing, registry
@@ -110,7 +110,7 @@ def test_op4_op5(spark, sf, docs):
     _, got = rows_of(spark, sf, "op4_substring")
     assert sorted(got) == sorted((i, n, k, sha(t)) for i, n, k, t in brute_windows(plain))
     _, got = rows_of(spark, sf, "op5_suffix_array")
-    assert sorted(got) == sorted((i, n, k, s, sha(t)) for i, n, k, s, t in brute_bytes(plain))
+    assert sorted(got) == sorted((i, n, k, s, sha(t), m) for (i, n, k, s, t), m in zip(brute_bytes(plain), brute_short(plain), strict=True))
 
 
 def test_op8(spark, sf, docs):
