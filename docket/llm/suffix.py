@@ -262,13 +262,16 @@ def _mark(out: _Out, kinds: list[tuple], split: bool) -> None:
     ids, keys, ats = (np.concatenate([k[i] for k in kinds]) for i in (2, 3, 4))
     first = np.cumsum(times) - times
     found = repeated_starts([(k[0], k[1], t) for k, t in zip(kinds, times.tolist(), strict=True)], (LENGTH, SHORT))
+    told = np.zeros(sizes.sum(), bool)  # starts of a longer string that is marked, which covers a shorter one
     for kind, (length, (starts, twice, group)) in enumerate(zip((LENGTH, SHORT), found, strict=True)):
         if not len(starts):
             continue
         block = np.searchsorted(base, starts, "right") - 1
-        same = twice[1:] & twice[:-1] & (block[1:] == block[:-1])  # goes on from the start before
-        heads = np.nonzero(twice & ~np.concatenate(([False], same)))[0]
-        tails = np.nonzero(twice & ~np.concatenate((same, [False])))[0]
+        new = twice & ~told[starts]
+        told[starts] |= twice
+        same = new[1:] & new[:-1] & (block[1:] == block[:-1]) & (starts[1:] == starts[:-1] + 1)  # goes on from the start before
+        heads = np.nonzero(new & ~np.concatenate(([False], same)))[0]
+        tails = np.nonzero(new & ~np.concatenate((same, [False])))[0]
         of = block[heads]  # every run of marks at every place of its block
         run = np.repeat(np.arange(len(heads)), times[of])
         place = np.arange(len(run)) - np.repeat(np.cumsum(times[of]) - times[of], times[of]) + first[of][run]
@@ -388,7 +391,7 @@ def _merge(batches):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """id long (null doc_id: the least long), key long (XXH64 of the text), spans array<struct<kind int, a int, n int>>: runs of starts of repeated strings, of LENGTH bytes (kind 0) and of SHORT (1)."""
+    """id long (null doc_id: the least long), key long (XXH64 of the text), spans array<struct<kind int, a int, n int>>: runs of starts of repeated strings, of LENGTH bytes (kind 0) and of SHORT (1, where no kind 0 starts)."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     expected = max(1, size // 80)  # an anchor for each 145 bytes of ordinary text
@@ -422,12 +425,13 @@ def dedup(docs: DataFrame) -> DataFrame:
             for text, kinds, a, n in zip(*(batch.column(i) for i in (1, 2, 3, 4)), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 found = np.array([kinds.as_py() or [], a.as_py() or [], n.as_py() or []], np.int64)
-                kept, at, runs = [], 0, _covered(found[1:, found[0] == 0], LENGTH)
+                own = np.stack((found[1], found[1] + found[2] + np.where(found[0] == 0, LENGTH, SHORT) - 1))
+                kept, at, runs = [], 0, _covered(own[:, found[0] == 0])
                 for x, y in runs:
                     kept.append(data[at:x])
                     at = y
                 kept = b"".join([*kept, data[at:]])
-                short = sum(y - x for x, y in _covered(found[1:, found[0] == 1], SHORT))
+                short = sum(y - x for x, y in _covered(own[:, np.argsort(own[0])]))
                 for to, v in zip(out, (len(data), len(data) - len(kept), len(runs), kept, short), strict=True):
                     to.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_short"])
@@ -435,11 +439,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_short long")
 
 
-def _covered(runs: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal stretches [x, y) of bytes under strings of a length that start in runs (a, n), which are sorted."""
+def _covered(runs: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal stretches [x, y) of bytes in stretches (first, stop) sorted by their first."""
     out: list[tuple[int, int]] = []
-    for a, n in runs.T.tolist():
-        stop = a + n + length - 1
+    for a, stop in runs.T.tolist():
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], stop))
         else:
