@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._common import slices, table, width
 from .sketch import in_sketch, log_width_for, merged_sketch, mix64, rolled
 
-LENGTH, SHORT = 400, 320
+LENGTH, SHORT = 400, 340
 GRAM = 32
 #: Starts that are looked at together; a longer text goes in pieces that overlap by LENGTH - 1 bytes.
 BATCH = 1 << 21
@@ -394,7 +394,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """id long (null doc_id: the least long), key long (XXH64 of the text), spans array<struct<kind int, a int, n int>>: runs of starts of repeated strings, of LENGTH bytes (kind 0) and of SHORT (1, where no kind 0 starts)."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    expected = max(1, size // 80)  # an anchor for each 145 bytes of ordinary text
+    expected = max(1, size // 80)  # an anchor for each 155 bytes of ordinary text
     log_width = log_width_for(expected)
     sketch, heavy = merged_sketch(docs, _anchor_hashes, log_width, expected, HEAVY, SPLIT)
     hot = {int(np.uint64(h).astype(np.int64)): -(-n // SPLIT) for h, n in heavy.items()}

@@ -208,16 +208,16 @@ def test_rolled_hash_and_packing():
 
 
 def brute_short(rows):
-    """Bytes of each row under a 320-byte string that stands twice."""
+    """Bytes of each row under a 340-byte string that stands twice."""
     count, out = Counter(), []
     texts = [(r[1] or "").encode() for r in rows]
     for b in texts:
-        count.update(b[i : i + 320] for i in range(len(b) - 319))
+        count.update(b[i : i + 340] for i in range(len(b) - 339))
     for b in texts:
         under = np.zeros(len(b), bool)
-        for i in range(len(b) - 319):
-            if count[b[i : i + 320]] > 1:
-                under[i : i + 320] = True
+        for i in range(len(b) - 339):
+            if count[b[i : i + 340]] > 1:
+                under[i : i + 340] = True
         out.append(int(under.sum()))
     return out
 
@@ -249,7 +249,7 @@ def test_suffix(docs, rows, small, monkeypatch):
         monkeypatch.setattr(sketch, "PER_PART", 50)
         monkeypatch.setattr(sketch, "FAN", 3)
     rng = random.Random(17)
-    passage = prose(rng, 120)[:360]
+    passage = prose(rng, 120)[:370]
     rows = rows + [(90 + i, prose(rng, 30) + passage + prose(rng, 30 * (i % 2)), "en", "a", 0) for i in range(4)]  # too short to go
     docs = docs.sparkSession.createDataFrame(rows, DOCS).repartition(3)
     got = sorted((*tuple(r)[:4], bytes(r["kept"]), r["n_short"]) for r in suffix.dedup(docs).collect())
