@@ -18,13 +18,16 @@ def softmax(z: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
 
-def recalibrate(p: Column, mode: str = "none", a: float = 0.0, b: list[float] | None = None) -> Column:
-    """none; temperature: logits over e^a; vector: logits times e^a plus b."""
+def recalibrate(p: Column, mode: str = "none", a: float | list[float] = 0.0, b: list[float] | None = None) -> Column:
+    """none; temperature: logits over e^a; vector: each class's logit times its e^a plus its b (one a stands for all)."""
     z = F.transform(p, lambda x: F.ln(F.greatest(x, F.lit(1e-9))))
     if mode == "temperature":
         return softmax(F.transform(z, lambda x: x / F.exp(F.lit(a))))
     if mode == "vector":
-        return softmax(F.zip_with(F.transform(z, lambda x: x * F.exp(F.lit(a))), F.array(*[F.lit(x) for x in b or [0.0] * 3]), lambda x, y: x + y))
+        shifts = b or [0.0] * (len(a) if isinstance(a, list) else 3)
+        scales = a if isinstance(a, list) else [a] * len(shifts)
+        each = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+        return softmax(F.zip_with(F.zip_with(z, each(scales), lambda x, y: x * F.exp(y)), each(shifts), lambda x, y: x + y))
     if mode != "none":
         raise ValueError(f"recalibration is none, temperature or vector, not {mode}")
     return p
