@@ -129,3 +129,7 @@ PAGE_LABELS = {
 SOURCE_TYPES = ["intake", "registry", "slip", "sponsor", "fee", "note", "correction"]
 SOURCE_PAIRS = [("intake", "registry"), ("intake", "slip"), ("intake", "sponsor"), ("registry", "slip")]
 SOURCE_RATIO = 0.80
+
+# Where a fee status comes from, and marks that a line of a page may hold.
+FEE_SOURCES = ["anchored", "line_scan", "receipt_arithmetic", "prior"]
+PAGE_MARKS = ["denied", "approved", "needsreview", "rescind", "sampledenial", "redacted", "copyartifact", "casework", "archive", "embargo", "hardship", "waiver", "diplomaticnote", "revoked"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DAMAGE_WORDS, DECISIONS, FIELD_ALIASES, PAGE_FURNITURE, PAGE_LABELS, PAGE_RANK, RAW_STRINGS, REASONS, REVOKED_SPONSORS, SOURCE_PAIRS, SOURCE_TYPES, STAMP_LENGTH, STAMP_TOKENS, VOCABULARY
+from ..constants import CONTENT_FIELDS, DAMAGE_WORDS, DECISIONS, FEE_SOURCES, FIELD_ALIASES, PAGE_FURNITURE, PAGE_LABELS, PAGE_MARKS, PAGE_RANK, PLACEHOLDER, RAW_STRINGS, REASONS, REVOKED_SPONSORS, SOURCE_PAIRS, SOURCE_TYPES, STAMP_LENGTH, STAMP_TOKENS, VOCABULARY
 from ..functions.fuzzy import best_label, note_signals, over_distinct, ratio, source_agreement, stamp_names
 from ..functions.text import squash
 from .flags import flag_bits
@@ -239,6 +239,41 @@ def slip(evidence: Column) -> dict[str, Column]:
     return {"slip_anchor": _bit(anchor), "slip_resolved": _bit(anchor & resolved), "slip_unresolved": _bit(anchor & ~resolved), "slip_clean": _bit(anchor & resolved & (n == 0)), "slip_n": F.coalesce(n, F.lit(0)).cast("double"), "slip_note_n": F.coalesce(F.size(evidence["note_flags"]), F.lit(0)).cast("double"), "slip_name_conflict": _bit(evidence["name_conflict"])}
 
 
+def resolution() -> dict[str, Column]:
+    """How well each field is held: resolved at all, rank and number of its readings, form, and where the fee comes from."""
+    placeholder = F.create_map(*[F.lit(x) for kv in PLACEHOLDER.items() for x in kv])
+    open_ = {f: F.col(f).isNull() | (F.col(f) == "") | (F.col(f) == placeholder[f]) for f in CONTENT_FIELDS}
+    full = lambda c, form: _bit(F.col(c).rlike(f"^{form}$"))
+    return {
+        **{f"resolved_{f}": _bit(~c) for f, c in open_.items()}, "n_unknown_fields": sum((_bit(c) for c in open_.values()), F.lit(0.0)),
+        **{f"{k}_{f}": F.col(f"{k}_{f}").cast("double") for k in ("rank", "nev") for f in FIELD_ALIASES},
+        **{f"fee_src_{x}": _bit(F.col("fee_source") == x) for x in FEE_SOURCES}, "fee_is_prior": _bit(F.col("fee_source") == "prior"), "fee_observed": _bit(F.col("fee_source") != "prior"),
+        "visa_unknown": _bit(F.coalesce(F.col("visa_class"), F.lit("")).isin("", "unknown")), "sponsor_wellformed": full("sponsor_id", r"SPN-\d{4}"), "sponsor_placeholder": _bit(F.col("sponsor_id") == PLACEHOLDER["sponsor_id"]),
+        "date_wellformed": full("arrival_date", r"\d{4}-\d{2}-\d{2}"), "date_placeholder": _bit(F.col("arrival_date") == PLACEHOLDER["arrival_date"]),
+        "name_n_tokens": F.size(F.filter(F.split(F.coalesce("applicant_name", F.lit("")), r"\s+"), lambda x: x != "")).cast("double"), "species_is_upper_snake": full("species_code", "[A-Z][A-Z_]{3,}"),
+    }
+
+
+def packet_shape(lines: DataFrame, pages: DataFrame, key: str = KEY) -> DataFrame:
+    """Which page types a packet has, lines a page, the share of lines below 0.90, and which marks stand in some line.
+
+    pages: key, pg_pos, ptype, every page.  A packet without lines has its pages still.
+    """
+    of = pages.groupBy(key).agg(*[F.max((F.col("ptype") == t).cast("double")).alias(f"has_page_{t}") for t in PAGE_RANK], F.count_distinct("ptype").cast("double").alias("n_page_types"), F.count("*").alias("_n"))
+    sq = squash(F.col("t"))
+    told = lines.groupBy(key).agg(F.count("*").alias("_l"), F.avg((F.col("s") < 0.9).cast("double")).alias("conf_lt_90_frac"), *[F.max(_bit(sq.contains(x))).alias(f"tok_{x}") for x in PAGE_MARKS])
+    out = of.join(told, key, "left").withColumn("lines_per_page", F.coalesce("_l", F.lit(0)) / F.greatest(F.col("_n"), F.lit(1)))
+    return out.drop("_n", "_l").na.fill(0.0)
+
+
+def name_agreement(stated: DataFrame, key: str = KEY) -> DataFrame:
+    """key, n_distinct_names, name_agreement: the least ratio of any stated name to the first, for stated (key, pg_pos, ln_pos, value)."""
+    names = stated.select(key, "pg_pos", "ln_pos", squash(F.col("value")).alias("sq"))
+    first = names.groupBy(key).agg(F.min_by("sq", F.struct("pg_pos", "ln_pos")).alias("first"))
+    each = names.groupBy(key, "sq").agg(F.lit(1.0).alias("one")).join(first, key)
+    return each.select(key, "one", ratio(F.col("sq"), F.col("first")).alias("r")).groupBy(key).agg(F.sum("one").alias("n_distinct_names"), F.min("r").alias("name_agreement"))
+
+
 def one_hots(columns: dict[str, list[str]] | None = None) -> dict[str, Column]:
     """A bit for each closed value."""
     columns = {k: VOCABULARY[k] for k in ("visa_class", "fee_status")} if columns is None else columns

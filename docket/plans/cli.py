@@ -1,29 +1,33 @@
-"""python -m docket.plans.cli records model-dir output: records (JSON lines) to predictions; without a model, to fields."""
+"""python -m docket.plans.cli records [model | --scored table] output: records (JSON lines) to predictions; without a model, to fields.
+
+model: a folder of `Adjudicator.save`.  table: Parquet of case_id and p.
+"""
 
 from __future__ import annotations
 
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.adjudicator import Adjudicator
 from ..sources.records import read_records
 from ..sources.sinks import write_predictions
-from .packets import adjudicate, extract
+from .packets import adjudicate, extract, predict
 
 
 def main(argv: list[str]) -> int:
-    if len(argv) not in (2, 3):
+    scored = len(argv) == 4 and argv[1] == "--scored"
+    if len(argv) not in (2, 3) and not scored:
         print(__doc__)
         return 2
     spark = SparkSession.builder.appName("docket").getOrCreate()
     records = read_records(spark, argv[0])
-    fields = extract(records)
     if len(argv) == 2:
-        fields.drop("visible_text").write.mode("overwrite").parquet(argv[1])
-        return 0
-    scored = spark.read.parquet(argv[1]).select("case_id", F.col("p"))
-    write_predictions(adjudicate(records, fields, scored), argv[2])
+        extract(records).drop("visible_text").write.mode("overwrite").parquet(argv[1])
+    elif scored:
+        write_predictions(adjudicate(records, extract(records), spark.read.parquet(argv[2]).select("case_id", "p")), argv[3])
+    else:
+        write_predictions(predict(records, Adjudicator.load(spark, argv[1])), argv[2])
     return 0
 
 

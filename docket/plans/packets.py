@@ -9,6 +9,7 @@ from ..constants import CLUSTER_RATIO, CONTENT_FIELDS, OUTPUT_ORDER, PLACEHOLDER
 from ..functions.fuzzy import norm_fee
 from ..functions.text import clean, fee_from_receipt, is_redacted, norm_date, norm_sponsor, norm_visa, repair_sponsor, squash
 from ..operators import candidates, consensus, decide, features, flags, layout, respace, trust, vocab
+from ..operators.adjudicator import Adjudicator
 
 PAGE = ["case_id", "pg_pos"]
 NORMALIZERS = {"arrival_date": norm_date, "fee_status": norm_fee, "visa_class": norm_visa, "sponsor_id": norm_sponsor}
@@ -41,7 +42,7 @@ def readings(found: DataFrame) -> DataFrame:
 
 
 def printed_fee(lines: DataFrame, types: DataFrame) -> DataFrame:
-    """case_id, printed_fee: the status on the first line that says fee and has one, else that of the first fee page whose receipt tells.
+    """case_id, printed_fee, printed_on (line or receipt): the status on the first line that says fee and has one, else that of the first fee page whose receipt tells.
 
     `unknown` is the placeholder too, so a line that says it leaves the word to the receipt.
     """
@@ -49,7 +50,7 @@ def printed_fee(lines: DataFrame, types: DataFrame) -> DataFrame:
     line = said.groupBy("case_id").agg(F.nullif(F.min_by("v", "o"), F.lit("unknown")).alias("line"))
     pages = page_text(lines, types, "fee").select("case_id", "pg_pos", fee_from_receipt(F.col("text")).alias("v")).where("v is not null")
     receipt = pages.groupBy("case_id").agg(F.min_by("v", "pg_pos").alias("receipt"))
-    return line.join(receipt, "case_id", "full_outer").select("case_id", F.coalesce("line", "receipt").alias("printed_fee"))
+    return line.join(receipt, "case_id", "full_outer").select("case_id", F.coalesce("line", "receipt").alias("printed_fee"), F.when(F.col("line").isNotNull(), "line").when(F.col("receipt").isNotNull(), "receipt").alias("printed_on"))
 
 
 def page_text(lines: DataFrame, types: DataFrame, ptype: str) -> DataFrame:
@@ -65,21 +66,34 @@ def names_of(r: dict[str, DataFrame]) -> DataFrame:
     return stated.select("case_id", kinds.alias("kind"), "value", "conf", (F.col("pg_pos") * 1_000_000 + F.col("ln_pos")).alias("ord")).where("kind is not null")
 
 
-def extract(records: DataFrame, fee_prior: str | None = "paid") -> DataFrame:
+def support(said: DataFrame, resolved: DataFrame, names: list[str]) -> DataFrame:
+    """case_id and, of each field, the rank of its winner (rank_, 9 where none) and the number of its readings (nev_)."""
+    n = said.groupBy("case_id", "field").agg(F.count("*").alias("nev"))
+    each = n.join(resolved.select("case_id", "field", "rank"), ["case_id", "field"], "left")
+    wide = each.groupBy("case_id").pivot("field", names).agg(F.first("rank").alias("rank"), F.first("nev").alias("nev"))
+    return wide.select("case_id", *[F.coalesce(F.col(f"{f}_{k}").cast("double"), F.lit(d)).alias(f"{k}_{f}") for k, d in (("rank", 9.0), ("nev", 0.0)) for f in names])
+
+
+def extract(records: DataFrame, fee_prior: str | None = "paid", meta: bool = False) -> DataFrame:
     """case_id, the nine fields, visible_text: readings resolved, gaps filled from the page text, snapped, respaced, flagged.
 
     fee_prior: stands in for every unknown fee, even one that a receipt tells, as
     the placeholder and the status are the same word; None lets `unknown` through.
+    meta: also the columns of `support` and fee_source (anchored, line_scan, receipt_arithmetic, prior or null).
     """
     r = relations(records)
     said = readings(candidates.collect(r["lines"], r["rows"], r["types"], r["foreign"]))
+    said = said.where(F.col("field").isin(*NORMALIZERS) | (F.length("key") >= 2))
     formed = consensus.resolve(said.where(F.col("field").isin(*NORMALIZERS)), ["case_id", "field"])
-    free = consensus.resolve_free(said.where(~F.col("field").isin(*NORMALIZERS) & (F.length("key") >= 2)), ["case_id", "field"], CLUSTER_RATIO)
-    both = formed.select("case_id", "field", "rep").union(free.select("case_id", "field", "rep"))
+    free = consensus.resolve_free(said.where(~F.col("field").isin(*NORMALIZERS)), ["case_id", "field"], CLUSTER_RATIO)
+    both = formed.select("case_id", "field", "rep", "rank").union(free.select("case_id", "field", "rep", "rank"))
     names = [f for f in CONTENT_FIELDS if f != "risk_flags"]
     wide = r["text"].join(both.groupBy("case_id").pivot("field", names).agg(F.first("rep")), "case_id", "left")
     text = F.col("visible_text")
     wide = wide.join(printed_fee(r["lines"], r["types"]), "case_id", "left")
+    told = F.when(F.col("printed_fee") == "unknown", None).otherwise(F.col("printed_on")) if fee_prior is not None else F.col("printed_on")
+    source = F.when(F.col("fee_status").isNotNull(), "anchored").when(told == "line", "line_scan").when(told == "receipt", "receipt_arithmetic")
+    wide = wide.withColumn("fee_source", source if fee_prior is None else F.coalesce(source, F.lit("prior")))
     sponsor = F.upper(F.regexp_extract(text, r"(?i)\b[S5][PF]N[-\s]?\d{4}\b", 0))
     fallback = {"sponsor_id": F.when(sponsor != "", F.coalesce(repair_sponsor(sponsor), sponsor)), "arrival_date": norm_date(text), "visa_class": norm_visa(text), "fee_status": F.col("printed_fee")}
     wide = wide.withColumns({f: F.coalesce(F.col(f), fallback.get(f, F.lit(None).cast("string")), F.lit(PLACEHOLDER[f])) for f in names})
@@ -89,21 +103,31 @@ def extract(records: DataFrame, fee_prior: str | None = "paid") -> DataFrame:
     flagged = flags.detect(records.select("case_id"), r["lines"], names_of(r))
     out = wide.join(flagged.select("case_id", "risk_flags"), "case_id", "left").withColumn("risk_flags", F.coalesce("risk_flags", F.lit("none")))
     trust.check_lineage(out.columns)
-    return out.select("case_id", *CONTENT_FIELDS, "visible_text")
+    if not meta:
+        return out.select("case_id", *CONTENT_FIELDS, "visible_text")
+    held = {f"{k}_{f}": F.coalesce(F.col(f"{k}_{f}"), F.lit(d)) for k, d in (("rank", 9.0), ("nev", 0.0)) for f in names}
+    return out.join(support(said, both, names), "case_id", "left").withColumns(held).select("case_id", *CONTENT_FIELDS, "visible_text", "fee_source", *held)
 
 
 def inputs(records: DataFrame, fields: DataFrame) -> DataFrame:
-    """Model inputs of each case, from visible text and resolved fields only."""
+    """Model inputs of each case, from visible text and resolved fields (of `extract` with meta) only."""
+    if "fee_source" not in fields.columns:
+        raise ValueError("inputs takes the fields of extract(records, meta=True)")
     r = relations(records)
     found = candidates.collect(r["lines"], r["rows"], r["types"], r["foreign"])
     value = normalised()
     votes = found.select("case_id", "field", "ptype", "pg_pos", "seq", (F.col("ratio") * F.pow("conf", 3)).alias("w"), is_redacted(F.col("value")).alias("redacted"), value.alias("value"))
-    seen = flags.detect(records.select("case_id"), r["lines"], names_of(r)).select("case_id", *[c.alias(n) for n, c in features.slip(F.col("evidence")).items()])
+    seen = flags.detect(records.select("case_id"), r["lines"], names_of(r)).select("case_id", "flags_confidence", *[c.alias(n) for n, c in features.slip(F.col("evidence")).items()])
+    stated = candidates.inline(r["lines"], [*PAGE, "ln_pos"]).where((F.col("field") == "applicant_name") & ~is_redacted(F.col("value")))
     pages = r["pages"].join(r["types"].select(*PAGE, "ptype"), PAGE, "left").join(r["foreign"], PAGE, "left")
     pages = pages.select(*PAGE, F.coalesce("ptype", F.lit("other")).alias("ptype"), F.coalesce("foreign", F.lit(False)).alias("foreign"))
     texts = {k: page_text(r["lines"], r["types"], k).groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pg_pos", "text"))), lambda x: x["text"]), " ").alias(f"{k}_text")) for k in ("sponsor", "fee")}
+    held = fields.select("case_id", *[c.alias(n) for n, c in features.resolution().items()])
     fields = fields.join(texts["sponsor"], "case_id", "left").join(texts["fee"], "case_id", "left")
-    out = features.design(r["lines"], r["types"], fields, pages, votes).join(seen, "case_id", "left").na.fill(0.0)
+    out = features.design(r["lines"], r["types"], fields, pages, votes)
+    for family in (seen, held, features.packet_shape(r["lines"], pages), features.name_agreement(stated)):
+        out = out.join(family, "case_id", "left")
+    out = out.na.fill(0.0)
     return out.select("case_id", *trust.safe_columns([c for c in out.columns if c != "case_id"]))
 
 
@@ -115,3 +139,9 @@ def adjudicate(records: DataFrame, fields: DataFrame, scored: DataFrame, mode: s
     final = decide.caution(F.col("d.decision"), F.col("d.confidence"), F.col("p"), F.col("disagree"), F.col("refused"), mode)
     rows = rows.withColumn("f", final).withColumns({"adjudication": F.col("f.decision"), "confidence": F.bround("f.confidence", 4)})
     return rows.select(*OUTPUT_ORDER)
+
+
+def predict(records: DataFrame, model: Adjudicator) -> DataFrame:
+    """Prediction rows of records: fields, inputs, both cells, recalibration, decision and caution in one plan."""
+    fields = extract(records, meta=True)
+    return adjudicate(records, fields, model.predict_proba(inputs(records, fields)), model.caution, model.false_approval, model.brier)

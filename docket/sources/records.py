@@ -19,16 +19,19 @@ def packet_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("case_id"), "path", "content")
 
 
-def read_records(spark: SparkSession, path: str, sequence: str | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, sequence: str | None = None, limit: int | None = None) -> DataFrame:
     """Records from JSON lines.  Torn and blank lines are left out; a record whose pages cannot be read has none.
 
-    Of repeated case_ids the last wins where `sequence` names an ingest column;
-    lines of files have no order in Spark, so otherwise the larger text wins.
+    Of repeated case_ids the last wins: by the ingest column `sequence`, else by file name and place in the file
+    (a block's rows are numbered as they are read).  limit: reading stops where so many cases have been seen.
     """
-    raw = spark.read.schema(RECORD).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = raw.where("case_id is not null").drop("_corrupt").withColumn("pages", F.coalesce("pages", F.array().cast(f"array<{PAGE}>")))
-    order = F.col(sequence) if sequence else F.to_json("pages")
-    best = rows.groupBy("case_id").agg(F.max_by(F.struct("scale", "pages"), order).alias("r"))
+    raw = spark.read.schema(RECORD + (f", `{sequence}` string" if sequence else "")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    place = F.struct(F.col(sequence).try_cast("double").alias("n"), F.col(sequence).alias("s")) if sequence else F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    rows = raw.select("case_id", "scale", F.coalesce("pages", F.array().cast(f"array<{PAGE}>")).alias("pages"), place.alias("at")).where("case_id is not null")
+    if limit:
+        first = rows.groupBy("case_id").agg(F.min("at").alias("at")).orderBy("at").limit(limit)
+        rows = rows.join(F.broadcast(first.agg(F.max("at").alias("stop"), F.count("*").alias("seen"))), (F.col("at") <= F.col("stop")) | (F.col("seen") < limit))  # one row
+    best = rows.groupBy("case_id").agg(F.max_by(F.struct("scale", "pages"), "at").alias("r"))
     return best.select("case_id", "r.scale", "r.pages")
 
 
