@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, mixing, sharding, simhash, substring, suffix, urlfilter
+from . import ann, chat, decontaminate, langid, mixing, resample, sharding, simhash, substring, suffix, toxicity, trie, urlfilter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
     "op10_chat": chat.op10_chat,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_resample": resample.op13_resample,
 }
 ORACLES = {
     "op4_substring": substring.SQL,
@@ -22,4 +25,6 @@ ORACLES = {
     "op6_url_filters": urlfilter.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op10_chat": chat.SQL,
+    "op12_prefix_trie": trie.SQL,
+    "op13_resample": resample.SQL,
 }
