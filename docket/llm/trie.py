@@ -26,6 +26,7 @@ LOCAL = 50_000
 #: Texts of conv_ids that are joined into one row on the way to a digest.
 CHUNK = 20_000
 NODE = "conv_id long, depth int, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved long, ends string, path array<long>"
+OUT = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 NONE = hashlib.sha256(b"").hexdigest()
 
 
@@ -205,7 +206,9 @@ def build(seqs: DataFrame, local: int = LOCAL) -> DataFrame:
     shared_folder(spark)
     seqs = cut(seqs)
     root = seqs.agg(F.min("sid")).first()[0]
-    state = seqs.withColumn("path", F.array(*([F.lit(root)] if root is not None else [])).cast("array<long>")).where("size(path) > 0")
+    if root is None:
+        return spark.createDataFrame([], OUT)
+    state = seqs.withColumn("path", F.array(F.lit(root).cast("long")))
     done, tops, depth = [], [], 0
     while True:
         here = state.withColumn("bucket", F.element_at("path", -1)).withColumn("next", F.get("ids", F.lit(depth)))
