@@ -655,14 +655,58 @@ def hidden_signals(spark, sf_dir):
 
 @query()
 def quality_model_oof(spark, sf_dir):
-    """Out-of-fold probabilities of quality for labelled documents, with plain text features."""
-    from .operators.model import out_of_fold
+    """Probabilities of quality for labelled documents by fits that have not seen the row, a mean over two seeds of folds; all fits share their scans."""
+    from .operators.trees import boosted_out_of_fold
 
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     cols = {"f_len": F.length("text").cast("double"), "f_lines": F.size(F.split("text", "\n")).cast("double"), "f_digits": F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double"), "f_upper": F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double"), "f_pipe": F.length(F.regexp_replace("text", "[^|]", "")).cast("double")}
     rows = docs.where("quality is not null").select("doc_id", "quality", *[c.alias(n) for n, c in cols.items()])
-    out = out_of_fold(rows, "quality", "doc_id", list(cols), n=3, classes=2, trees=10, iterations=5)
-    return out.select("doc_id", "quality", "fold", F.get("p", F.lit(1)).alias("p1"))
+    out = boosted_out_of_fold(rows, "quality", "doc_id", list(cols), classes=2, n=3, seeds=[0, 1], iterations=4, rate=0.3, leaves=4)
+    return out.select("doc_id", "quality", F.get("folds", F.lit(0)).alias("fold"), F.get("p", F.lit(1)).alias("p1"))
+
+
+#: Features of order lines with the upper edges of their bins: every value is a bin.
+PRICE_BINS = {"quantity": [float(i) for i in range(51)], "linenumber": [float(i) for i in range(8)], "discount": [float(i) for i in range(11)], "tax": [float(i) for i in range(9)]}
+
+
+def _rounds_sql(rounds: int) -> str:
+    """SQL of boosting with trees of two leaves at rate 0.5, a round after the other."""
+    steps = [
+        """b AS (
+  SELECT CASE WHEN l_extendedprice < 15000 THEN 0 WHEN l_extendedprice < 45000 THEN 1 ELSE 2 END AS y, l_quantity AS x0, l_linenumber::DOUBLE AS x1,
+         round(l_discount * 100) AS x2, round(l_tax * 100) AS x3, count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY ALL),
+z0 AS (SELECT *, """
+        + ", ".join(f"(SELECT ln(sum(n) FILTER (y = {k}) / sum(n)) FROM b) AS z{k}" for k in range(3))
+        + " FROM b)"
+    ]
+    for i in range(rounds):
+        steps.append(f"""p{i} AS (SELECT *, exp(z0) + exp(z1) + exp(z2) AS e FROM z{i}),
+g{i} AS (SELECT k, f, CASE f WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END AS v, sum(n * (q - (y = k)::INT)) AS g, sum(n * q * (1 - q)) AS h, sum(n) AS n
+  FROM (SELECT *, CASE k WHEN 0 THEN exp(z0) WHEN 1 THEN exp(z1) ELSE exp(z2) END / e AS q FROM p{i}, range(3) a(k)), range(4) c(f) GROUP BY ALL),
+s{i} AS (SELECT k, f, v, sum(g) OVER u AS lg, sum(h) OVER u AS lh, sum(n) OVER u AS ln, sum(g) OVER o AS g, sum(h) OVER o AS h, sum(n) OVER o AS n
+  FROM g{i} WINDOW u AS (PARTITION BY k, f ORDER BY v ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY k, f)),
+c{i} AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, v) AS place
+  FROM (SELECT *, round(lg * lg / (lh + 1) + (g - lg) * (g - lg) / (h - lh + 1) - g * g / (h + 1), 8) AS gain FROM s{i} WHERE ln >= 20 AND n - ln >= 20 AND lh >= 0.001 AND h - lh >= 0.001)
+  WHERE gain > 0),
+z{i + 1} AS (SELECT y, x0, x1, x2, x3, n, """
+            + ", ".join(f"z{k} - 0.5 * coalesce((SELECT CASE WHEN CASE f WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END <= v THEN lg / (lh + 1) ELSE (g - lg) / (h - lh + 1) END FROM c{i} WHERE k = {k} AND place = 1), 0) AS z{k}" for k in range(3))
+            + f" FROM p{i})")
+    e = "(exp(z0) + exp(z1) + exp(z2))"
+    mean = ", ".join(f"round(sum(n * exp(z{k}) / {e}) / sum(n), 6) AS p{k}" for k in range(3))
+    return "WITH " + ",\n".join(steps) + f"\nSELECT y AS label, sum(n)::BIGINT AS n, {mean} FROM z{rounds} GROUP BY y"
+
+
+@query(_rounds_sql(3))
+def boosted_price_class(spark, sf_dir):
+    """Order lines in three price classes by boosted trees of two leaves: mean probabilities of each class, by class."""
+    from .operators.trees import boost
+
+    line = table(spark, sf_dir, "lineitem").where("l_extendedprice is not null")
+    label = F.when(F.col("l_extendedprice") < 15000, 0).when(F.col("l_extendedprice") < 45000, 1).otherwise(2)
+    rows = line.select(label.alias("label"), F.col("l_quantity").alias("quantity"), F.col("l_linenumber").alias("linenumber"), F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"))
+    model = boost(rows, "label", list(PRICE_BINS), iterations=3, rate=0.5, leaves=2, bounds=list(PRICE_BINS.values()))
+    mean = [F.round(F.avg(F.get("p", F.lit(k))), 6).alias(f"p{k}") for k in range(3)]
+    return model.transform(rows).groupBy("label").agg(F.count("*").alias("n"), *mean)
 
 
 @query()
