@@ -9,13 +9,13 @@ consecutive words of an item, or the whole of a shorter item.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ._common import cut, slices, table
 
@@ -158,12 +158,12 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, item_col
 
     Null and empty texts have no words; an item without words has no windows and
     an empty benchmark no hits.  Repeated items and rows each count.  Input
-    columns of the three result names are replaced.
+    columns of the three result names (in any case) are replaced, all others kept.
     """
     sc = docs.sparkSession.sparkContext
-    out = docs.select(*[c for c in docs.columns if c not in ("n_words", "hits", "items")])
-    kept = out.schema
-    plain = "n_words long, hits array<struct<a:int,b:int>>, items array<string>"
+    out = docs.select(*[c for c in docs.columns if c.lower() not in ("n_words", "hits", "items")])
+    run = StructType([StructField("a", IntegerType()), StructField("b", IntegerType())])
+    schema = StructType([*out.schema.fields, StructField("n_words", LongType()), StructField("hits", ArrayType(run)), StructField("items", ArrayType(StringType()))])
     first = True
     for automaton in automata(benchmark, item_col, text_col, span):
         shared = sc.broadcast(automaton)
@@ -191,7 +191,6 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, item_col
                     [*names_, "n_words", "hits", "items"],
                 )
 
-        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.fields) + plain
         out = out.mapInArrow(scan, schema)
         first = False
     return out
@@ -288,15 +287,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents without benchmark passages; n_chars follows the text."""
+    """documents without benchmark passages; n_chars follows the text.
+
+    Hit words are cut out, a text of which more than half is hit goes.  Null and empty texts stay, as do rows of null and
+    repeated doc_id and all other columns.  An empty benchmark changes nothing.
+    """
     out = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 SQL = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),

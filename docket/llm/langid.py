@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from ._common import slices, table
+from ._common import slices, table, unused
 
 #: Rows of the sample at most, for each language; the lowest hashes of doc_id are taken.
 PER_LANG = 600
@@ -223,25 +224,37 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     return fit(labels, bag, held) if labels else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
 
 
+def _predicted(docs: DataFrame, model: Model) -> DataFrame:
+    """row struct (docs without text), text, lang_pred, score, rejected; whatever docs' columns are called, none can clash."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    others = [f"`{c}`" for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*others, F.lit(None).cast("int").alias("")).alias("row"), "text")
+    schema = StructType([*packed.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+
+    def predict(batches):
+        for batch in slices(batches):
+            lang, score, out = shared.value.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], schema.names)
+
+    return packed.mapInArrow(predict, schema)
+
+
+def _columns(docs: DataFrame) -> list:
+    """docs' own columns from _predicted, in their order."""
+    return [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs plus lang_pred string, score double, rejected boolean.
 
     Texts that are null or have no letter are `und` with score 0 and rejected, as
     is everything if no row could be learned from.  Equal texts get equal
-    results.  Input columns of the three result names are replaced.
+    results, an empty table an empty result.  Columns of docs are kept as they are; where one is called like a
+    result (in any case), the result gets underscores before its name.
     """
-    model = train(docs) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "rejected")])
-    at = docs.columns.index("text")
-
-    def predict(batches):
-        for batch in slices(batches):
-            lang, score, out = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.mapInArrow(predict, schema + "lang_pred string, score double, rejected boolean")
+    out = _predicted(docs, train(docs) if model is None else model)
+    results = ("lang_pred", "score", "rejected")
+    return out.select(*_columns(docs), *[F.col(c).alias(n) for c, n in zip(results, unused(docs, *results), strict=True)])
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,5 +264,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents whose language is recognised."""
-    return identify(docs, train(docs)).where("not rejected").select(*docs.columns)
+    """documents whose language is recognised: those that `identify` does not reject.
+
+    Rows of null and repeated doc_id are judged each for itself; texts that are null or have no letter go.  All columns stay as they
+    are, also those called like a result.  An empty table gives an empty result.
+    """
+    return _predicted(docs, train(docs)).where("not rejected").select(*_columns(docs))

@@ -33,18 +33,18 @@ def words(text):
 
 def targets(sizes: list[int], weights: list[float], budget: float, most: float) -> list[float]:
     """Shares of the budget by weight, none above most times its size; the excess is reshared by weight."""
-    out, open_, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n], budget
-    while open_:
-        per = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if per * weights[i] >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = per * weights[i]
+    out, left = [0.0] * len(sizes), float(budget)
+    # A source fills up the sooner, the less its size over its weight; one pass in that order finds them all.
+    order = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: (sizes[i] / weights[i], i))
+    weight = sum(weights[i] for i in order)
+    for at, i in enumerate(order):
+        if left * weights[i] < most * sizes[i] * weight:
+            for j in order[at:]:
+                out[j] = left * weights[j] / weight
             break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        out[i] = float(most * sizes[i])
+        left -= out[i]
+        weight -= weights[i]
     return out
 
 
@@ -55,12 +55,12 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", key: tuple[st
     all sizes; no document is taken more than `copies` times.  Documents of
     size 0 are never taken.  Which documents are taken depends on key, source, size
     and seed only, so reruns agree; repeated rows are queued one after another.
-    Input columns of the three result names are replaced, all others are kept, whatever
+    Input columns of the three result names (in any case) are replaced, all others are kept, whatever
     their names.  An empty table gives an empty result.  Sources are weighed on the driver: more
     than MAX_SOURCES raise an error.
     """
     spark = df.sparkSession
-    kept = [c for c in df.columns if c not in ("source_size", "target", "copies_taken")]
+    kept = [c for c in df.columns if c.lower() not in ("source_size", "target", "copies_taken")]
     df = cut(df.select(F.struct(*kept).alias("row"), F.struct(*[F.col(c) for c in key], F.col(source).alias("source"), F.col(size).cast("long").alias("size")).alias("key")))  # sizes are counted from texts once
     found = df.groupBy(F.col("key.source").alias("source")).agg(F.sum("key.size").alias("n"), F.count("*").alias("rows"))
     many = found.count()

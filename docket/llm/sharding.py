@@ -73,10 +73,10 @@ def shard_rows(df: DataFrame, key: list[str], shards: int = SHARDS, seed: int =
     key: columns whose values name a row; the shuffle is a function of them and
     the seed.  Null keys are values like any other.  Repeated rows each take a
     slot of their own (which of them is which cannot be told).  Columns of df
-    named shard or slot are replaced, all others are kept, whatever their names.  An empty table gives an empty result.
+    named shard or slot (in any case) are replaced, all others are kept, whatever their names.  An empty table gives an empty result.
     """
     spark = df.sparkSession
-    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     total = df.count()
     parts = max(1, -(-total // rows))
     # A row is one struct from here on, so none of its names can clash.
@@ -107,13 +107,14 @@ def shard_rows(df: DataFrame, key: list[str], shards: int = SHARDS, seed: int =
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one doc_id are told apart by their texts, so that reruns agree."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
     )
     docs = docs.withColumn("text_crc32", F.col("text_crc32").cast("long"))
-    return shard_rows(docs, ["doc_id"]).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shard_rows(docs, ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,8 +49,8 @@ def test_language_id(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumnRenamed("lang", "lang")
     out = {r["doc_id"]: r for r in langid.identify(df.selectExpr("*", "1 as score")).collect()}
     assert all(out[i]["lang_pred"] == k for i, _, k in data[:240])
-    assert all(0 <= r["score"] <= 1 for r in out.values())
-    assert all(out[i]["lang_pred"] == "und" and out[i]["rejected"] and out[i]["score"] == 0 for i in (900, 901, 902))
+    assert all(0 <= r["_score"] <= 1 and r["score"] == 1 for r in out.values())  # a column of that name stays
+    assert all(out[i]["lang_pred"] == "und" and out[i]["rejected"] and out[i]["_score"] == 0 for i in (900, 901, 902))
     assert out[903]["lang_pred"] == "xx"
     assert [r["lang_pred"] for r in langid.identify(df.where("lang is null")).collect()] == ["und"]  # nothing to learn from
     assert langid.identify(df.limit(0)).count() == 0
@@ -445,7 +445,7 @@ def test_clashing_columns_are_kept(spark):
     rng = random.Random(3)
     rows = [(i if i % 4 else None, prose(rng, 20 + i), "en", f"s{i % 3}" if i % 5 else None, 0) for i in range(40)] + [(7, "the same", "en", "s1", 0)] * 5 + [(8, None, None, None, 0)]
     docs = clashing(spark, rows, DOCS)
-    for stage, more in ((sharding.stage, 2), (mixing.stage, 0), (decontaminate.stage, 0), (simhash.stage, 0)):
+    for stage, more in ((langid.stage, 0), (sharding.stage, 2), (mixing.stage, 0), (decontaminate.stage, 0), (simhash.stage, 0)):
         df = stage(spark, docs, "/root/testdata/sf0.001")
         got = df.collect()
         assert got and len(df.columns) == len(docs.columns) + more and df.columns[: len(docs.columns)] == docs.columns and untouched(got)
