@@ -26,14 +26,19 @@ def shape(lines: DataFrame, key: str = KEY) -> DataFrame:
     )
 
 
-def page_profile(lines: DataFrame, types: DataFrame, kinds: list[str] | None = None, key: str = KEY) -> DataFrame:
-    """For each page type lines, mean confidence and pages, in one pivot; then the worst, the spread and the missing."""
+def page_profile(lines: DataFrame, pages: DataFrame, kinds: list[str] | None = None, key: str = KEY) -> DataFrame:
+    """For each page type lines, mean confidence and pages, in one pivot; then the worst and the spread of types that have pages, and how many types but `other` have none.
+
+    pages: key, pg_pos, ptype of all pages; one without lines counts as a page of confidence 0.
+    """
     kinds = list(PAGE_RANK) if kinds is None else kinds
-    typed = lines.join(types.select(key, "pg_pos", "ptype"), [key, "pg_pos"])
-    agg = lambda k: [F.count_if(F.col("ptype") == k).cast("double").alias(f"pp_{k}_n"), F.avg(F.when(F.col("ptype") == k, F.col("s"))).alias(f"pp_{k}_conf"), F.count_distinct(F.when(F.col("ptype") == k, F.col("pg_pos"))).cast("double").alias(f"pp_{k}_pages")]
+    each = lines.groupBy(key, "pg_pos").agg(F.count("*").alias("_n"), F.sum("s").alias("_s"))
+    typed = pages.select(key, "pg_pos", "ptype").join(each, [key, "pg_pos"], "left")
+    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("ptype") == k, F.col(c))), F.lit(0))
+    agg = lambda k: [of(k, "_n").cast("double").alias(f"pp_{k}_n"), F.coalesce(F.try_divide(of(k, "_s"), of(k, "_n")), F.lit(0.0)).alias(f"pp_{k}_conf"), F.count_if(F.col("ptype") == k).cast("double").alias(f"pp_{k}_pages")]
     wide = typed.groupBy(key).agg(*[a for k in kinds for a in agg(k)])
-    confs = F.filter(F.array(*[F.col(f"pp_{k}_conf") for k in kinds]), lambda x: x.isNotNull())
-    missing = sum((F.col(f"pp_{k}_conf").isNull().cast("double") for k in kinds), F.lit(0.0))
+    confs = F.array_compact(F.array(*[F.when(F.col(f"pp_{k}_pages") > 0, F.col(f"pp_{k}_conf")) for k in kinds]))
+    missing = sum(((F.col(f"pp_{k}_pages") == 0).cast("double") for k in kinds if k != "other"), F.lit(0.0))
     return wide.withColumns({"pp_worst": F.array_min(confs), "pp_spread": F.array_max(confs) - F.array_min(confs), "pp_missing": missing}).na.fill(0.0)
 
 
@@ -222,21 +227,26 @@ def source_features(votes: DataFrame, cases: DataFrame, formed: list[str], key:
 
 
 def notes(lines: DataFrame, key: str = KEY) -> DataFrame:
-    """Score and decision of adjudicators' notes, and a bit for each reason; lines go in page order and may wrap."""
+    """Score and decision of adjudicators' notes, and how well each reason was read; lines go in page order and may wrap."""
     sq = squash(F.col("t"))
-    own = lines.where(F.length(sq) >= 3).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pg_pos", "ln_pos", sq.alias("sq")))), lambda x: x["sq"]).alias("xs"))
+    own = lines.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pg_pos", "ln_pos", sq.alias("sq")))), lambda x: x["sq"]).alias("xs"))
     able = own.where(F.exists("xs", lambda x: (F.length(x) >= 5)))
     told = able.select(key, note_signals(F.col("xs")).alias("n"))
+    found = F.size("n.reasons").cast("double")
     return told.select(
-        key, F.col("n.score").alias("note_score"), *[_bit(F.col("n.decision") == d).alias(f"note_{d.lower()}") for d in DECISIONS], F.size("n.reasons").cast("double").alias("note_reasons"),
-        *[_bit(F.array_contains("n.reasons", r)).alias(f"note_reason_{r}") for r in REASONS],
+        key, F.col("n.score").alias("note_score"), *[_bit(F.col("n.decision") == d).alias(f"note_{d.lower()}") for d in DECISIONS], _bit(F.col("n.decision").isNotNull()).alias("note_any"),
+        found.alias("note_reasons"), _bit(found > 0).alias("note_reason_any"), *[F.coalesce(F.col("n.reasons")[r], F.lit(0.0)).alias(f"note_reason_{r}") for r in REASONS],
     )
 
 
 def slip(evidence: Column) -> dict[str, Column]:
-    """How far a slip's flags can be relied on."""
+    """How far a slip's flags can be relied on; evidence_none is 1 where neither slip nor note says anything about risk."""
     anchor, resolved, n = evidence["slip_anchor"], evidence["slip_resolved"], F.size(evidence["slip_flags"])
-    return {"slip_anchor": _bit(anchor), "slip_resolved": _bit(anchor & resolved), "slip_unresolved": _bit(anchor & ~resolved), "slip_clean": _bit(anchor & resolved & (n == 0)), "slip_n": F.coalesce(n, F.lit(0)).cast("double"), "slip_note_n": F.coalesce(F.size(evidence["note_flags"]), F.lit(0)).cast("double"), "slip_name_conflict": _bit(evidence["name_conflict"])}
+    noted = F.coalesce(F.size(evidence["note_flags"]), F.lit(0))
+    return {
+        "slip_anchor": _bit(anchor), "slip_resolved": _bit(anchor & resolved), "slip_unresolved": _bit(anchor & ~resolved), "slip_clean": _bit(anchor & resolved & (n == 0)), "slip_n": F.coalesce(n, F.lit(0)).cast("double"),
+        "slip_note_n": noted.cast("double"), "slip_name_conflict": _bit(evidence["name_conflict"]), "evidence_none": 1.0 - _bit(F.coalesce(anchor, F.lit(False)) | (noted > 0)),
+    }
 
 
 def resolution() -> dict[str, Column]:
@@ -292,6 +302,7 @@ def design(lines: DataFrame, types: DataFrame, fields: DataFrame, pages: DataFra
     out = fields.select(KEY, text, "arrival_date", "fee_status", "visa_class", "sponsor_id", "applicant_name", "risk_flags", "fee_text", "sponsor_text", *[c.alias(n) for n, c in flat.items()])
     out = out.select(KEY, *flat, *[c.alias(n) for n, c in more.items()])
     formed = ["arrival_date", "fee_status", "visa_class", "sponsor_id"]
-    for family in (shape(lines), page_profile(lines, types), stamps(lines, pages), damage(lines, pages, fields.select(KEY, text)), notes(lines), source_features(votes, fields, formed)):
+    for family in (shape(lines), page_profile(lines, pages), stamps(lines, pages), damage(lines, pages, fields.select(KEY, text)), notes(lines), source_features(votes, fields, formed)):
         out = out.join(family, KEY, "left")
-    return out.na.fill(0.0)
+    # A note that approves what a disqualifying flag speaks against.
+    return out.withColumn("note_find_vs_dqflag", _bit((F.col("note_approved") == 1) & (F.col("pol_dq_flag") == 1))).na.fill(0.0)

@@ -55,6 +55,25 @@ def noted(lines: DataFrame) -> DataFrame:
     return named.union(rescinded).groupBy("case_id").agg(F.collect_set("f").alias("note_flags"))
 
 
+#: What registry and intake pages say, and how a line of a name begins.
+NAME_PAGES, NAME_STARTS = {"registry": "planetaryregistry", "intake": "workauthorizationintake"}, "registryname|applicant"
+
+
+def stated_names(lines: DataFrame) -> DataFrame:
+    """case_id, kind, value, conf, ord: names on registry and intake pages, what follows a line's last colon or else the next line; letters a-z only."""
+    page = W.partitionBy(*KEYS)
+    sq = squash(F.col("t"))
+    held = squash(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln_pos", "t")).over(page)), lambda x: x["t"]), " "))
+    near = page.orderBy("ln_pos")
+    rows = lines.withColumns({"_held": held, "_sq": sq, "_t": F.lead("t").over(near), "_s": F.lead("s").over(near)})
+    kind = F.when(F.col("_held").contains(NAME_PAGES["registry"]), "registry").when(F.col("_held").contains(NAME_PAGES["intake"]), "intake")
+    colon = F.col("t").contains(":")
+    value = F.regexp_replace(F.lower(F.when(colon, F.substring_index("t", ":", -1)).otherwise(F.col("_t"))), "[^a-z]", "")
+    conf = F.when(colon, F.col("s")).otherwise(F.least("s", "_s"))
+    named = rows.where(F.col("_sq").rlike(f"^({NAME_STARTS})")).where(colon | F.col("_t").isNotNull())
+    return named.select("case_id", kind.alias("kind"), value.alias("value"), conf.alias("conf"), (F.col("pg_pos") * 1_000_000 + F.col("ln_pos")).alias("ord")).where("kind is not null")
+
+
 def identity_conflict(names: DataFrame) -> DataFrame:
     """case_id, name_conflict, for names (case_id, kind registry or intake, value, conf, ord): the first trusted name of each kind, too different."""
     trusted = names.where((F.col("conf") >= NAME_CONFIDENCE) & (F.length(squash(F.col("value"))) > 5))

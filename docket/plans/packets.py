@@ -59,13 +59,6 @@ def page_text(lines: DataFrame, types: DataFrame, ptype: str) -> DataFrame:
     return own.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln_pos", "t"))), lambda x: x["t"]), " ").alias("text"))
 
 
-def names_of(r: dict[str, DataFrame]) -> DataFrame:
-    """Names that registry and intake pages state, for the identity conflict."""
-    kinds = F.when(F.col("ptype") == "registry", "registry").when(F.col("ptype") == "intake", "intake")
-    stated = candidates.inline(r["lines"], [*PAGE, "ln_pos"]).join(r["types"], PAGE).where("field = 'applicant_name'")
-    return stated.select("case_id", kinds.alias("kind"), "value", "conf", (F.col("pg_pos") * 1_000_000 + F.col("ln_pos")).alias("ord")).where("kind is not null")
-
-
 def support(said: DataFrame, resolved: DataFrame, names: list[str]) -> DataFrame:
     """case_id and, of each field, the rank of its winner (rank_, 9 where none) and the number of its readings (nev_)."""
     n = said.groupBy("case_id", "field").agg(F.count("*").alias("nev"))
@@ -100,7 +93,7 @@ def extract(records: DataFrame, fee_prior: str | None = "paid", meta: bool = Fal
     if fee_prior is not None:
         wide = wide.withColumn("fee_status", F.when(F.col("fee_status") == "unknown", fee_prior).otherwise(F.col("fee_status")))
     wide = respace.repair_fields(vocab.snap_fields(wide), RESPACED_FIELDS, "visible_lines")
-    flagged = flags.detect(records.select("case_id"), r["lines"], names_of(r))
+    flagged = flags.detect(records.select("case_id"), r["lines"], flags.stated_names(r["lines"]))
     out = wide.join(flagged.select("case_id", "risk_flags"), "case_id", "left").withColumn("risk_flags", F.coalesce("risk_flags", F.lit("none")))
     trust.check_lineage(out.columns)
     if not meta:
@@ -117,7 +110,7 @@ def inputs(records: DataFrame, fields: DataFrame) -> DataFrame:
     found = candidates.collect(r["lines"], r["rows"], r["types"], r["foreign"])
     value = normalised()
     votes = found.select("case_id", "field", "ptype", "pg_pos", "seq", (F.col("ratio") * F.pow("conf", 3)).alias("w"), is_redacted(F.col("value")).alias("redacted"), value.alias("value"))
-    seen = flags.detect(records.select("case_id"), r["lines"], names_of(r)).select("case_id", "flags_confidence", *[c.alias(n) for n, c in features.slip(F.col("evidence")).items()])
+    seen = flags.detect(records.select("case_id"), r["lines"], flags.stated_names(r["lines"])).select("case_id", "flags_confidence", *[c.alias(n) for n, c in features.slip(F.col("evidence")).items()])
     stated = candidates.inline(r["lines"], [*PAGE, "ln_pos"]).where((F.col("field") == "applicant_name") & ~is_redacted(F.col("value")))
     pages = r["pages"].join(r["types"].select(*PAGE, "ptype"), PAGE, "left").join(r["foreign"], PAGE, "left")
     pages = pages.select(*PAGE, F.coalesce("ptype", F.lit("other")).alias("ptype"), F.coalesce("foreign", F.lit(False)).alias("foreign"))

@@ -98,12 +98,39 @@ def test_windows_and_labels():
 def test_notes(spark):
     score_, decision, reasons = fuzzy.notes_of(["manualadjudicatornote", "findingdenied", "reasonmandatoryfeeunpaid"])
     assert (score_, decision) == (1.0, "DENIED") and "fee_unpaid" in reasons
-    assert fuzzy.notes_of(["find1ng", "approved"])[1] == "APPROVED" and fuzzy.notes_of(["nothinghere"]) == (0.0, None, [])
+    assert fuzzy.notes_of(["find1ng", "approved"])[1] == "APPROVED" and fuzzy.notes_of(["nothinghere"]) == (0.0, None, {})
     lines = spark.createDataFrame([("c", 0, 0, "Finding: NEEDS REVIEW"), ("c", 0, 1, "Reason: Revoked sponsor"), ("d", 0, 0, "x")], "case_id string, pg_pos int, ln_pos int, t string")
     got = {r["case_id"]: r for r in features.notes(lines).collect()}
     assert got["c"]["note_needs_review"] == 1.0 and got["c"]["note_reason_revoked_spn"] == 1.0 and got["c"]["note_denied"] == 0.0
 
 
+def test_notes_take_the_next_line_only_where_nothing_follows():
+    assert fuzzy.notes_of(["findingdenled", "approved"])[1] == "DENIED"
+    assert fuzzy.notes_of(["finding", "approved" + "x" * 30])[1] == "APPROVED"
+    assert fuzzy.notes_of(["reason" + "q" * 41 + "revokedsponsor"])[2] == {}  # a reason begins right after its anchor
+    assert fuzzy.notes_of(["reasonrevoked", "sponsor"])[2] == {"revoked_spn": 1.0}
+    assert 0.78 <= fuzzy.notes_of(["reasonrevokedsponzor"])[2]["revoked_spn"] < 1.0
+
+
+def test_page_profile_counts_pages_without_lines(spark):
+    kinds = list(features.PAGE_RANK)
+    pages = spark.createDataFrame([("a", i, k) for i, k in enumerate(k for k in kinds if k != "other")] + [("b", 0, "other"), ("b", 1, kinds[0])], "case_id string, pg_pos int, ptype string")
+    lines = spark.createDataFrame([("a", i, 0, "x", 0.5 + i / 10) for i in range(len(kinds) - 1)] + [("b", 0, 0, "y", 0.9)], "case_id string, pg_pos int, ln_pos int, t string, s double")
+    got = {r["case_id"]: r for r in features.page_profile(lines, pages).collect()}
+    assert got["a"]["pp_missing"] == 0.0 and got["b"]["pp_missing"] == len(kinds) - 2
+    assert (got["b"]["pp_worst"], got["b"]["pp_spread"], got["b"][f"pp_{kinds[0]}_pages"], got["b"][f"pp_{kinds[0]}_conf"]) == (0.0, 0.9, 1.0, 0.0)
+
+
+def test_names_below_their_labels_make_a_conflict(spark):
+    rows = [("a", 0, 0, "Planetary Registry", 0.99), ("a", 0, 1, "Registry name", 0.99), ("a", 0, 2, "Zorblax Quill", 0.98), ("a", 1, 0, "Work Authorization Intake", 0.99), ("a", 1, 1, "Applicant: Other Person", 0.99)]
+    rows += [("b", 0, 0, "Planetary Registry", 0.99), ("b", 0, 1, "Registry name: Same Person", 0.99), ("b", 1, 0, "Work Authorization Intake", 0.99), ("b", 1, 1, "Applicant", 0.99), ("b", 1, 2, "same person", 0.99)]
+    rows += [("c", 0, 0, "Applicant: Nobody Here", 0.99)]
+    lines = spark.createDataFrame(rows, "case_id string, pg_pos int, ln_pos int, t string, s double")
+    names = flags.stated_names(lines)
+    assert sorted((r["case_id"], r["kind"], r["value"], r["conf"]) for r in names.collect()) == [("a", "intake", "otherperson", 0.99), ("a", "registry", "zorblaxquill", 0.98), ("b", "intake", "sameperson", 0.99), ("b", "registry", "sameperson", 0.99)]
+    assert {r["case_id"]: r["name_conflict"] for r in flags.identity_conflict(names).collect()} == {"a": True, "b": False}
+
+
 @pytest.mark.parametrize("value,want", [("Fee: unpald", "unpaid"), ("wa1ved", "waived"), ("zzz", None), ("", None)])
 def test_fee_by_nearness(spark, value, want):
     assert one(spark, fuzzy.norm_fee(F.col("v")), v=value) == want
