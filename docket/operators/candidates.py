@@ -5,16 +5,12 @@ candidates: case_id, field, rank, ratio, conf, value, ptype, pg_pos, seq.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import CORRECTION_RANK, CORRECTION_RATIO, CORRECTION_STEM, FIELD_ALIASES, FOREIGN_RANK
-from ..functions.fuzzy import best_label, matched, over_distinct
+from ..functions.fuzzy import best_label, bound, over_distinct, ratio
 from ..functions.text import clean, squash
 
 SCHEMA = ["case_id", "field", "rank", "ratio", "conf", "value", "ptype", "pg_pos", "seq"]
@@ -65,44 +61,44 @@ def below(rows: DataFrame, keys: list[str]) -> DataFrame:
     return fits.select(*keys, "row_id", "l.field", (F.col("l.ratio") * 0.95).alias("ratio"), clean(F.col("next_t")).alias("value"), F.col("next_s").alias("conf")).where("value != ''")
 
 
-def correction_of(text: str) -> tuple[str | None, str | None]:
-    """(field, value) of `Manual correction: <field> is <value>.`, however it was read; (None, None) otherwise.
+def corrected(texts: DataFrame) -> DataFrame:
+    """t, field, value of texts (t) that read `Manual correction: <field> is <value>.`, however they were read.
 
-    The stem may begin at one of the first twelve letters.  A label may have lost two letters of its alias or gained three,
-    but has three at least and `is` behind it.
+    The stem begins at one of the first twelve letters, the nearest place and the first of equals.  A label may have lost two letters
+    of its alias or gained three, but has three at least and `is` behind it; the nearest alias wins, of equals the first declared, then the shorter label.
     """
-    spots = [i for i, c in enumerate(text) if c.lower().isalnum()]
-    flat, stem = "".join(text[i].lower() for i in spots), CORRECTION_STEM
-    spots = [i for i in spots for _ in text[i].lower()]  # lower() can lengthen
-    if len(flat) < len(stem) + 4:
-        return None, None
-    start = max(range(min(12, len(flat))), key=lambda a: matched(flat[a : a + len(stem)], stem))
-    if matched(flat[start : start + len(stem)], stem) < CORRECTION_RATIO:
-        return None, None
-    at = start + len(stem)
-    rest, found = flat[at:], []
-    for field, aliases in FIELD_ALIASES.items():
-        for alias in aliases:
-            for n in range(max(3, len(alias) - 2), min(len(alias) + 3, len(rest) - 2) + 1):
-                if rest.startswith("is", n):
-                    found.append((matched(rest[:n], alias), field, at + n + 2))
-    ratio, field, begin = max(found, key=lambda f: f[0], default=(0.0, None, 0))
-    if ratio < CORRECTION_RATIO or begin >= len(spots):
-        return None, None
-    value = re.sub(r"[.\s]+$", "", text[spots[begin] :].strip())
-    return (field, value) if value else (None, None)
-
-
-@F.pandas_udf(T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType())]))
-def _correction(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([correction_of(t or "") for t in text], columns=["field", "value"])
+    size = len(CORRECTION_STEM)
+    # Letters and digits in lower case, each with its place in the text; one letter can become two.
+    marks = F.filter(F.transform(F.split("t", ""), lambda c, i: F.struct(F.lower(c).alias("c"), i.alias("i"))), lambda m: m["c"].rlike(r"^[\p{L}\p{N}]"))
+    spots = F.flatten(F.transform("marks", lambda m: F.array_repeat(m["i"], F.length(m["c"]))))
+    flat = F.array_join(F.transform("marks", lambda m: m["c"]), "")
+    rows = texts.select("t").distinct().withColumn("marks", marks).select("t", flat.alias("flat"), spots.alias("spots")).where(F.length("flat") >= size + 4)
+    places = rows.select("t", "flat", "spots", F.explode(F.sequence(F.lit(0), F.least(F.lit(11), F.length("flat") - 1))).alias("a"))
+    places = _spread(places.withColumn("head", F.substring("flat", F.col("a") + 1, F.lit(size))))
+    stems = places.where(bound(F.col("head"), F.lit(CORRECTION_STEM)) >= CORRECTION_RATIO).withColumn("r", ratio(F.col("head"), F.lit(CORRECTION_STEM))).where(F.col("r") >= CORRECTION_RATIO)
+    begun = stems.groupBy("t").agg(F.max_by(F.struct("flat", "spots", (F.col("a") + size).alias("at")), F.struct("r", (-F.col("a")).alias("b"))).alias("x")).select("t", "x.*")
+    # Labels end before an `is`; the aliases are few and fixed, so they multiply rows by a constant.
+    aliases = [(field, alias) for field, names in FIELD_ALIASES.items() for alias in names]
+    known = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(f).alias("field"), F.lit(a).alias("alias")) for o, (f, a) in enumerate(aliases)])
+    rest = F.substring("flat", F.col("at") + 1, F.length("flat"))
+    ends = F.filter(F.sequence(F.lit(3), F.lit(max(len(a) for _, a in aliases) + 3)), lambda n: F.substring(F.col("rest"), n + 1, F.lit(2)) == "is")
+    pieces = begun.withColumn("rest", rest).select("t", "spots", "at", "rest", F.explode(ends).alias("n")).select("*", F.explode(known).alias("k")).select("t", "spots", "at", F.substring("rest", F.lit(1), F.col("n")).alias("piece"), "n", "k.*")
+    near = pieces.where("n between length(alias) - 2 and length(alias) + 3").where(bound(F.col("piece"), F.col("alias")) >= CORRECTION_RATIO)
+    near = near.withColumn("r", ratio(F.col("piece"), F.col("alias"))).where(F.col("r") >= CORRECTION_RATIO)
+    best = near.groupBy("t").agg(F.max_by(F.struct("field", "spots", (F.col("at") + F.col("n") + 2).alias("begin")), F.struct("r", (-F.col("o")).alias("o"), (-F.col("n")).alias("m"))).alias("x"))
+    value = F.regexp_replace(F.substring("t", F.get("x.spots", F.col("x.begin")) + 1, F.length("t")), r"(?U)^\s+|[.\s]+$", "")
+    return best.select("t", "x.field", value.alias("value")).where("value != ''")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Dealt out, as small data would be put into one Python task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def corrections(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, field, value, conf: signed corrections; only lines that can hold one reach the Python function."""
+    """keys, field, value, conf: signed corrections; only texts that can hold one are looked at, each once."""
     able = lines.where((F.length(F.regexp_replace("t", r"[^\p{L}\p{N}]", "")) >= len(CORRECTION_STEM) + 4) & F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]", "").contains("is"))
-    found = able.select(*keys, F.col("s").alias("conf"), _correction(F.col("t")).alias("c")).where("c.value is not null")
-    return found.select(*keys, "c.field", "c.value", "conf")
+    return able.join(corrected(able), "t").select(*keys, "field", "value", F.col("s").alias("conf"))
 
 
 def collect(lines: DataFrame, rows: DataFrame, types: DataFrame, foreign: DataFrame) -> DataFrame:

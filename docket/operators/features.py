@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import CONTENT_FIELDS, DAMAGE_WORDS, DECISIONS, FEE_SOURCES, FIELD_ALIASES, PAGE_FURNITURE, PAGE_LABELS, PAGE_MARKS, PAGE_RANK, PLACEHOLDER, RAW_STRINGS, REASONS, REVOKED_SPONSORS, SOURCE_PAIRS, SOURCE_TYPES, STAMP_LENGTH, STAMP_TOKENS, VOCABULARY
-from ..functions.fuzzy import best_label, note_signals, over_distinct, ratio, source_agreement, stamp_names
+from ..constants import CONTENT_FIELDS, DAMAGE_WORDS, DECISIONS, FEE_SOURCES, FIELD_ALIASES, PAGE_FURNITURE, PAGE_LABELS, PAGE_MARKS, PAGE_RANK, PLACEHOLDER, RAW_STRINGS, REASONS, REVOKED_SPONSORS, SOURCE_PAIRS, SOURCE_RATIO, SOURCE_TYPES, STAMP_LENGTH, STAMP_TOKENS, VOCABULARY
+from ..functions.fuzzy import best_label, bound, note_signals, over_distinct, ratio, stamp_names
 from ..functions.text import squash
 from .flags import flag_bits
 
@@ -193,6 +194,42 @@ def cross_source(readings: DataFrame, key: str = KEY) -> DataFrame:
     return n.groupBy(key, "field").agg(F.sum("n").alias("votes"), F.count("*").alias("distinct_values"), (F.max("n") / F.sum("n")).alias("top_share"), ((F.count("*") >= 2) & (F.sum("n") >= 2)).cast("int").alias("conflict"))
 
 
+def agreement(votes: DataFrame, formed: Column, key: str = KEY) -> DataFrame:
+    """key, field, a struct<nsrc, ndist, top, types, pairs> of the votes (key, field, ptype, w, seq, value, sq) of each field.
+
+    nsrc: page types that vote.  Votes of one value form a cluster: equal ones where the field is formed, else of near keys.  ndist: clusters; top:
+    the heaviest one's share; types: page types of the two heaviest, empty where they are one; pairs: for each of SOURCE_PAIRS whether
+    both types' heaviest votes are the same (1), are not (-1), or one is missing (0).
+    """
+    one = W.partitionBy(key, "field").orderBy(F.col("w").desc(), "seq", "value", "sq", "ptype")
+    ranked = votes.withColumns({"formed": formed, "i": F.row_number().over(one)})
+    same = lambda a, b: F.when(F.col("formed"), F.col(f"{a}value") == F.col(f"{b}value")).otherwise(ratio(F.col(f"{a}sq"), F.col(f"{b}sq")) >= SOURCE_RATIO)
+    # Near pairs within a field of a packet, of which there are as many votes as pages.
+    lighter = ranked.select(key, "field", F.col("i").alias("j"), F.col("value").alias("late_value"), F.col("sq").alias("late_sq"))
+    able = ranked.join(lighter, [key, "field"]).where("i < j").where(F.col("formed") | (bound(F.col("late_sq"), F.col("sq")) >= SOURCE_RATIO))
+    near = able.withColumn("same", same("late_", "")).where("same").groupBy(key, "field", F.col("j").alias("i")).agg(F.collect_set("i").alias("near"))
+    vote = F.struct("i", F.coalesce("near", F.array().cast("array<int>")).alias("near"), "w", "ptype")
+    lists = ranked.join(near, [key, "field", "i"], "left").groupBy(key, "field").agg(F.sort_array(F.collect_list(vote)).alias("xs"))
+
+    # A vote's cluster is the first near vote that leads one, or its own.
+    def lead(done, x):
+        led = F.filter(x["near"], lambda r: F.exists(done, lambda d: (d["i"] == r) & (d["lead"] == r)))
+        return F.concat(done, F.array(F.struct(x["i"].alias("i"), F.coalesce(F.array_min(led), x["i"]).alias("lead"))))
+
+    led = F.aggregate("xs", F.array().cast("array<struct<i:int,lead:int>>"), lead)
+    each = lists.select(key, "field", F.explode(F.zip_with("xs", led, lambda x, d: F.struct(d["lead"].alias("lead"), x["w"].alias("w"), x["ptype"].alias("ptype")))).alias("c")).select(key, "field", "c.*")
+    clusters = each.groupBy(key, "field", "lead").agg(F.sum("w").alias("w"), F.collect_set("ptype").alias("types"))
+    found = clusters.groupBy(key, "field").agg(F.count("*").cast("int").alias("ndist"), F.sum("w").alias("all"), F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("less"), "lead", "types"))).alias("cs"))
+    both = F.when(F.col("ndist") > 1, F.array_sort(F.array_union(F.col("cs")[0]["types"], F.get("cs", F.lit(1))["types"])))
+    firsts = [F.min_by(F.struct("value", "sq"), F.when(F.col("ptype") == t, F.col("i"))).alias(t) for t in sorted({t for pair in SOURCE_PAIRS for t in pair})]
+    heads = ranked.groupBy(key, "field").agg(F.count_distinct("ptype").cast("int").alias("nsrc"), F.first("formed").alias("formed"), *firsts)
+    pair = lambda a, b: F.when(F.col(a).isNull() | F.col(b).isNull(), 0).when(same(f"{a}.", f"{b}."), 1).otherwise(-1)
+    heads = heads.select(key, "field", "nsrc", F.array(*[pair(a, b) for a, b in SOURCE_PAIRS]).alias("pairs"))
+    top = -F.col("cs")[0]["less"] / F.when(F.col("all") == 0, 1.0).otherwise(F.col("all"))
+    types = F.when(F.size(both) > 1, both).otherwise(F.array().cast("array<string>"))
+    return heads.join(found, [key, "field"]).select(key, "field", F.struct("nsrc", "ndist", top.alias("top"), types.alias("types"), "pairs").alias("a"))
+
+
 def source_features(votes: DataFrame, cases: DataFrame, formed: list[str], key: str = KEY) -> DataFrame:
     """102 keys of how far the sources of each field agree.
 
@@ -204,9 +241,7 @@ def source_features(votes: DataFrame, cases: DataFrame, formed: list[str], key:
     good = over_distinct(votes.where("not redacted and value is not null").withColumn("sq", squash(F.col("value"))), "sq", best_label, "l")
     good = good.where(~free | ((F.length("sq") >= 2) & ~F.col("l.like")))
     best = good.groupBy(key, "field", "ptype", "pg_pos").agg(F.max_by(F.struct("w", "value", "sq", "seq"), F.struct("w", (-F.col("seq")).alias("s"))).alias("b"))
-    own = best.groupBy(key, "field").agg(F.sort_array(F.collect_list(F.struct((-F.col("b.w")).alias("w"), "b.seq", "b.value", "b.sq", "ptype"))).alias("xs"))
-    part = lambda n: F.transform("xs", lambda x: x[n])
-    told = own.select(key, "field", source_agreement(F.transform("xs", lambda x: -x["w"]), part("value"), part("sq"), part("ptype"), ~free).alias("a"))
+    told = agreement(best.select(key, "field", "ptype", "b.*"), ~free, key)
     red = votes.where("redacted").groupBy(key, "field").agg(F.lit(1.0).alias("red"))
     both = told.join(red, [key, "field"], "full_outer")
     nsrc, conflict = F.coalesce("a.nsrc", F.lit(0)), F.coalesce(F.size("a.types") > 1, F.lit(False))

@@ -537,16 +537,28 @@ def vocab_find(spark, sf_dir):
 
 @query()
 def fuzzy_ratio_topk(spark, sf_dir):
-    """The three part types nearest to each brand's name, by ratio of matching blocks; distinct keys only."""
-    from .functions.fuzzy import bound, ratio
+    """The three part types nearest to each part's name, by ratio of matching blocks of 0.3 or more; distinct keys only."""
+    from .operators.ratio_join import ratio_join
 
-    part = table(spark, sf_dir, "part")
-    types = part.select(F.lower("p_type").alias("b")).where("b is not null").distinct()
-    names = part.select(tx.squash(F.col("p_name")).alias("a")).distinct().crossJoin(types)
-    near = names.where(bound(F.col("a"), F.col("b")) >= 0.3).withColumn("r", ratio(F.col("a"), F.col("b")))
+    part = table(spark, sf_dir, "part").select(tx.squash(F.col("p_name")).alias("a"), F.lower("p_type").alias("b"))
+    near = ratio_join(part, part, "a", "b", 0.3)
     return near.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("r"), "b"))).where("rank <= 3")
 
 
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS t FROM part WHERE length(p_name) > 0),
+l AS (SELECT t, c, count(*) AS k FROM (SELECT t, unnest(string_split(t, '')) AS c FROM n) GROUP BY ALL),
+s AS (SELECT x.t AS a, y.t AS b, sum(least(x.k, y.k)) AS shared FROM l x JOIN l y ON x.c = y.c AND x.t < y.t GROUP BY ALL)
+SELECT a, b, round(2.0 * shared / (length(a) + length(b)), 6) AS overlap FROM s WHERE 2.0 * shared >= 0.7 * (length(a) + length(b)) - 1e-9
+""")
+def letter_overlap_pairs(spark, sf_dir):
+    """Pairs of part names that share seven tenths of their letters: the filter of joins by ratio."""
+    from .operators.ratio_join import overlap_pairs
+
+    names = table(spark, sf_dir, "part").select("p_name")
+    return overlap_pairs(names, names, "p_name", "p_name", 0.7).where("a < b").select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
 @query()
 def label_anchor(spark, sf_dir):
     """Labels of form lines made of customers, read with misprints."""

@@ -136,13 +136,18 @@ def test_fee_by_nearness(spark, value, want):
     assert one(spark, fuzzy.norm_fee(F.col("v")), v=value) == want
 
 
-def test_corrections():
-    assert candidates.correction_of("Manualcorrection:sponsorisSPN-4705.") == ("sponsor_id", "SPN-4705")
-    assert candidates.correction_of("Manual correction: fee status is paid.") == ("fee_status", "paid")
-    assert candidates.correction_of("nothing of the kind is here") == (None, None)
-    assert candidates.correction_of("Manual correction: visa clas is XW-2 . ") == ("visa_class", "XW-2")  # a letter lost
-    assert candidates.correction_of("Manual correction: sponsorr id is SPN-0001") == ("sponsor_id", "SPN-0001")  # a letter gained
-    assert candidates.correction_of("Manual correction: fee is") == (None, None)
+def corrected(spark, text):
+    rows = candidates.corrected(spark.createDataFrame([(text,)], "t string")).collect()
+    return (rows[0]["field"], rows[0]["value"]) if rows else (None, None)
+
+
+def test_corrections(spark):
+    assert corrected(spark, "Manualcorrection:sponsorisSPN-4705.") == ("sponsor_id", "SPN-4705")
+    assert corrected(spark, "Manual correction: fee status is paid.") == ("fee_status", "paid")
+    assert corrected(spark, "nothing of the kind is here") == (None, None)
+    assert corrected(spark, "Manual correction: visa clas is XW-2 . ") == ("visa_class", "XW-2")  # a letter lost
+    assert corrected(spark, "Manual correction: sponsorr id is SPN-0001") == ("sponsor_id", "SPN-0001")  # a letter gained
+    assert corrected(spark, "Manual correction: fee is") == (None, None)
 
 
 def test_consensus_breaks_ties_by_first_seen(spark):
