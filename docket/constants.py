@@ -133,3 +133,13 @@ SOURCE_RATIO = 0.80
 # Where a fee status comes from, and marks that a line of a page may hold.
 FEE_SOURCES = ["anchored", "line_scan", "receipt_arithmetic", "prior"]
 PAGE_MARKS = ["denied", "approved", "needsreview", "rescind", "sampledenial", "redacted", "copyartifact", "casework", "archive", "embargo", "hardship", "waiver", "diplomaticnote", "revoked"]
+
+# Patterns of dates, visa classes, sponsor ids, destroyed fields, amounts and waiver codes as forms print or misprint them.
+DATE_PATTERN = r"([0-9OQIlSB]{4})\s*[-/. ]\s*([0-9OQIlSB]{1,2})\s*[-/. ]\s*([0-9OQIlSB]{1,2})"
+VISA_PATTERN = r"(XW[-\s]?[12]|DIP[-\s]?1|MED[-\s]?3|TRANSIT[-\s]?7)"
+SPONSOR_PLAIN = r"(?i)SPN[\s\-_.:]*([A-Za-z0-9|!?]{4})"
+SPONSOR_TOKEN = r"\b([A-Za-z0-9$5]{3})[\s\-_.:]*([A-Za-z0-9|!?]{4})\b"
+SPONSOR_MISREAD = r"(?i)\b[S5$][PF][NM][-\s.]?([0-9OQIlSB]{4})\b"
+REDACTED_WORDS = r"(name|registry|species|world|purpose|sponsor|data|field|value)?\s*(cut\s*out|cutout|whiteout|white\s*out|lost|redacted|illegible|missing|destroyed|torn|unreadable|removed)"
+AMOUNT_PATTERN = r"\$\s*([\d,]+)\s*[.,]\s*(\d\d)"
+WAIVER_CODE = r"(?i)waiver\s*code\W*(.{0,12})"

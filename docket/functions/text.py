@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import ID_DIGITS, NULLISH, PLACEHOLDER, SPONSOR_DIGITS
+from ..constants import AMOUNT_PATTERN, DATE_PATTERN, ID_DIGITS, NULLISH, PLACEHOLDER, REDACTED_WORDS, SPONSOR_DIGITS, SPONSOR_MISREAD, SPONSOR_PLAIN, SPONSOR_TOKEN, VISA_PATTERN, WAIVER_CODE
 
 
 def let(value: Column, body) -> Column:
@@ -63,15 +63,14 @@ def safe_date(c: Column) -> Column:
 
 def norm_date(c: Column) -> Column:
     """First y-m-d in the text, OCR digits folded, if it is a day of the years 1900 to 2200; else null."""
-    pattern = r"([0-9OQIlSB]{4})\s*[-/. ]\s*([0-9OQIlSB]{1,2})\s*[-/. ]\s*([0-9OQIlSB]{1,2})"
-    y, m, d = (F.translate(F.regexp_extract(c, f"(?i){pattern}", i), *ID_DIGITS) for i in (1, 2, 3))
+    y, m, d = (F.translate(F.regexp_extract(c, f"(?i){DATE_PATTERN}", i), *ID_DIGITS) for i in (1, 2, 3))
     day = F.to_date(F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")))
     return F.when(F.year(day).between(1900, 2200), F.date_format(day, "yyyy-MM-dd"))
 
 
 def norm_visa(c: Column) -> Column:
     """First of the five classes, separators as one dash; null without one."""
-    found = F.regexp_extract(F.upper(c), r"(XW[-\s]?[12]|DIP[-\s]?1|MED[-\s]?3|TRANSIT[-\s]?7)", 1)
+    found = F.regexp_extract(F.upper(c), VISA_PATTERN, 1)
     return F.when(found != "", F.regexp_replace(found, r"\s", "-"))
 
 
@@ -96,15 +95,14 @@ def _any(tests: list[Column]) -> Column:
 
 def repair_sponsor(c: Column) -> Column:
     """SPN-dddd from a noisy reading, or null: SPN and four characters, or else a first three-character token that reads as SPN."""
-    plain = F.regexp_extract(c, r"(?i)SPN[\s\-_.:]*([A-Za-z0-9|!?]{4})", 1)
-    token = r"\b([A-Za-z0-9$5]{3})[\s\-_.:]*([A-Za-z0-9|!?]{4})\b"
-    other = F.when(canon(F.regexp_extract(c, token, 1)) == canon(F.lit("SPN")), F.regexp_extract(c, token, 2))
+    plain = F.regexp_extract(c, SPONSOR_PLAIN, 1)
+    other = F.when(canon(F.regexp_extract(c, SPONSOR_TOKEN, 1)) == canon(F.lit("SPN")), F.regexp_extract(c, SPONSOR_TOKEN, 2))
     digits = F.translate(F.when(plain != "", plain).otherwise(other), *SPONSOR_DIGITS)
     return F.when(digits.rlike("^[0-9]{4}$"), F.concat(F.lit("SPN-"), digits))
 
 
 def norm_sponsor(c: Column) -> Column:
-    found = F.translate(F.regexp_extract(c, r"(?i)\b[S5$][PF][NM][-\s.]?([0-9OQIlSB]{4})\b", 1), *ID_DIGITS)
+    found = F.translate(F.regexp_extract(c, SPONSOR_MISREAD, 1), *ID_DIGITS)
     return F.coalesce(F.when(found.rlike("^[0-9]{4}$"), F.concat(F.lit("SPN-"), found)), repair_sponsor(c))
 
 
@@ -118,23 +116,20 @@ def repair_name(c: Column) -> Column:
 
 def is_redacted(c: Column) -> Column:
     """Evidence was destroyed: empty, bracketed, under two characters, or saying so."""
-    words = r"(name|registry|species|world|purpose|sponsor|data|field|value)?\s*(cut\s*out|cutout|whiteout|white\s*out|lost|redacted|illegible|missing|destroyed|torn|unreadable|removed)"
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
-    return (t == "") | t.contains("[") | t.contains("]") | (F.length(squash(t)) < 2) | t.rlike(rf"(?i)^(\[|\()?\s*{words}\s*(\]|\))?$")
+    return (t == "") | t.contains("[") | t.contains("]") | (F.length(squash(t)) < 2) | t.rlike(rf"(?i)^(\[|\()?\s*{REDACTED_WORDS}\s*(\]|\))?$")
 
 
 def amount_of(c: Column) -> Column:
     """Dollars and cents of the first amount, added as plain numbers: only whether it is zero means anything."""
-    pattern = r"\$\s*([\d,]+)\s*[.,]\s*(\d\d)"
-    whole = F.replace(F.regexp_extract(c, pattern, 1), F.lit(","), F.lit(""))
-    return whole.try_cast("long") + F.regexp_extract(c, pattern, 2).try_cast("long")
+    whole = F.replace(F.regexp_extract(c, AMOUNT_PATTERN, 1), F.lit(","), F.lit(""))
+    return whole.try_cast("long") + F.regexp_extract(c, AMOUNT_PATTERN, 2).try_cast("long")
 
 
 def fee_from_receipt(c: Column) -> Column:
     """Fee status from a receipt's amount and waiver code, null unless both are printed."""
-    code_pattern = r"(?i)waiver\s*code\W*(.{0,12})"
-    code = squash(F.regexp_extract(c, code_pattern, 1))
+    code = squash(F.regexp_extract(c, WAIVER_CODE, 1))
     waived = (code != "") & ~code.isin("na", "none", "nil", "n", "0")
     amount = amount_of(c)
     told = F.when((amount > 0) & ~waived, "paid").when((amount == 0) & waived, "waived").when((amount == 0) & ~waived, "unknown")
-    return F.when(c.rlike(code_pattern), told)
+    return F.when(c.rlike(WAIVER_CODE), told)
