@@ -1,6 +1,6 @@
 """Labels to fields: every line, row and correction note yields candidate readings.
 
-candidates: case_id, field, rank, ratio, conf, value, ptype, pg_pos, seq.
+candidates: case_id, field, rank, ratio, conf, value, ptype, pg_pos, seq, error.  A row with an error is no reading: a label there could not be looked up.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from ..constants import CORRECTION_RANK, CORRECTION_RATIO, CORRECTION_STEM, FIEL
 from ..functions.fuzzy import best_label, bound, over_distinct, ratio
 from ..functions.text import clean, squash
 
-SCHEMA = ["case_id", "field", "rank", "ratio", "conf", "value", "ptype", "pg_pos", "seq"]
+SCHEMA = ["case_id", "field", "rank", "ratio", "conf", "value", "ptype", "pg_pos", "seq", "error"]
+KNOWN = "l.field is not null or l.error is not null"
 
 
 def cuts(text: Column) -> Column:
@@ -34,9 +35,9 @@ def cuts(text: Column) -> Column:
 def inline(lines: DataFrame, keys: list[str]) -> DataFrame:
     """keys, field, ratio, value, conf: the best labelled cut of each line, ties to the first.  Labels are looked up once each."""
     split = lines.select(*keys, "s", F.explode(cuts(F.col("t"))).alias("c")).select(*keys, "s", squash(F.col("c.label")).alias("key"), F.col("c.value").alias("value"), F.col("c.ord").alias("ord"))
-    named = over_distinct(split.where(F.length("key").between(1, 40)), "key", best_label, "l").where("l.field is not null")
-    best = named.groupBy(*keys).agg(F.max_by(F.struct("l.field", "l.ratio", "value", F.col("s").alias("conf")), F.struct("l.ratio", (-F.col("ord")).alias("o"))).alias("b"))
-    return best.select(*keys, "b.*")
+    named = over_distinct(split.where(F.length("key").between(1, 40)), "key", best_label, "l").where(KNOWN)
+    best = named.groupBy(*keys).agg(F.max("l.error").alias("error"), F.max_by(F.struct("l.field", "l.ratio", "value", F.col("s").alias("conf")), F.struct("l.ratio", (-F.col("ord")).alias("o"))).alias("b"))
+    return best.select(*keys, "b.*", "error")
 
 
 def beside(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,8 +48,8 @@ def beside(rows: DataFrame, keys: list[str]) -> DataFrame:
     gaps = widest_gaps(rows, own, "x0", "x1", "row_pos").select(*own, F.col("pos").alias("cut"))
     both = rows.join(gaps, own)
     sides = both.groupBy(*own, "cut").agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(side, F.struct("row_pos", "t")))), lambda x: x["t"]), " ").alias(n) for n, side in (("label", F.col("row_pos") <= F.col("cut")), ("value", F.col("row_pos") > F.col("cut")))], F.min(F.when(F.col("row_pos") > F.col("cut"), F.col("s"))).alias("conf"))
-    named = over_distinct(sides.withColumn("key", squash(F.col("label"))).where(F.length("key").between(1, 40)), "key", best_label, "l").where("l.field is not null")
-    return named.select(*own, "l.field", "l.ratio", clean(F.col("value")).alias("value"), "conf").where("value != ''")
+    named = over_distinct(sides.withColumn("key", squash(F.col("label"))).where(F.length("key").between(1, 40)), "key", best_label, "l").where(KNOWN)
+    return named.select(*own, "l.field", "l.ratio", clean(F.col("value")).alias("value"), "conf", "l.error").where("value != '' or error is not null")
 
 
 def below(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,8 +58,8 @@ def below(rows: DataFrame, keys: list[str]) -> DataFrame:
     one = over_distinct(one.withColumn("key", squash(F.col("t"))), "key", best_label, "l")
     w = W.partitionBy(*keys).orderBy("row_id")
     nxt = one.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("n", "t", "x0", "s")} | {"next_like": F.lead("l.like").over(w)})
-    fits = nxt.where("n = 1 and l.field is not null and next_n = 1 and abs(next_x0 - x0) < 120 and not next_like")
-    return fits.select(*keys, "row_id", "l.field", (F.col("l.ratio") * 0.95).alias("ratio"), clean(F.col("next_t")).alias("value"), F.col("next_s").alias("conf")).where("value != ''")
+    fits = nxt.where("l.error is not null or (n = 1 and l.field is not null and next_n = 1 and abs(next_x0 - x0) < 120 and not next_like)")
+    return fits.select(*keys, "row_id", "l.field", (F.col("l.ratio") * 0.95).alias("ratio"), clean(F.col("next_t")).alias("value"), F.col("next_s").alias("conf"), "l.error").where("value != '' or error is not null")
 
 
 def corrected(texts: DataFrame) -> DataFrame:
@@ -107,11 +108,11 @@ def collect(lines: DataFrame, rows: DataFrame, types: DataFrame, foreign: DataFr
     ranked = types.join(foreign, page, "left").withColumn("rank", F.when(F.coalesce("foreign", F.lit(False)), FOREIGN_RANK).otherwise(F.col("rank"))).select(*page, "ptype", "rank")
     seq = lambda order, base: (F.col("pg_pos") * 1_000_000 + order * 10 + base).cast("long")
     plain = (
-        inline(lines, [*page, "ln_pos"]).withColumn("seq", seq(F.col("ln_pos"), 0)).select(*page, "field", "ratio", "conf", "value", "seq")
-        .unionByName(beside(rows, page).withColumn("seq", seq(F.col("row_id"), 1)).select(*page, "field", "ratio", "conf", "value", "seq"))
-        .unionByName(below(rows, page).withColumn("seq", seq(F.col("row_id"), 2)).select(*page, "field", "ratio", "conf", "value", "seq"))
+        inline(lines, [*page, "ln_pos"]).withColumn("seq", seq(F.col("ln_pos"), 0)).select(*page, "field", "ratio", "conf", "value", "seq", "error")
+        .unionByName(beside(rows, page).withColumn("seq", seq(F.col("row_id"), 1)).select(*page, "field", "ratio", "conf", "value", "seq", "error"))
+        .unionByName(below(rows, page).withColumn("seq", seq(F.col("row_id"), 2)).select(*page, "field", "ratio", "conf", "value", "seq", "error"))
         .join(ranked, page)
     )
     fixed = corrections(lines, [*page, "ln_pos"]).withColumn("seq", seq(F.col("ln_pos"), 3)).join(ranked.select(*page), page)
-    fixed = fixed.select(*page, "field", F.lit(1.0).alias("ratio"), "conf", "value", "seq", F.lit("correction").alias("ptype"), F.lit(CORRECTION_RANK).alias("rank"))
+    fixed = fixed.select(*page, "field", F.lit(1.0).alias("ratio"), "conf", "value", "seq", F.lit("correction").alias("ptype"), F.lit(CORRECTION_RANK).alias("rank"), F.lit(None).cast("string").alias("error"))
     return plain.unionByName(fixed).select(*SCHEMA)

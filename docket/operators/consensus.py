@@ -26,7 +26,7 @@ def resolve(readings: DataFrame, keys: list[str], value: str = "value", score: s
 
 
 def resolve_free(readings: DataFrame, keys: list[str], ratio: float) -> DataFrame:
-    """Free texts: greedy clusters in order of falling weight, joined to the first representative that is near enough.
+    """keys, rep, score, n, rank, error of free texts: greedy clusters in order of falling weight, joined to the first representative that is near enough.
 
     The order decides, so a case's readings (a handful) are ordered in an array and folded by one Arrow function.
     """

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import ANCHOR_RATIO, FLAG_RATIO, FLAG_RATIO_LOW, FURNITURE, NAME_CONFIDENCE, NAME_RATIO, NONE_RATIO, NOTE_FLAG_RATIO, SLIP_RATIO
-from ..functions.fuzzy import best_window, match_flags, ratio
+from ..functions.fuzzy import best_window, found_flags, ratio
 from ..functions.text import squash
 
 KEYS = ["case_id", "pg_pos"]
@@ -23,36 +23,35 @@ def parse_flags(text: Column) -> Column:
 
 
 def slip_values(lines: DataFrame) -> DataFrame:
-    """case_id, value: what follows `observed flags` on slip pages, up to page furniture."""
+    """case_id, value, error: what follows `observed flags` on slip pages, up to page furniture."""
     pages = lines.groupBy(*KEYS).agg(squash(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln_pos", "t"))), lambda x: x["t"]), " ")).alias("psq"))
     pages = pages.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)  # spread the Python work
     sure = F.col("psq").rlike(r"biometric|scanimage|speciesmatch|formb\d{1,2}")
-    slips = pages.where(sure).select(*KEYS).union(
-        pages.where(~sure).where(best_window()(F.lit("biometricscanslip"), F.substring("psq", 1, 160))["ratio"] >= SLIP_RATIO).select(*KEYS)
-    )
-    near = lines.join(slips, KEYS).select("case_id", squash(F.col("t")).alias("sq")).where(F.length("sq").between(6, 90))
-    near = near.withColumn("w", best_window()(F.lit("observedflags"), F.substring("sq", 1, 19))).where(F.col("w.ratio") >= ANCHOR_RATIO)
-    return near.select("case_id", F.split(F.expr("substring(sq, w.stop + 1)"), FURNITURE)[0].alias("value"))
+    like = pages.where(~sure).withColumn("w", best_window()(F.lit("biometricscanslip"), F.substring("psq", 1, 160))).where((F.col("w.ratio") >= SLIP_RATIO) | F.col("w.error").isNotNull())
+    slips = pages.where(sure).select(*KEYS, F.lit(None).cast("string").alias("error")).union(like.select(*KEYS, "w.error"))
+    near = lines.join(slips, KEYS).select("case_id", "error", squash(F.col("t")).alias("sq")).where(F.length("sq").between(6, 90))
+    near = near.withColumn("w", best_window()(F.lit("observedflags"), F.substring("sq", 1, 19))).withColumn("error", F.coalesce("error", "w.error")).where((F.col("w.ratio") >= ANCHOR_RATIO) | F.col("error").isNotNull())
+    return near.select("case_id", F.split(F.expr("substring(sq, w.stop + 1)"), FURNITURE)[0].alias("value"), "error")
 
 
 def observed(lines: DataFrame) -> DataFrame:
-    """case_id, slip_flags, slip_anchor, slip_resolved; the looser threshold is tried where the stricter finds nothing."""
-    none = best_window()(F.lit("none"), F.col("value"))["ratio"] >= NONE_RATIO
-    seen = slip_values(lines).withColumn("none", none & (F.col("value") != "")).withColumns({"high": match_flags(FLAG_RATIO)(F.col("value")), "low": match_flags(FLAG_RATIO_LOW)(F.col("value"))})
+    """case_id, slip_flags, slip_anchor, slip_resolved, slip_error; the looser threshold is tried where the stricter finds nothing."""
+    seen = slip_values(lines).withColumns({"w": best_window()(F.lit("none"), F.col("value")), "h": found_flags(FLAG_RATIO)(F.col("value")), "l": found_flags(FLAG_RATIO_LOW)(F.col("value"))})
+    seen = seen.select("case_id", "value", ((F.col("w.ratio") >= NONE_RATIO) & (F.col("value") != "")).alias("none"), F.col("h.flags").alias("high"), F.col("l.flags").alias("low"), F.coalesce("error", "w.error", "h.error", "l.error").alias("error"))
     found = F.when(F.col("none") | (F.col("value") == ""), F.array().cast("array<string>")).when(F.size("high") > 0, F.col("high")).otherwise(F.col("low"))
-    seen = seen.select("case_id", found.alias("f"), (F.col("none") | (F.size(found) > 0)).alias("ok"))
-    return seen.groupBy("case_id").agg(F.array_distinct(F.flatten(F.collect_list("f"))).alias("slip_flags"), F.lit(True).alias("slip_anchor"), F.bool_and("ok").alias("slip_resolved"))
+    seen = seen.select("case_id", "error", found.alias("f"), (F.col("none") | (F.size(found) > 0)).alias("ok"))
+    return seen.groupBy("case_id").agg(F.array_distinct(F.flatten(F.collect_list("f"))).alias("slip_flags"), F.lit(True).alias("slip_anchor"), F.bool_and("ok").alias("slip_resolved"), F.max("error").alias("slip_error"))
 
 
 def noted(lines: DataFrame) -> DataFrame:
-    """case_id, note_flags: flags named within 46 characters after their anchors, and denials that were rescinded."""
+    """case_id, note_flags, note_error: flags named within 46 characters after their anchors, and denials that were rescinded."""
     pages = lines.groupBy(*KEYS).agg(squash(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln_pos", "t"))), lambda x: x["t"]), " ")).alias("psq"))
     # An anchor's window may hold the next anchor, so each match is looked at with what follows it, not consumed.
     anchors = F.concat(*[F.regexp_extract_all("psq", F.lit(p), F.lit(1)) for p in (r"riskflag[a-z]{0,10}?(?:present)?(?=(.{0,46}))", r"disqualif[a-z]{0,12}(?=(.{0,46}))")])
     windows = pages.select("case_id", F.explode(anchors).alias("w")).select("case_id", F.split(F.split("w", FURNITURE)[0], "finding|reason")[0].alias("w"))
-    named = windows.where(F.length("w") >= 5).select("case_id", F.explode(match_flags(NOTE_FLAG_RATIO)(F.col("w"))).alias("f"))
-    rescinded = pages.where(F.col("psq").contains("priordenialstamp") & F.col("psq").contains("rescind")).select("case_id", F.lit("rescinded_denial").alias("f"))
-    return named.union(rescinded).groupBy("case_id").agg(F.collect_set("f").alias("note_flags"))
+    named = windows.where(F.length("w") >= 5).select("case_id", found_flags(NOTE_FLAG_RATIO)(F.col("w")).alias("m")).select("case_id", "m.flags", "m.error")
+    rescinded = pages.where(F.col("psq").contains("priordenialstamp") & F.col("psq").contains("rescind")).select("case_id", F.array(F.lit("rescinded_denial")).alias("flags"), F.lit(None).cast("string").alias("error"))
+    return named.union(rescinded).groupBy("case_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("note_flags"), F.max("error").alias("note_error"))
 
 
 #: What registry and intake pages say, and how a line of a name begins.
@@ -82,7 +81,7 @@ def identity_conflict(names: DataFrame) -> DataFrame:
 
 
 def detect(cases: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
-    """case_id, risk_flags, confidence of the detection and its evidence, worked out once a case."""
+    """case_id, risk_flags, confidence of the detection, its evidence, and the error that a reading of it met (null: none), worked out once a case."""
     out = cases.select("case_id").distinct().join(observed(lines), "case_id", "left").join(noted(lines), "case_id", "left").join(identity_conflict(names), "case_id", "left")
     empty = F.array().cast("array<string>")
     slip, note = F.coalesce("slip_flags", empty), F.coalesce("note_flags", empty)
@@ -91,7 +90,7 @@ def detect(cases: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
     clean_slip = anchor & resolved & (F.size(slip) == 0)
     found = F.when(F.coalesce("name_conflict", F.lit(False)) & ~clean_slip, F.array_union(found, F.array(F.lit("identity_conflict")))).otherwise(found)
     sure = F.when(anchor & resolved, 1.0).when(anchor, 0.75).otherwise(0.45)
-    return out.select("case_id", flags_string(found).alias("risk_flags"), sure.alias("flags_confidence"), F.struct(anchor.alias("slip_anchor"), resolved.alias("slip_resolved"), slip.alias("slip_flags"), note.alias("note_flags"), F.coalesce("name_conflict", F.lit(False)).alias("name_conflict")).alias("evidence"))
+    return out.select("case_id", flags_string(found).alias("risk_flags"), sure.alias("flags_confidence"), F.struct(anchor.alias("slip_anchor"), resolved.alias("slip_resolved"), slip.alias("slip_flags"), note.alias("note_flags"), F.coalesce("name_conflict", F.lit(False)).alias("name_conflict")).alias("evidence"), F.coalesce("slip_error", "note_error").alias("error"))
 
 
 def flag_bits(flags: Column) -> dict[str, Column]:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import NULLISH, RESPACE_KEY, RESPACE_TOKEN
+from ..functions.fuzzy import total
 from ..functions.text import eval_key, unspaced
 
 
@@ -37,21 +37,29 @@ def respaced(value: str, text: str) -> str:
     return " ".join(flat[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)) if stops[-1] == len(flat) else value
 
 
-@F.pandas_udf(T.StringType())
-def _respaced(value: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([respaced(v, t or "") for v, t in zip(value, text, strict=True)], dtype="object")
+_respaced = total(lambda value, text: (respaced(value, text or ""),), T.StructType([T.StructField("text", T.StringType())]), (None,))
 
 
 def repair(value: Column, text: Column) -> Column:
-    """value with the spacing of the best run in the visible text.
+    """value with the spacing of the best run in the visible text, as it is where that fails."""
+    return _repair(value, text)[0]
+
+
+def _repair(value: Column, text: Column) -> tuple[Column, Column]:
+    """The repaired value, and the error that its repair met (null: none).
+
+    It has the spacing of the best run in the visible text.
 
     Nullish values and keys under five characters stay, and so does any value
     that the repair would change by more than spaces.
     """
     fit = ~eval_key(value).isin(NULLISH) & (F.length(unspaced(value)) >= RESPACE_KEY)
-    out = _respaced(F.when(fit, value).otherwise(F.lit("-")), F.when(fit, text).otherwise(F.lit("")))
-    return F.when(fit & (unspaced(out) == unspaced(value)), out).otherwise(value)
+    found = _respaced(F.when(fit, value).otherwise(F.lit("-")), F.when(fit, text).otherwise(F.lit("")))
+    out = found["text"]
+    return F.when(fit & (unspaced(out) == unspaced(value)), out).otherwise(value), found["error"]
 
 
-def repair_fields(df: DataFrame, fields: list[str], text: str = "visible_text") -> DataFrame:
-    return df.withColumns({f: repair(F.col(f), F.col(text)) for f in fields})
+def repair_fields(df: DataFrame, fields: list[str], text: str = "visible_text", error: str | None = None) -> DataFrame:
+    """df with its fields repaired; error: a column for what a repair met."""
+    both = {f: _repair(F.col(f), F.col(text)) for f in fields}
+    return df.withColumns({f: b[0] for f, b in both.items()} | ({error: F.coalesce(*[b[1] for b in both.values()])} if error else {}))

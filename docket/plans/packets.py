@@ -10,6 +10,7 @@ from ..functions.fuzzy import norm_fee
 from ..functions.text import clean, fee_from_receipt, is_redacted, norm_date, norm_sponsor, norm_visa, repair_sponsor, squash
 from ..operators import candidates, consensus, decide, features, flags, layout, respace, trust, vocab
 from ..operators.adjudicator import Adjudicator
+from ..tables import written
 
 PAGE = ["case_id", "pg_pos"]
 NORMALIZERS = {"arrival_date": norm_date, "fee_status": norm_fee, "visa_class": norm_visa, "sponsor_id": norm_sponsor}
@@ -68,14 +69,36 @@ def support(said: DataFrame, resolved: DataFrame, names: list[str]) -> DataFrame
 
 
 def extract(records: DataFrame, fee_prior: str | None = "paid", meta: bool = False) -> DataFrame:
-    """case_id, the nine fields, visible_text: readings resolved, gaps filled from the page text, snapped, respaced, flagged.
+    """The fields of all records, whatever a step met; `extract_isolated` sets aside the cases that a step failed on.
+
+    case_id, the nine fields, visible_text: readings resolved, gaps filled from the page text, snapped, respaced, flagged.
 
     fee_prior: stands in for every unknown fee, even one that a receipt tells, as
     the placeholder and the status are the same word; None lets `unknown` through.
     meta: also the columns of `support` and fee_source (anchored, line_scan, receipt_arithmetic, prior or null).
     """
     r = relations(records)
-    said = readings(candidates.collect(r["lines"], r["rows"], r["types"], r["foreign"]))
+    return _fields(records, r, candidates.collect(r["lines"], r["rows"], r["types"], r["foreign"]), fee_prior, meta)
+
+
+def extract_isolated(records: DataFrame, fee_prior: str | None = "paid", meta: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(fields as of `extract`, dead letters: case_id, reason): a case that a step fails on is a dead letter and stops no other.
+
+    Candidates and results are written once to the shared folder, so that both come from one run.
+    Without a case_id, or with one that several records have, nothing can be told apart by case: those are dead letters as well.
+    """
+    n = records.groupBy("case_id").agg(F.count("*").alias("n"))
+    unfit = n.where("case_id is null or n > 1").select("case_id", F.when(F.col("case_id").isNull(), "no case_id").otherwise("repeated case_id").alias("reason"))
+    fit = records.join(n.where("n = 1").select("case_id"), "case_id", "left_semi")
+    r = relations(fit)
+    out = written(_fields(fit, r, written(candidates.collect(r["lines"], r["rows"], r["types"], r["foreign"])), fee_prior, meta, errors=True))
+    dead = unfit.union(out.where("error is not null").select("case_id", "error"))
+    return out.where("error is null").drop("error"), dead
+
+
+def _fields(records: DataFrame, r: dict[str, DataFrame], found: DataFrame, fee_prior: str | None, meta: bool, errors: bool = False) -> DataFrame:
+    """The columns of `extract`, and with errors one `error`: the first step that failed on a case and why, null if none did."""
+    said = readings(found)
     said = said.where(F.col("field").isin(*NORMALIZERS) | (F.length("key") >= 2))
     formed = consensus.resolve(said.where(F.col("field").isin(*NORMALIZERS)), ["case_id", "field"])
     free = consensus.resolve_free(said.where(~F.col("field").isin(*NORMALIZERS)), ["case_id", "field"], CLUSTER_RATIO)
@@ -92,14 +115,20 @@ def extract(records: DataFrame, fee_prior: str | None = "paid", meta: bool = Fal
     wide = wide.withColumns({f: F.coalesce(F.col(f), fallback.get(f, F.lit(None).cast("string")), F.lit(PLACEHOLDER[f])) for f in names})
     if fee_prior is not None:
         wide = wide.withColumn("fee_status", F.when(F.col("fee_status") == "unknown", fee_prior).otherwise(F.col("fee_status")))
-    wide = respace.repair_fields(vocab.snap_fields(wide), RESPACED_FIELDS, "visible_lines")
+    wide = respace.repair_fields(vocab.snap_fields(wide), RESPACED_FIELDS, "visible_lines", error="_spacing" if errors else None)
     flagged = flags.detect(records.select("case_id"), r["lines"], flags.stated_names(r["lines"]))
-    out = wide.join(flagged.select("case_id", "risk_flags"), "case_id", "left").withColumn("risk_flags", F.coalesce("risk_flags", F.lit("none")))
+    out = wide.join(flagged.select("case_id", "risk_flags", F.col("error").alias("_flags")), "case_id", "left").withColumn("risk_flags", F.coalesce("risk_flags", F.lit("none")))
+    if errors:
+        labels = found.where("error is not null").groupBy("case_id").agg(F.min("error").alias("_labels"))
+        clusters = free.where("error is not null").groupBy("case_id").agg(F.min("error").alias("_consensus"))
+        out = out.join(labels, "case_id", "left").join(clusters, "case_id", "left")
+        out = out.withColumn("error", F.coalesce(*[F.concat(F.lit(f"{step}: "), F.col(f"_{step}")) for step in ("labels", "consensus", "spacing", "flags")]))
     trust.check_lineage(out.columns)
+    told_of = ["error"] if errors else []
     if not meta:
-        return out.select("case_id", *CONTENT_FIELDS, "visible_text")
+        return out.select("case_id", *CONTENT_FIELDS, "visible_text", *told_of)
     held = {f"{k}_{f}": F.coalesce(F.col(f"{k}_{f}"), F.lit(d)) for k, d in (("rank", 9.0), ("nev", 0.0)) for f in names}
-    return out.join(support(said, both, names), "case_id", "left").withColumns(held).select("case_id", *CONTENT_FIELDS, "visible_text", "fee_source", *held)
+    return out.join(support(said, both, names), "case_id", "left").withColumns(held).select("case_id", *CONTENT_FIELDS, "visible_text", "fee_source", *held, *told_of)
 
 
 def inputs(records: DataFrame, fields: DataFrame) -> DataFrame:

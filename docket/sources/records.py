@@ -35,6 +35,14 @@ def read_records(spark: SparkSession, path: str, sequence: str | None = None, li
     return best.select("case_id", "r.scale", "r.pages")
 
 
+def torn_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, reason of the lines that `read_records` leaves out as no record can be read from them, blank lines apart."""
+    raw = spark.read.schema(RECORD).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    reason = F.when(F.col("_corrupt").isNotNull(), "unreadable record").otherwise("no case_id")
+    without = F.size(F.array_compact(F.array("case_id"))) == 0  # `case_id is null` would go into the reader, which leaves torn lines out then
+    return raw.where(without).select(F.coalesce("_corrupt", F.to_json(F.struct("scale", "pages"))).alias("line"), reason.alias("reason"))
+
+
 def read_labels(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """CSV with a header, every column a string."""
     return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in columns))

@@ -21,6 +21,11 @@ def write_predictions(df: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_dead(dead: DataFrame, path: str) -> None:
+    """Dead letters (case_id and reason, a torn line's text where there is one) as JSON lines; none leave an empty folder."""
+    dead.select(line(dead.columns).alias("value")).write.mode("overwrite").text(path)
+
+
 def line(columns: list[str]) -> Column:
     """A row's JSON text, keys sorted."""
     return F.to_json(F.struct(*sorted(columns)))
