@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CONTENT_FIELDS, DAMAGE_WORDS, DECISIONS, FEE_SOURCES, FIELD_ALIASES, PAGE_FURNITURE, PAGE_LABELS, PAGE_MARKS, PAGE_RANK, PLACEHOLDER, RAW_STRINGS, REASONS, REVOKED_SPONSORS, SOURCE_PAIRS, SOURCE_RATIO, SOURCE_TYPES, STAMP_LENGTH, STAMP_TOKENS, VOCABULARY
 from ..functions.fuzzy import best_label, bound, note_signals, over_distinct, ratio, stamp_names
+from ..functions.scan import Literals
 from ..functions.text import squash
 from .flags import flag_bits
 
@@ -43,10 +44,17 @@ def page_profile(lines: DataFrame, pages: DataFrame, kinds: list[str] | None = N
     return wide.withColumns({"pp_worst": F.array_min(confs), "pp_spread": F.array_max(confs) - F.array_min(confs), "pp_missing": missing}).na.fill(0.0)
 
 
-def raw_form(text: Column) -> dict[str, Column]:
-    """Bits of strings that forms print, over the squashed visible text."""
-    s = squash(text)
-    return {n: _bit(F.lit(True) & _or([s.contains(p) for p in ps])) for n, ps in RAW_STRINGS.items()}
+#: Strings of the manual's rules, in squashed text.
+POLICY_STRINGS = ["revokedsponsor", "sponsorstandingrequiresadditionalverification", "sponsorrevoked", "embargoreview", "registrystatusclear", "hardship", "waiver", "sampledenia", "diplomaticnote", "observedflags"]
+
+#: All that is looked for in a packet's squashed visible text, in one pass.
+TEXT_STRINGS = Literals([*(p for ps in RAW_STRINGS.values() for p in ps), *POLICY_STRINGS, *DAMAGE_WORDS])
+
+
+def raw_form(text: Column, holds=None) -> dict[str, Column]:
+    """Bits of strings that forms print, over the squashed visible text; holds: a function that tells whether it holds a string, where it was scanned."""
+    holds = squash(text).contains if holds is None else holds
+    return {n: _bit(F.lit(True) & _or([holds(p) for p in ps])) for n, ps in RAW_STRINGS.items()}
 
 
 def _or(tests: list[Column]) -> Column:
@@ -56,20 +64,21 @@ def _or(tests: list[Column]) -> Column:
     return out
 
 
-def policy(text: Column) -> dict[str, Column]:
-    """Rules of the manual over resolved fields and visible prose."""
-    s, visa, fee = squash(text), F.col("visa_class"), F.col("fee_status")
+def policy(text: Column, holds=None) -> dict[str, Column]:
+    """Rules of the manual over resolved fields and visible prose; holds as in `raw_form`."""
+    holds = squash(text).contains if holds is None else holds
+    visa, fee = F.col("visa_class"), F.col("fee_status")
     bits = flag_bits(F.col("risk_flags"))
-    revoked, prose = F.col("sponsor_id").isin(REVOKED_SPONSORS), _or([s.contains(x) for x in ("revokedsponsor", "sponsorstandingrequiresadditionalverification", "sponsorrevoked")])
+    revoked, prose = F.col("sponsor_id").isin(REVOKED_SPONSORS), _or([holds(x) for x in ("revokedsponsor", "sponsorstandingrequiresadditionalverification", "sponsorrevoked")])
     out = {
         "manual_revoked_sponsor": revoked, "revoked_prose": prose, "revoked_any": revoked | prose,
-        "registry_embargo": s.contains("embargoreview"), "registry_clear": s.contains("registrystatusclear"),
+        "registry_embargo": holds("embargoreview"), "registry_clear": holds("registrystatusclear"),
         "transit": visa == "TRANSIT-7", "dip": visa == "DIP-1", "med3": visa == "MED-3",
-        "waived_ok": (fee == "waived") & ((visa == "DIP-1") | s.contains("hardship")), "waived_bad": (fee == "waived") & (visa != "DIP-1") & ~s.contains("hardship"),
-        "unpaid_no_waiver": (fee == "unpaid") & ~s.contains("waiver"), "fee_unknown": fee == "unknown",
+        "waived_ok": (fee == "waived") & ((visa == "DIP-1") | holds("hardship")), "waived_bad": (fee == "waived") & (visa != "DIP-1") & ~holds("hardship"),
+        "unpaid_no_waiver": (fee == "unpaid") & ~holds("waiver"), "fee_unknown": fee == "unknown",
         "sponsor_missing": (visa != "DIP-1") & ~F.col("sponsor_id").rlike("^SPN-[0-9]{4}$"), "date_missing": F.col("arrival_date").isin("", "1900-01-01", "unknown"),
-        "dq_flag": bits["flag_dq_n"] > 0, "ro_multi": bits["flag_ro_n"] >= 2, "sample_denial_wm": s.contains("sampledenia"), "hardship_visible": s.contains("hardship"),
-        "diplomatic_note": s.contains("diplomaticnote"), "med3_no_biohazard_evidence": (visa == "MED-3") & ~s.contains("observedflags"),
+        "dq_flag": bits["flag_dq_n"] > 0, "ro_multi": bits["flag_ro_n"] >= 2, "sample_denial_wm": holds("sampledenia"), "hardship_visible": holds("hardship"),
+        "diplomatic_note": holds("diplomaticnote"), "med3_no_biohazard_evidence": (visa == "MED-3") & ~holds("observedflags"),
     }
     return {f"pol_{k}": _bit(v) for k, v in out.items()} | {"pol_ro_flag_n": bits["flag_ro_n"]}
 
@@ -135,7 +144,7 @@ def stamps(lines: DataFrame, pages: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def damage(lines: DataFrame, pages: DataFrame, text: DataFrame, key: str = KEY) -> DataFrame:
-    """Twenty-nine keys of how complete a packet is.  pages: key, pg_pos, ptype, foreign, every page; text: key, visible_text."""
+    """Twenty-nine keys of how complete a packet is.  pages: key, pg_pos, ptype, foreign, every page; text: key, visible_text, and _held, its scan for `TEXT_STRINGS`, where there is one."""
     sq = squash(F.col("t"))
     body = ~sq.contains(PAGE_FURNITURE[0]) & ~sq.startswith(PAGE_FURNITURE[1])
     per = lines.groupBy(key, "pg_pos").agg(
@@ -160,7 +169,8 @@ def damage(lines: DataFrame, pages: DataFrame, text: DataFrame, key: str = KEY)
     conf = lines.groupBy(key).agg(F.stddev_pop("s").alias("dm_conf_std"), F.percentile("s", 0.25).alias("dm_conf_p25"))
     t = F.coalesce("visible_text", F.lit(""))
     found = F.size(F.regexp_extract_all(t, F.lit(r"\[[^\]]{2,40}\]"), F.lit(0)))
-    words = F.size(F.filter(F.array(*[F.lit(w) for w in DAMAGE_WORDS]), lambda w: squash(t).contains(w)))
+    holds = TEXT_STRINGS.holds(F.col("_held")) if "_held" in text.columns else squash(t).contains
+    words = sum((_bit(holds(w)) for w in DAMAGE_WORDS), F.lit(0.0))
     text = text.select(key, found.alias("dm_n_brackets"), (found > 0).cast("int").alias("dm_any_bracket"), words.alias("dm_damage_words"))
     out = text.join(out, key, "left").join(conf, key, "left").withColumns({"dm_conf_p25": F.coalesce("dm_conf_p25", F.lit(1.0)), "dm_n_doc_types": sum((F.col(f"dm_has_{p}") for p in evidence), F.lit(0))})
     return out.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0 if c.endswith("_cov") else 0.0)).alias(c) for c in out.columns if c != key])
@@ -332,12 +342,14 @@ def squash_name(v: str) -> str:
 def design(lines: DataFrame, types: DataFrame, fields: DataFrame, pages: DataFrame, votes: DataFrame, text: str = "visible_text") -> DataFrame:
     """case_id and all families; fields is one row a case with the visible text and that of its sponsor and fee pages.  Absent evidence is 0."""
     t = F.col(text)
-    flat = {**one_hots(), **flag_bits(F.col("risk_flags")), **raw_form(t)}
-    more = {**policy(t), **dates(t, F.col("arrival_date")), **fee_arithmetic(F.col("fee_text")), **biometric(t), **sponsor_letter(F.col("sponsor_text"))}
-    out = fields.select(KEY, text, "arrival_date", "fee_status", "visa_class", "sponsor_id", "applicant_name", "risk_flags", "fee_text", "sponsor_text", *[c.alias(n) for n, c in flat.items()])
+    fields = fields.withColumn("_held", TEXT_STRINGS.scan(squash(t)))
+    holds = TEXT_STRINGS.holds(F.col("_held"))
+    flat = {**one_hots(), **flag_bits(F.col("risk_flags")), **raw_form(t, holds)}
+    more = {**policy(t, holds), **dates(t, F.col("arrival_date")), **fee_arithmetic(F.col("fee_text")), **biometric(t), **sponsor_letter(F.col("sponsor_text"))}
+    out = fields.select(KEY, text, "arrival_date", "fee_status", "visa_class", "sponsor_id", "applicant_name", "risk_flags", "fee_text", "sponsor_text", "_held", *[c.alias(n) for n, c in flat.items()])
     out = out.select(KEY, *flat, *[c.alias(n) for n, c in more.items()])
     formed = ["arrival_date", "fee_status", "visa_class", "sponsor_id"]
-    for family in (shape(lines), page_profile(lines, pages), stamps(lines, pages), damage(lines, pages, fields.select(KEY, text)), notes(lines), source_features(votes, fields, formed)):
+    for family in (shape(lines), page_profile(lines, pages), stamps(lines, pages), damage(lines, pages, fields.select(KEY, text, "_held")), notes(lines), source_features(votes, fields, formed)):
         out = out.join(family, KEY, "left")
     # A note that approves what a disqualifying flag speaks against.
     return out.withColumn("note_find_vs_dqflag", _bit((F.col("note_approved") == 1) & (F.col("pol_dq_flag") == 1))).na.fill(0.0)

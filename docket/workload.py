@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .constants import FLAGS, NULLISH
+from .constants import FLAGS, NULLISH, RAW_STRINGS
 from .functions import text as tx
 from .operators import consensus, decide, features, flags, layout, respace, score, vocab
 
@@ -223,15 +223,21 @@ def redaction_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", tx.is_redacted(t).alias("redacted"))
 
 
-@query("""
-SELECT doc_id, contains(s, 'hardship')::INT::DOUBLE AS raw_hardship, contains(s, 'revoked')::INT::DOUBLE AS raw_revoked, contains(s, 'observedflags')::INT::DOUBLE AS raw_observed_any, (contains(s, 'visaclasstransit') OR contains(s, 'classtransit'))::INT::DOUBLE AS raw_visa_transit
-FROM (SELECT doc_id, regexp_replace(lower(text || CASE doc_id % 4 WHEN 0 THEN ' Hardship!' WHEN 1 THEN ' sponsor re-voked' WHEN 2 THEN ' Observed Flags' ELSE ' Visa Class: Transit' END), '[^a-z0-9]', '', 'g') AS s FROM documents WHERE text IS NOT NULL)
+_PRINTED = [ps[-1] for ps in RAW_STRINGS.values()]
+
+
+@query(f"""
+SELECT doc_id, {", ".join("(" + " OR ".join(f"contains(s, '{p}')" for p in ps) + f")::INT::DOUBLE AS {n}" for n, ps in RAW_STRINGS.items())}
+FROM (SELECT doc_id, regexp_replace(lower(text || ' ' || insert_dash), '[^a-z0-9]', '', 'g') AS s
+      FROM (SELECT doc_id, text, left(w, 5) || '- ' || upper(substr(w, 6)) AS insert_dash FROM (SELECT doc_id, text, [{", ".join(f"'{w}'" for w in _PRINTED)}][(doc_id % {len(_PRINTED)}) + 1] AS w FROM documents WHERE text IS NOT NULL)))
 """)
 def raw_form_bits(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    t = F.concat("text", F.when(k == 0, " Hardship!").when(k == 1, " sponsor re-voked").when(k == 2, " Observed Flags").otherwise(" Visa Class: Transit"))
-    bits = features.raw_form(t)
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", *[bits[n].alias(n) for n in ("raw_hardship", "raw_revoked", "raw_observed_any", "raw_visa_transit")])
+    """Seventeen bits of what forms print, each printed at the end of some texts, broken and in capitals; texts are scanned once for all."""
+    w = F.get(F.array(*[F.lit(w) for w in _PRINTED]), (F.col("doc_id") % len(_PRINTED)).cast("int"))
+    t = F.concat("text", F.lit(" "), F.substring(w, 1, 5), F.lit("- "), F.upper(F.substring(w, F.lit(6), F.length(w))))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", features.TEXT_STRINGS.scan(tx.squash(t)).alias("held"))
+    bits = features.raw_form(None, features.TEXT_STRINGS.holds(F.col("held")))
+    return rows.select("doc_id", *[c.alias(n) for n, c in bits.items()])
 
 
 # --- layout
