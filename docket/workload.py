@@ -538,6 +538,30 @@ def vocab_find(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"), vocab.find_in_text(page, "segment", SEGMENTS).alias("found"))
 
 
+@query("""
+WITH l AS (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL)
+SELECT o_orderkey, n_lines::BIGINT AS n_lines, round(quantity + CASE WHEN o_orderkey % 10 = 0 THEN n_lines ELSE 0 END, 4)::DOUBLE AS quantity, CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS run
+FROM orders JOIN l ON l_orderkey = o_orderkey
+""")
+def kept_results(spark, sf_dir):
+    """Sums of every order's lines, kept by content: all are computed by the first run, and by the second only the tenth whose lines have changed."""
+    import uuid
+
+    from .plans.store import kept
+    from .tables import shared_folder
+
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("q")))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    changed = orders.withColumn("lines", F.when(F.col("o_orderkey") % 10 == 0, F.transform("lines", lambda x: x.withField("q", x["q"] + 1))).otherwise(F.col("lines")))
+
+    def sums(run):
+        return lambda rows: rows.select("o_orderkey", F.size("lines").cast("long").alias("n_lines"), F.round(F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["q"]), 4).alias("quantity"), F.lit(run).alias("run"))
+
+    kept(orders, folder, sums(1), "sums", "o_orderkey")
+    return kept(changed, folder, sums(2), "sums", "o_orderkey")
+
+
 # --- functions that SQL does not have
 
 
