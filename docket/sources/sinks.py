@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import OUTPUT_ORDER
+from .document import write_document
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """By suffix: .jsonl (keys sorted), .json (one document), anything else CSV in output order."""
+    """By suffix: .jsonl (keys sorted), .json (one document in one file), anything else CSV in output order."""
     rows = df.select(*OUTPUT_ORDER)
     if path.endswith(".jsonl"):
         rows.select(line(OUTPUT_ORDER).alias("value")).write.mode("overwrite").text(path)
     elif path.endswith(".json"):
-        document(rows).write.mode("overwrite").text(path)
+        write_document(rows.select("case_id", line(OUTPUT_ORDER).alias("line")), path, "case_id", "line")
     else:
         rows.write.mode("overwrite").option("header", True).csv(path)
 
