@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
@@ -23,6 +23,8 @@ from ._common import table
 PART_ROWS, MAX_PARTS = 2048, 256
 #: Sampled rows for each part, and at most; neighbours in the sample's graph.
 PER_PART, MAX_SAMPLE, GRAPH_K = 64, 16_384, 10
+#: Rows of the sample that are compared with all of it at once.
+GRAPH_BLOCK = 128
 #: Brute-forced queries at most, and the share of their neighbours that must be reached.
 MEASURED, RECALL = 256, 0.96
 #: Rows of a part that are scored together.
@@ -48,12 +50,13 @@ class Router:
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_K) -> np.ndarray:
     """The k rows of largest inner product with each row, itself left out."""
-    k, out = min(k, len(x) - 1), []
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    k = min(k, len(x) - 1)
+    out = np.empty((len(x), k), np.int64)  # filled in place: a slice kept of each block's order would keep the whole block
+    for a in range(0, len(x), GRAPH_BLOCK):
+        s = x[a : a + GRAPH_BLOCK] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
-    return np.concatenate(out)
+        out[a : a + GRAPH_BLOCK] = np.argpartition(np.negative(s, out=s), k - 1, axis=1)[:, :k]
+    return out
 
 
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 12, slack: float = 1.1) -> np.ndarray:
@@ -155,6 +158,18 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows if n[0] == n[1] else rows.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
+def least(rows: DataFrame, n: int, want: int, draw: Column) -> DataFrame:
+    """The `want` of n rows with the least draws (a 64-bit hash), ties to the smaller id.
+
+    Only rows below a threshold that some more than `want` pass are sorted; else every task would send `want` rows to the driver.
+    """
+    share = (want + 8 * want**0.5 + 64) / max(n, 1)
+    if share < 1:
+        near = rows.where(draw < F.lit(int(-(2**63) + share * 2**64)))
+        rows = near if near.count() >= want else rows
+    return rows.orderBy(draw, "id").limit(want)
+
+
 def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id long, rank int, vec_id long, score double: the k nearest found of every row whose id is divisible by `every`."""
     spark = df.sparkSession
@@ -166,7 +181,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
         return spark.createDataFrame([], out)
     parts = int(min(MAX_PARTS, max(1, 2 ** round(np.log2(max(1, n / PART_ROWS))))))
     draw = F.xxhash64("id", F.lit(SEED))
-    sample = np.array([r["vec"] for r in rows.orderBy(draw, "id").limit(min(MAX_SAMPLE, max(256, PER_PART * parts))).collect()])
+    sample = _matrix(least(rows, n, min(MAX_SAMPLE, max(256, PER_PART * parts)), draw).select("vec").toArrow().column("vec"))
     if parts > 1:
         router = fit_router(sample, balanced_parts(sample, neighbour_graph(sample), parts), parts)
     else:
@@ -221,10 +236,11 @@ def _probes(rows: DataFrame, router: Router, shared, parts: int, k: int, every:
     """Fewest parts to ask so that `recall` of the measured queries' true neighbours are in them."""
     if parts == 1:
         return 1
-    picked = rows.where(F.col("id") % every == 0).orderBy(draw, "id").limit(MEASURED).collect()
-    if not picked:
+    queries = rows.where(F.col("id") % every == 0)
+    picked = least(queries, queries.count(), MEASURED, draw).toArrow()
+    if not picked.num_rows:
         return 1
-    q, q_ids = np.array([r["vec"] for r in picked]), np.array([r["id"] for r in picked])
+    q, q_ids = _matrix(picked.column("vec")), picked.column("id").to_numpy()
     asked = rows.sparkSession.sparkContext.broadcast((q, q_ids))
 
     def brute(batches):
