@@ -274,6 +274,31 @@ def test_suffix_array_and_prefixes(letters):
     assert suffix.common_prefixes(t, sa, 400)[1:].tolist() == [common(sa[r], sa[r - 1]) for r in range(1, len(b))]
 
 
+def test_repeated_starts_sort_no_deeper_than_strings_go(monkeypatch):
+    depths, doubled = [], suffix.doubled
+    monkeypatch.setattr(suffix, "doubled", lambda *a: (depths.append(r[0]) or r for r in doubled(*a)))
+    monkeypatch.setattr(suffix, "suffix_array", None)
+    rng = random.Random(5)
+    base = rng.randbytes(3000)
+    blocks = [(base, 2601, 1), (b"x" + base[:2000], 1662, 1), (b"\0" * 700, 301, 1), (base[5:380], 36, 2), (rng.randbytes(500), 101, 3), (rng.randbytes(450), 51, 1), (base[100:439], 1, 1)]
+    whole = b"".join(b for b, _, _ in blocks)
+    got = list(suffix.repeated_starts(blocks, (340, 400)))
+    for length, (starts, twice, group) in zip((340, 400), got, strict=True):
+        count, named, at = Counter(), {}, 0
+        places = []
+        for b, n, k in blocks:
+            for i in range(min(n, len(b) - length + 1)):
+                count[b[i : i + length]] += k
+                places.append(at + i)
+            at += len(b)
+        assert starts.tolist() == places
+        assert twice.tolist() == [count[whole[i : i + length]] > 1 for i in places]
+        for i, g in zip(places, group.tolist(), strict=True):
+            assert named.setdefault(whole[i : i + length], g) == g
+        assert len(set(named.values())) == len(named)
+    assert max(depths) < 400  # the first 2,000 bytes of two blocks are equal
+
+
 # --- URL filters
 
 
