@@ -2,9 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from docket import workload
+from docket.functions import fuzzy
 
 LATE = "w" * 30 + " é "
 
@@ -41,6 +44,21 @@ def test_respace_ngrams(spark, tables):
     assert workload.respace_ngrams(spark, sf2).count() == 0  # three words
 
 
+def test_respace_ngrams_sends_a_text_to_python_once(spark, tables, capsys):
+    docs = [(1, " a\tbig  cat d\ne f "), (2, "a big cat d e"), (3, "a bi cats d e f"), (4, "a 😀😀😀 cat d e f"), (5, "a 😀😀 cat d e f"), (6, ""), (7, None), (8, "a İİİ ΑΣΣ d e f bigcat"), (9, "a big cat d e f b igcat bigc at")]
+    out = workload.respace_ngrams(spark, tables(documents=(docs, DOC)))
+    assert {r["doc_id"]: r["repaired"] for r in out.collect()} == {1: "big cat", 4: "😀😀😀 cat", 8: "İİİ ΑΣΣ", 9: "big cat"}
+    out.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_function_of_whole_texts_returns_value_or_error(spark):
+    count = fuzzy.total(lambda t, by: (len(t) // by, [t]), T.StructType([T.StructField("n", T.IntegerType()), T.StructField("ts", T.ArrayType(T.StringType()))]), (None, []), [pa.int32(), pa.list_(pa.string())])
+    rows = spark.createDataFrame([("é" * 5000, 2), ("a", 0), (None, 1)], "t string, by int").select(count("t", "by").alias("x")).select("x.*").collect()
+    assert [(r["n"], [len(t) for t in r["ts"]]) for r in rows] == [(2500, [5000]), (None, []), (None, [])]
+    assert rows[0]["error"] is None and "ZeroDivisionError" in rows[1]["error"] and "TypeError" in rows[2]["error"]
+
+
 def test_hidden_agreement_and_redaction_filter(spark, tables):
     same = "twelve lettr"
     docs = [(1, "1é " + same), (2, same + " one"), (4, same + " two"), (3, None), (6, "x[")]
